@@ -51,17 +51,24 @@ def with_bucket(df: DataFrame, order: str, bounds: Sequence[float]) -> DataFrame
 def running_totals(
     df: DataFrame,
     order: str,
-    sums: Sequence[str],
+    sums: Sequence[str] = (),
     by: Sequence[str] = (),
     descending: bool = False,
     followers: Sequence[str] = (),
+    mins: Sequence[str] = (),
     bounds: Sequence[float] | None = None,
 ) -> DataFrame:
-    """Add ``cum_<c>`` for each of ``sums``: the inclusive prefix sum in ``order``.
+    """Prefix aggregates over rows ordered by ``order`` inside each ``by`` group.
 
-    ``df`` holds one row per ``by`` and ``order`` value.  ``followers`` adds
-    ``next_<c>``, the value on the following row (NULL on the last), and
-    ``has_prev``, whether a row precedes this one.
+    ``df`` holds one row per ``by`` and ``order`` value.  Added columns:
+
+    * ``cum_<c>`` and ``total_<c>`` for each of ``sums``: the inclusive prefix
+      sum and the sum over the whole group;
+    * ``low_<c>`` for each of ``mins``: the smallest value on *earlier* rows,
+      NULL on the first;
+    * ``next_<c>`` for each of ``followers``: the value on the following row,
+      NULL on the last;
+    * ``has_prev``: whether a row precedes this one.
     """
     by = list(by)
     bounds = order_bounds(df, order) if bounds is None else bounds
@@ -72,16 +79,21 @@ def running_totals(
 
     edge = F.max_by if descending else F.min_by
     totals = parts.groupBy(*by, "__bucket").agg(
+        F.count("*").alias("__rows"),
         *[F.sum(c).alias(f"__t_{c}") for c in sums],
+        *[F.min(c).alias(f"__m_{c}") for c in mins],
         *[edge(c, order).alias(f"__e_{c}") for c in followers],
     )
     # At most MAX_BUCKETS rows per group: a prefix over a bounded table.
-    over = Window.partitionBy(*(by or [F.lit(0)])).orderBy(key("__bucket"))
+    group = Window.partitionBy(*(by or [F.lit(0)]))
+    over = group.orderBy(key("__bucket"))
     before = over.rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select(
         *by,
         "__bucket",
         *[F.coalesce(F.sum(f"__t_{c}").over(before), F.lit(0)).alias(f"__b_{c}") for c in sums],
+        *[F.sum(f"__t_{c}").over(group).alias(f"total_{c}") for c in sums],
+        *[F.min(f"__m_{c}").over(before).alias(f"__l_{c}") for c in mins],
         *[F.lead(f"__e_{c}").over(over).alias(f"__n_{c}") for c in followers],
         (F.row_number().over(over) > 1).alias("__not_first"),
     )
@@ -89,18 +101,14 @@ def running_totals(
         bases = F.broadcast(bases)  # proven: at most MAX_BUCKETS rows
     inner = Window.partitionBy(*by, "__bucket").orderBy(key(order))
     upto = inner.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = parts.join(bases, [*by, "__bucket"])
-    for c in sums:
-        out = out.withColumn(f"cum_{c}", F.col(f"__b_{c}") + F.sum(c).over(upto))
-    for c in followers:
-        out = out.withColumn(f"next_{c}", F.coalesce(F.lead(c).over(inner), F.col(f"__n_{c}")))
-    if followers:
-        out = out.withColumn("has_prev", F.col("__not_first") | (F.row_number().over(inner) > 1))
-    return out.select(
+    earlier = inner.rowsBetween(Window.unboundedPreceding, -1)
+    return parts.join(bases, [*by, "__bucket"]).select(
         *df.columns,
-        *[f"cum_{c}" for c in sums],
-        *[f"next_{c}" for c in followers],
-        *(["has_prev"] if followers else []),
+        *[(F.col(f"__b_{c}") + F.sum(c).over(upto)).alias(f"cum_{c}") for c in sums],
+        *[f"total_{c}" for c in sums],
+        *[F.least(F.col(f"__l_{c}"), F.min(c).over(earlier)).alias(f"low_{c}") for c in mins],
+        *[F.coalesce(F.lead(c).over(inner), F.col(f"__n_{c}")).alias(f"next_{c}") for c in followers],
+        (F.col("__not_first") | (F.row_number().over(inner) > 1)).alias("has_prev"),
     )
 
 
