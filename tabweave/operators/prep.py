@@ -12,16 +12,15 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml.feature import SQLTransformer
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabweave.functions.missing import clean_double, col, numeric_columns, quoted
+from tabweave.operators.numbering import number_values
 from tabweave.operators.ordering import exact_quantiles
-from tabweave.session import cut_lineage
 
 IMPUTE = ("mean", "median", "most_frequent", "constant")
 MAX_CATEGORIES = 1000
-SMALL_DICTIONARY = 100_000
 
 
 def sql_double(x: float) -> str:
@@ -249,32 +248,7 @@ def _as_text(df: DataFrame, column: str) -> Column:
 
 def fit_label_encoder(df: DataFrame, column: str) -> DataFrame:
     """``(value, code)``: distinct values as text in code-point order, from 0."""
-    values = df.select(_as_text(df, column).alias("value")).distinct()
-    if values.limit(SMALL_DICTIONARY + 1).count() <= SMALL_DICTIONARY:
-        everything = Window.partitionBy(F.lit(0)).orderBy("value")  # checked to be small
-        return values.withColumn("code", (F.row_number().over(everything) - 1).cast("bigint"))
-    return _global_codes(values)
-
-
-def _global_codes(values: DataFrame) -> DataFrame:
-    """Number a large set of values: range-sorted partitions plus their offsets.
-
-    The sorted table is checkpointed first, so positions inside a partition
-    cannot change between the two uses, even if an executor is lost.
-    """
-    ordered = cut_lineage(values.orderBy("value").withColumn("__id", F.monotonically_increasing_id()))
-    ordered = ordered.select(
-        "value", F.shiftright("__id", 33).alias("__part"), F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)).alias("__pos")
-    )
-    sizes = sorted(ordered.groupBy("__part").count().collect())  # one row per partition
-    start, offsets = 0, []
-    for part, n in sizes:
-        offsets.append((part, start))
-        start += n
-    table = values.sparkSession.createDataFrame(offsets, "__part bigint, __start bigint")
-    return ordered.join(F.broadcast(table), "__part").select(
-        "value", (F.col("__start") + F.col("__pos")).alias("code")
-    )
+    return number_values(df.select(_as_text(df, column).alias("value")).distinct(), "value")
 
 
 def label_encode(df: DataFrame, column: str, encoder: DataFrame | None = None) -> DataFrame:

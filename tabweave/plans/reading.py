@@ -1 +1,211 @@
-"""Placeholder."""
+"""Queries for readers, image operators and stores."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tabweave.models.images import fit_image_classifier, predict_images as predict_folder
+from tabweave.operators import quality
+from tabweave.operators.images import ImagePrep
+from tabweave.plans.derived_files import write_csv, write_images
+from tabweave.plans.registry import query
+from tabweave.plans.tables import frame, sql, table, with_
+from tabweave.session import scratch_path
+from tabweave.sources import checkpoints, images
+from tabweave.sources.files import preview as first_rows
+from tabweave.sources.files import scan_csv, scan_dataset
+
+NAME = "'c' || label || '/' || vec_id || '.png'"
+BAD = "embedding[2] > 0.2"  # lists count from 1 here
+LEVEL = "FLOOR(LEAST(GREATEST((CAST({e} AS DOUBLE) + 1) / 2, 0), 1) * 255)"
+
+
+def _short(path):
+    return F.concat_ws("/", F.slice(F.split(path, "/"), -2, 2))
+
+
+# ---- tables --------------------------------------------------------------
+
+
+@query("scan_csv", sql("profiled"))
+def scan_csv_(spark, sf):
+    df = scan_csv(spark, write_csv(spark, sf))
+    return df.withColumn("l_linenumber", F.col("l_linenumber").cast("int"))
+
+
+@query("scan_dataset", "SELECT * FROM customer")
+def scan_dataset_(spark, sf):
+    return scan_dataset(spark, f"{sf}/customer.parquet")
+
+
+@query(
+    "preview",
+    f"{with_('reg')} SELECT id, CAST(y_true AS DOUBLE) AS y_true, CAST(y_pred AS DOUBLE) AS y_pred FROM reg ORDER BY id LIMIT 5",
+)
+def preview(spark, sf):
+    return first_rows(scan_csv(spark, write_csv(spark, sf, "reg")), 5, "id")
+
+
+# ---- images --------------------------------------------------------------
+
+
+@query("scan_image_folder", f"SELECT {NAME} AS name, 'c' || label AS label FROM embeddings")
+def scan_image_folder(spark, sf):
+    manifest = images.scan_image_folder(spark, write_images(spark, sf))
+    return manifest.select(_short("path").alias("name"), "label")
+
+
+@query(
+    "scan_image_pixels",
+    f"""SELECT {NAME} AS name, CASE WHEN {BAD} THEN -1 ELSE 8 END AS height,
+        CASE WHEN {BAD} THEN 0 ELSE CAST(LIST_SUM(LIST_TRANSFORM(embedding, lambda e:
+            {LEVEL.format(e="e")} + 255 - {LEVEL.format(e="e")} + FLOOR({LEVEL.format(e="e")} / 2))) AS BIGINT) END AS total,
+        CASE WHEN {BAD} THEN NULL ELSE CAST({LEVEL.format(e="embedding[1]")} AS INT) END AS red
+        FROM embeddings""",
+)
+def scan_image_pixels(spark, sf):
+    px = images.scan_image_pixels(spark, write_images(spark, sf))
+    levels = F.transform(F.sequence(F.lit(1), F.length("data")), lambda i: F.conv(F.hex(F.substring("data", i, 1)), 16, 10).cast("bigint"))
+    total = F.aggregate(levels, F.lit(0).cast("bigint"), lambda a, v: a + v)
+    readable = F.col("height") > 0
+    return px.select(
+        _short("path").alias("name"), "height", F.when(readable, total).otherwise(0).cast("bigint").alias("total"),
+        F.when(readable, F.get(levels, F.lit(2))).cast("int").alias("red"),
+    )
+
+
+@query("magic_bytes", f"SELECT {NAME} AS name, 'png' AS format, TRUE AS ok FROM embeddings")
+def magic_bytes(spark, sf):
+    return images.magic_bytes(spark, write_images(spark, sf)).withColumn("name", _short("path")).drop("path")
+
+
+@query("corrupt_images", f"SELECT {NAME} AS name FROM embeddings WHERE {BAD}")
+def corrupt_images(spark, sf):
+    return images.corrupt_images(spark, write_images(spark, sf)).select(_short("path").alias("name"))
+
+
+def _claimed(spark, sf, root):
+    """A manifest of all embeddings and, wrongly, of all part names."""
+    listed = images.scan_image_folder(spark, root)
+    more = table(spark, sf, "part").select(
+        F.concat(F.lit("file:/gone/"), F.col("p_partkey").cast("string"), F.lit(".png")).alias("path"), F.col("p_type").alias("label")
+    )
+    return listed.unionByName(more)
+
+
+@query("missing_files", "SELECT 'file:/gone/' || p_partkey || '.png' AS path, p_type AS label FROM part")
+def missing_files(spark, sf):
+    root = write_images(spark, sf)
+    return quality.missing_files(_claimed(spark, sf, root), images.list_files(spark, root))
+
+
+@query(
+    "validate_images",
+    f"""WITH m AS (SELECT 'c' || label AS label, 'x' AS src, 0 AS k FROM embeddings
+            UNION ALL SELECT p_type, 'gone', 0 FROM part),
+        n AS (SELECT label, COUNT(*) AS n FROM m GROUP BY label),
+        gone AS (SELECT COUNT(*) AS n FROM part), bad AS (SELECT COUNT(*) AS n FROM embeddings WHERE {BAD})
+        SELECT 'info' AS severity, 'n_samples' AS "check", CAST(NULL AS VARCHAR) AS "column", CAST(COUNT(*) AS DOUBLE) AS value
+            FROM m
+        UNION ALL SELECT 'info', 'n_classes', NULL, CAST(COUNT(*) AS DOUBLE) FROM n
+        UNION ALL SELECT 'info', 'class_count', label, CAST(n AS DOUBLE) FROM n
+        UNION ALL SELECT 'warning', 'imbalance', NULL, MAX(n) / MIN(n) FROM n HAVING MAX(n) / MIN(n) > 10
+        UNION ALL SELECT 'info', 'missing_files', NULL, CAST(n AS DOUBLE) FROM gone
+        UNION ALL SELECT 'error', 'missing_files', NULL, CAST(n AS DOUBLE) FROM gone WHERE n > 0
+        UNION ALL SELECT 'info', 'corrupt_images', NULL, CAST(n AS DOUBLE) FROM bad
+        UNION ALL SELECT 'error', 'corrupt_images', NULL, CAST(n AS DOUBLE) FROM bad WHERE n > 0
+        UNION ALL SELECT 'info', 'unsupported_images', NULL, 0.0E0""",
+)
+def validate_images(spark, sf):
+    root = write_images(spark, sf)
+    return quality.validate_images(_claimed(spark, sf, root), images.image_status(spark, root)).drop("message")
+
+
+def _summed(df):
+    total = F.aggregate("pixels", F.lit(0.0), lambda a, v: a + v.cast("double"))
+    return df.select(
+        _short("path").alias("name"), "c", "h", "w", F.size("pixels").alias("n"),
+        F.round(total / F.size("pixels"), 3).alias("mean"),
+    )
+
+
+@query("image_eval_transform")
+def image_eval_transform(spark, sf):
+    px = images.scan_image_pixels(spark, write_images(spark, sf))
+    return _summed(ImagePrep(size=(32, 32)).evaluation(px))
+
+
+@query("image_augment")
+def image_augment(spark, sf):
+    px = images.scan_image_pixels(spark, write_images(spark, sf))
+    return _summed(ImagePrep(size=(32, 32)).training(px, epoch=1))
+
+
+@query(
+    "image_default_transform",
+    f"""SELECT {NAME} AS name, 3 AS c, 8 AS h, 8 AS w, 192 AS n,
+        ROUND(LIST_SUM(LIST_TRANSFORM(embedding, lambda e: 255 + FLOOR({LEVEL.format(e="e")} / 2))) / 255 / 192, 3) AS mean
+        FROM embeddings WHERE NOT ({BAD})""",
+)
+def image_default_transform(spark, sf):
+    px = images.scan_image_pixels(spark, write_images(spark, sf))
+    return _summed(ImagePrep(size=(8, 8)).plain(px))
+
+
+@query("image_classifier")
+def image_classifier(spark, sf):
+    px = images.scan_image_pixels(spark, write_images(spark, sf))
+    model = fit_image_classifier(px, size=(8, 8))
+    hits = model.transform(px).groupBy("label", "predicted").agg(F.count("*").alias("n"))
+    return hits
+
+
+@query("predict_images")
+def predict_images(spark, sf):
+    root = write_images(spark, sf)
+    model = fit_image_classifier(images.scan_image_pixels(spark, root), size=(8, 8))
+    return predict_folder(spark, root, model).select(_short("path").alias("name"), "predicted")
+
+
+# ---- checkpoints ---------------------------------------------------------
+
+
+def _stored(spark, sf):
+    """The history as checkpoints; an epoch is best if no earlier one beats it."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("run_id").orderBy("epoch").rowsBetween(Window.unboundedPreceding, -1)
+    low = F.min("val_loss").over(w)
+    rows = frame(spark, sf, "history").select(
+        F.concat(F.lit("run"), F.col("run_id")).alias("run_id"),
+        "epoch",
+        F.array("train_loss", "val_loss").alias("params"),
+        F.create_map(F.lit("val_loss"), F.col("val_loss")).alias("metrics"),
+        F.coalesce(F.col("val_loss") <= low, F.lit(True)).alias("is_best"),
+        F.current_timestamp().alias("saved_at"),
+    )
+    path = scratch_path(spark, "checkpoints")
+    checkpoints.append_checkpoints(rows, path)
+    return checkpoints.read_checkpoints(spark, path)
+
+
+STORED = f"""{with_("history")}, stored AS (SELECT 'run' || run_id AS run_id, epoch, train_loss, val_loss,
+    COALESCE(val_loss <= MIN(val_loss) OVER (PARTITION BY run_id ORDER BY epoch
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), TRUE) AS is_best FROM history)"""
+
+
+@query("checkpoint_epoch", f"{STORED} SELECT run_id, epoch, train_loss AS p0, val_loss AS p1, is_best FROM stored")
+def checkpoint_epoch(spark, sf):
+    return _stored(spark, sf).select(
+        "run_id", "epoch", F.col("params")[0].alias("p0"), F.col("params")[1].alias("p1"), "is_best"
+    )
+
+
+@query(
+    "checkpoint_resolve",
+    f"""{STORED} SELECT run_id, MAX(epoch) AS epoch, MAX_BY(val_loss, epoch) AS val_loss
+        FROM stored WHERE is_best GROUP BY run_id""",
+)
+def checkpoint_resolve(spark, sf):
+    picked = checkpoints.checkpoint_resolve(_stored(spark, sf))
+    return picked.select("run_id", "epoch", F.col("metrics")["val_loss"].alias("val_loss"))
