@@ -57,7 +57,9 @@ def _apply(stages: Sequence[Transformer], df: DataFrame) -> DataFrame:
 
 
 def _train(stages: list[Transformer], estimator: Estimator, df: DataFrame, last: str) -> PipelineModel:
-    ready = _apply(stages, df).persist()
+    # The solver passes over the data many times: keep just what it reads.
+    needed = ["features", *([estimator.getLabelCol()] if estimator.hasParam("labelCol") else [])]
+    ready = _apply(stages, df).select(*needed).persist()
     try:
         model = estimator.fit(ready)
     finally:

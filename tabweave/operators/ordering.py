@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAX_BUCKETS = 4096
 
@@ -24,6 +25,16 @@ def bucket_count(df: DataFrame) -> int:
     return max(8, min(MAX_BUCKETS, n))
 
 
+def as_number(df: DataFrame, order: str) -> Column:
+    """A date, timestamp or number as a double of the same order."""
+    dtype = df.schema[order].dataType
+    if isinstance(dtype, T.DateType):
+        return F.unix_date(order).cast("double")
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(F.col(order).cast("timestamp")).cast("double")
+    return F.col(order).cast("double")
+
+
 def order_bounds(df: DataFrame, order: str, n_buckets: int | None = None) -> list[float]:
     """Cut points that spread the rows evenly over the order axis.
 
@@ -32,7 +43,7 @@ def order_bounds(df: DataFrame, order: str, n_buckets: int | None = None) -> lis
     """
     n = n_buckets or bucket_count(df)
     probs = [i / n for i in range(1, n)]
-    return sorted(set(df.select(F.col(order).cast("double").alias("v")).approxQuantile("v", probs, 1 / (4 * n))))
+    return sorted(set(df.select(as_number(df, order).alias("v")).approxQuantile("v", probs, 1 / (4 * n))))
 
 
 def with_bucket(df: DataFrame, order: str, bounds: Sequence[float]) -> DataFrame:
@@ -42,7 +53,7 @@ def with_bucket(df: DataFrame, order: str, bounds: Sequence[float]) -> DataFrame
     splits = [float("-inf"), *bounds, float("inf")]
     return (
         Bucketizer(splits=splits, inputCol="__order", outputCol="__bucket")
-        .transform(df.withColumn("__order", F.col(order).cast("double")))
+        .transform(df.withColumn("__order", as_number(df, order)))
         .withColumn("__bucket", F.col("__bucket").cast("int"))
         .drop("__order")
     )
@@ -120,7 +131,7 @@ def ordered_index(df: DataFrame, order: str, by: Sequence[str], name: str = "idx
     inside a group.
     """
     by = list(by)
-    parts = with_bucket(df.withColumn("__o", F.col(order).cast("double")), "__o", order_bounds_of(df, order))
+    parts = with_bucket(df, order, order_bounds(df, order))
     counts = parts.groupBy(*by, "__bucket").agg(F.count("*").alias("__n"))
     before = Window.partitionBy(*by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select(*by, "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
@@ -132,10 +143,6 @@ def ordered_index(df: DataFrame, order: str, by: Sequence[str], name: str = "idx
     )
 
 
-def order_bounds_of(df: DataFrame, order: str) -> list[float]:
-    return order_bounds(df.select(F.col(order).cast("double").alias("o")), "o")
-
-
 # --------------------------------------------------------------------------
 # Exact order statistics
 # --------------------------------------------------------------------------
