@@ -93,13 +93,13 @@ def _class_texts(df: DataFrame, label: str, classes: list) -> list:
     return rows.orderBy("i").select(F.col("c").cast("string")).collect()
 
 
-def logistic_regression(df, features, label, C=1.0, max_iter=100, lead=None) -> PipelineModel:
+def logistic_regression(df, features, label, C=1.0, max_iter=100, tol=1e-6, lead=None) -> PipelineModel:
     """L2 penalty of weight ``1 / (C n)`` on raw features, no penalty on the intercept."""
 
     def make(n, k, d):
         return LogisticRegression(
             labelCol="__index", regParam=1.0 / (C * n), elasticNetParam=0.0, standardization=False,
-            maxIter=max_iter, tol=1e-8, family="binomial" if k == 2 else "multinomial",
+            maxIter=max_iter, tol=tol, family="binomial" if k == 2 else "multinomial",
         )
 
     return fit_classifier(df, features, label, make, lead)

@@ -1,4 +1,9 @@
-"""Parameters of every epoch of a run, as one partitioned table."""
+"""Parameters of every epoch of every run, as one table.
+
+Runs are told apart by a column, not by folders: thousands of short runs would
+otherwise leave thousands of folders to list, while a filter on ``run_id``
+skips row groups by their statistics all the same.
+"""
 
 from __future__ import annotations
 
@@ -25,7 +30,7 @@ def checkpoint_epoch(
 
 
 def append_checkpoints(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").partitionBy("run_id").parquet(path)
+    rows.write.mode("append").parquet(path)
 
 
 def read_checkpoints(spark: SparkSession, path: str) -> DataFrame:
