@@ -92,7 +92,8 @@ def tile_join(
     and still matter.
     """
     spark = left.sparkSession
-    sent = _copies(right, pivots, limits)
+    # New names for the right columns: both sides may stem from the same rows.
+    sent = _copies(right.select(*[F.col(c).alias(c) for c in right.columns]), pivots, limits)
     n_left = {r["cell"]: r["count"] for r in left.groupBy("cell").count().collect()}  # one row per pivot
     n_right = {r["to"]: r["count"] for r in sent.groupBy("to").count().collect()}
     plan = [

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import os
 from collections.abc import Sequence
 
@@ -53,6 +54,18 @@ def infer_types(df: DataFrame) -> dict[str, str]:
     return out
 
 
+# Spark's names for encodings that go by another one elsewhere.
+SPARK_CHARSETS = {"iso8859-1": "iso-8859-1", "ascii": "us-ascii", "utf_8": "utf-8"}
+
+
+def _charset(encoding: str) -> str:
+    try:
+        name = codecs.lookup(encoding).name
+    except LookupError:
+        return encoding
+    return SPARK_CHARSETS.get(name, name.replace("_", "-"))
+
+
 def scan_csv(
     spark: SparkSession,
     path: str | Sequence[str],
@@ -68,9 +81,10 @@ def scan_csv(
     The usual notations for missing values become NULL first, then each column
     gets the narrowest of boolean, bigint, double and string that fits all of
     its values.  With a ``schema`` nothing is inferred and the file is read
-    once.  ``options`` go to Spark's reader.
+    once.  ``options`` go to Spark's reader.  Encodings beyond ASCII, Latin-1
+    and Unicode need ``spark.sql.legacy.javaCharsets``.
     """
-    settings = {"header": "true", "encoding": encoding, "escape": '"', **options}
+    settings = {"header": "true", "encoding": _charset(encoding), "escape": '"', **options}
     try:
         reader = spark.read.options(**settings)
         raw = reader.csv(path)
