@@ -23,17 +23,19 @@ def nearest_neighbours(
     """``(id, other, distance, rank)``: the ``k`` nearest ``train`` rows of each query.
 
     Both frames have ``id`` and ``x array<double>``; ties go to the smaller
-    ``other``.  Each tile keeps only its ``k`` best per query, so at most ``k``
+    ``other``.  A ``label`` column of ``train`` is carried along.  Each tile keeps only its ``k`` best per query, so at most ``k``
     rows per query and tile are shuffled.
     """
     n = max(queries.count(), train.count())
     pivots = pick_pivots(train, pivot_count(n, block_rows))
-    left, right = assign_cells(queries.select("id", "x"), pivots), assign_cells(train.select("id", "x"), pivots)
+    carried = [c for c in ("label",) if c in train.columns]
+    left = assign_cells(queries.select("id", "x"), pivots)
+    right = assign_cells(train.select("id", "x", *carried), pivots)
     limits = neighbour_limits(left, right, pivots, k)
 
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return pd.DataFrame({"id": [], "other": [], "distance": []})
+            return pd.DataFrame({c: [] for c in ("id", "other", "distance", *carried)})
         b = b.sort_values("id", kind="stable")
         xa, xb, ia, ib = matrix(a["x"]), matrix(b["x"]), a["id"].to_numpy(), b["id"].to_numpy()
         m, out = min(k, len(b)), []
@@ -48,14 +50,16 @@ def nearest_neighbours(
                         "other": ib[order].ravel(),
                         "distance": np.take_along_axis(d, order, axis=1).ravel(),
                     }
+                    | {c: b[c].to_numpy()[order].ravel() for c in carried}
                 )
             )
         return pd.concat(out)
 
     types = [f.schema["id"].dataType.simpleString() for f in (queries, train)]
+    extra = "".join(f", {c} {train.schema[c].dataType.simpleString()}" for c in carried)
     found = tile_join(
-        left, right.select("id", "x"), pivots, limits, best,
-        f"id {types[0]}, other {types[1]}, distance double", block_rows,
+        left, right.select("id", "x", *carried), pivots, limits, best,
+        f"id {types[0]}, other {types[1]}, distance double{extra}", block_rows,
     )
     rank = Window.partitionBy("id").orderBy("distance", "other")
     return found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
@@ -75,12 +79,15 @@ class KnnModel:
     def transform(self, df: DataFrame) -> DataFrame:
         """Add ``predicted``; ``key`` identifies a row of ``df``."""
         queries = df.select(F.col(self.key).alias("id"), feature_array(df, self.features).alias("x"))
-        known = self.train.select(F.col(self.key).alias("id"), feature_array(self.train, self.features).alias("x"))
+        known = self.train.select(
+            F.col(self.key).alias("id"),
+            feature_array(self.train, self.features).alias("x"),
+            F.col(self.label).alias("label"),
+        )
         near = nearest_neighbours(queries, known, self.k, self.block_rows)
-        labels = self.train.select(F.col(self.key).alias("other"), F.col(self.label).alias("__label"))
-        votes = near.join(labels, "other").groupBy("id", "__label").agg(F.count("*").alias("n"))
+        votes = near.groupBy("id", "label").agg(F.count("*").alias("n"))
         winner = votes.groupBy(F.col("id").alias(self.key)).agg(
-            F.min_by("__label", F.struct(-F.col("n"), F.col("__label"))).alias("predicted")
+            F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("predicted")
         )
         return df.join(winner, self.key)
 

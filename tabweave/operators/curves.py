@@ -40,8 +40,14 @@ def class_scores(df: DataFrame, y: str, proba: str, classes: Sequence) -> DataFr
     ).select("class", "score", F.coalesce((F.col("__y") == F.col("class")).cast("bigint"), F.lit(0)).alias("hit"))
 
 
-def _cumulated(scores: DataFrame) -> DataFrame:
-    """One row per class and distinct score, highest first, with running counts."""
+def cumulated(scores: DataFrame) -> DataFrame:
+    """One row per class and distinct score, highest first, with running counts.
+
+    The functions below take either ``(class, score, hit)`` rows or this frame;
+    passing it lets several curves share its shuffles.
+    """
+    if "cum_tp" in scores.columns:
+        return scores
     tied = scores.groupBy("class", "score").agg(
         F.sum("hit").alias("tp"), F.sum(F.lit(1) - F.col("hit")).alias("fp")
     )
@@ -61,7 +67,7 @@ def roc_points(scores: DataFrame, drop_intermediate: bool = True) -> DataFrame:
     Points on a straight run between their neighbours are left out unless
     ``drop_intermediate`` is off.
     """
-    c = _cumulated(scores)
+    c = cumulated(scores)
     if drop_intermediate:
         bend = (F.col("next_tp") != F.col("tp")) | (F.col("next_fp") != F.col("fp"))
         c = c.where(~F.col("has_prev") | F.col("next_tp").isNull() | bend)
@@ -79,7 +85,7 @@ def roc_points(scores: DataFrame, drop_intermediate: bool = True) -> DataFrame:
 
 def pr_points(scores: DataFrame) -> DataFrame:
     """``(class, threshold, precision, recall)``, ending at recall 0, precision 1."""
-    c = _cumulated(scores)
+    c = cumulated(scores)
     point = F.struct(
         F.col("score").alias("threshold"),
         (F.col("cum_tp") / (F.col("cum_tp") + F.col("cum_fp"))).alias("precision"),
@@ -95,7 +101,7 @@ def areas(scores: DataFrame) -> DataFrame:
 
     ``auc`` counts ties half; ``ap`` is the step sum of precision over recall.
     """
-    c = _cumulated(scores)
+    c = cumulated(scores)
     sums = c.groupBy("class").agg(
         F.sum(F.col("fp") * (F.col("cum_tp") - F.col("tp") / 2)).alias("area"),
         F.sum(F.col("tp") * F.col("cum_tp") / (F.col("cum_tp") + F.col("cum_fp"))).alias("steps"),
@@ -122,6 +128,7 @@ def _display(curve: DataFrame, scores: DataFrame, names: dict[str, str] | None,
 
 def roc_plot_data(scores: DataFrame, names: dict[str, str] | None = None) -> DataFrame:
     """``(series, x, y)``: every ROC curve and the chance diagonal."""
+    scores = cumulated(scores)
     curves = _display(roc_points(scores), scores, names, "auc", "AUC").select(
         "series", F.col("fpr").alias("x"), F.col("tpr").alias("y")
     )
@@ -133,6 +140,7 @@ def roc_plot_data(scores: DataFrame, names: dict[str, str] | None = None) -> Dat
 
 def pr_plot_data(scores: DataFrame, names: dict[str, str] | None = None) -> DataFrame:
     """``(series, x, y)``: every precision-recall curve."""
+    scores = cumulated(scores)
     return _display(pr_points(scores), scores, names, "ap", "AP").select(
         "series", F.col("recall").alias("x"), F.col("precision").alias("y")
     )

@@ -198,7 +198,7 @@ def prediction_vs_actual(
         F.least(F.min("actual"), F.min("predicted")).alias("lo"),
         F.greatest(F.max("actual"), F.max("predicted")).alias("hi"),
     )
-    framed = pairs.join(F.broadcast(limits))  # one row
+    framed = pairs.withColumn("lo", limits.select("lo").scalar()).withColumn("hi", limits.select("hi").scalar())
     if bins is None:
         return framed
     width = F.col("hi") - F.col("lo")

@@ -148,6 +148,19 @@ def ordered_index(df: DataFrame, order: str, by: Sequence[str], name: str = "idx
 # --------------------------------------------------------------------------
 
 
+def _narrow(
+    band: DataFrame, need: int, n: int, vmin: float, vmax: float, mean: float, eps: float
+) -> tuple[float, float]:
+    """A smaller bracket around the ``need``-th of the ``n`` values ``v`` of ``band``."""
+    p = need / max(1, n - 1)
+    lo, hi = band.approxQuantile("v", [max(0.0, p - 2 * eps), min(1.0, p + 2 * eps)], eps)
+    if (lo, hi) != (vmin, vmax):
+        return lo, hi
+    middle = min(max(mean, vmin), vmax)  # the sketch did not help: split at the mean
+    low = band.where(F.col("v") <= F.lit(middle)).count()
+    return (vmin, middle) if need < low else (middle, vmax)
+
+
 def exact_quantiles(
     df: DataFrame, exprs: dict[str, Column], probs: Sequence[float], small: int = 200_000
 ) -> dict[str, list[float | None]]:
@@ -185,52 +198,54 @@ def exact_quantiles(
 
     found: dict[tuple[str, int], float] = {}
     while len(found) < len(wanted):
-        open_ = [k for k in wanted if k not in found]
+        # Neighbouring ranks share a bracket; each bracket is looked at once.
+        open_: dict[tuple[str, float, float], list[tuple[str, int]]] = {}
+        for k, (lo, hi) in wanted.items():
+            if k not in found:
+                open_.setdefault((k[0], lo, hi), []).append(k)
+        inside = [(F.col(c) >= F.lit(lo)) & (F.col(c) <= F.lit(hi)) for c, lo, hi in open_]
         aggs = []
-        for j, k in enumerate(open_):
-            c, (lo, hi) = F.col(k[0]), wanted[k]
-            inside = (c >= F.lit(lo)) & (c <= F.lit(hi))
+        for j, (c, lo, _) in enumerate(open_):
+            value = F.when(inside[j], F.col(c))
             aggs += [
-                F.count(F.when(c < F.lit(lo), 1)).alias(f"below{j}"),
-                F.count(F.when(inside, 1)).alias(f"in{j}"),
-                F.min(F.when(inside, c)).alias(f"min{j}"),
-                F.max(F.when(inside, c)).alias(f"max{j}"),
-                F.avg(F.when(inside, c)).alias(f"avg{j}"),
+                F.count(F.when(F.col(c) < F.lit(lo), 1)).alias(f"below{j}"),
+                F.count(value).alias(f"in{j}"),
+                F.min(value).alias(f"min{j}"),
+                F.max(value).alias(f"max{j}"),
+                F.avg(value).alias(f"avg{j}"),
             ]
         stat = frame.agg(*aggs).first()
-        for j, k in enumerate(open_):
-            lo, hi = wanted[k]
-            need = k[1] - stat[f"below{j}"]  # 0-based rank inside the bracket
-            inside, vmin, vmax, mean = (stat[f"{s}{j}"] for s in ("in", "min", "max", "avg"))
-            if need < 0:
-                wanted[k] = (float("-inf"), lo)
-            elif need >= inside:
-                wanted[k] = (hi, float("inf"))
-            elif vmin == vmax:
-                found[k] = vmin
-            elif inside <= small:
-                c = F.col(k[0])
-                rows = (
-                    frame.where((c >= F.lit(lo)) & (c <= F.lit(hi))).groupBy(c.alias("v")).count().orderBy("v").collect()
-                )
-                seen = 0
-                for row in rows:  # at most `small` rows
-                    seen += row["count"]
-                    if need < seen:
-                        found[k] = row["v"]
-                        break
-            else:
-                # narrow: the middle of the bracket halves it, the mean and a
-                # sketch of what is inside do far better on ordinary data
-                c = F.col(k[0])
-                band = frame.where((c >= F.lit(lo)) & (c <= F.lit(hi))).select(c.alias("v"))
-                p = need / max(1, inside - 1)
-                lo2, hi2 = band.approxQuantile("v", [max(0.0, p - 2 * eps), min(1.0, p + 2 * eps)], eps)
-                if (lo2, hi2) == (vmin, vmax):  # no progress: split at the mean
-                    mid = min(max(mean, vmin), vmax)
-                    n_low = band.where(F.col("v") <= F.lit(mid)).count()
-                    lo2, hi2 = (vmin, mid) if need < n_low else (mid, vmax)
-                wanted[k] = (lo2, hi2)
+        listed: list[int] = []
+        for j, ((c, lo, hi), ranks) in enumerate(open_.items()):
+            n, vmin, vmax, mean = (stat[f"{s}{j}"] for s in ("in", "min", "max", "avg"))
+            for k in ranks:
+                need = k[1] - stat[f"below{j}"]  # 0-based rank inside the bracket
+                if need < 0:
+                    wanted[k] = (float("-inf"), lo)
+                elif need >= n:
+                    wanted[k] = (hi, float("inf"))
+                elif vmin == vmax:
+                    found[k] = vmin
+                elif n <= small:
+                    listed.append(j)
+                else:
+                    wanted[k] = _narrow(frame.where(inside[j]).select(F.col(c).alias("v")), need, n, vmin, vmax, mean, eps)
+        if listed:  # at most `small` rows per bracket, all brackets in one job
+            tags = [
+                F.when(inside[j], F.struct(F.lit(j).alias("j"), F.col(c).alias("v")))
+                for j, (c, _, _) in enumerate(open_)
+                if j in listed
+            ]
+            rows = frame.select(F.inline(F.array_compact(F.array(*tags)))).groupBy("j", "v").count().collect()
+            for j, ranks in enumerate(open_.values()):
+                values = sorted((r["v"], r["count"]) for r in rows if r["j"] == j)
+                for k in ranks:
+                    need = k[1] - stat[f"below{j}"]
+                    for v, n in values if 0 <= need and k not in found and j in listed else ():
+                        need -= n
+                        if need < 0:
+                            found[k] = v
+                            break
 
     out: dict[str, list[float | None]] = {}
     for name, c in zip(names, cols, strict=True):

@@ -62,14 +62,29 @@ def missing_fractions(df: DataFrame, threshold: float = MISSING_WARN) -> DataFra
     )
 
 
-def duplicate_rows(df: DataFrame) -> DataFrame:
-    """One row: ``n_duplicates``, the rows equal to an earlier one.
+def _duplicate_facts(df: DataFrame) -> DataFrame:
+    """One row ``(n_rows, n_duplicates)``, exact.
 
-    Equal rows are combined before the shuffle, so a row repeated a billion
-    times costs one record per input partition.
+    Equal rows have equal hashes, so a row whose hash is unique has no copy.
+    Only 8 bytes per distinct row are shuffled to find that out, and whole rows
+    only for hashes that occur more than once.
     """
-    counts = df.groupBy(*[F.col(quoted(c)) for c in df.columns]).agg(F.count("*").alias("__n"))
-    return counts.agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).cast("bigint").alias("n_duplicates"))
+    hashed = df.withColumn("__h", F.xxhash64(*[F.col(quoted(c)) for c in df.columns]))
+    seen = hashed.groupBy("__h").agg(F.count("*").alias("__n"))
+    again = hashed.join(seen.where("__n > 1").select("__h"), "__h", "left_semi")
+    copies = again.groupBy(*[F.col(quoted(c)) for c in df.columns]).agg((F.count("*") - 1).alias("d"))
+    sides = seen.agg(F.sum("__n").alias("n"), F.lit(0).cast("bigint").alias("d")).unionByName(
+        copies.agg(F.lit(0).cast("bigint").alias("n"), F.sum("d").alias("d"))
+    )
+    return sides.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n_rows"),
+        F.coalesce(F.sum("d"), F.lit(0)).cast("bigint").alias("n_duplicates"),
+    )
+
+
+def duplicate_rows(df: DataFrame) -> DataFrame:
+    """One row: ``n_duplicates``, the rows equal to an earlier one."""
+    return _duplicate_facts(df).select("n_duplicates")
 
 
 def validate_table(df: DataFrame, target: str | None = None, threshold: float = MISSING_WARN) -> DataFrame:
@@ -106,9 +121,9 @@ def validate_table(df: DataFrame, target: str | None = None, threshold: float =
             F.format_string("%.1f%% of the values are missing.", F.col("fraction") * 100),
         ).alias("l")
     ).select("l.*")
-    dup = duplicate_rows(df)
+    dup = _duplicate_facts(df).where("n_rows > 0")
     dup_info = _lines(
-        dup.join(F.broadcast(filled)),  # one row each
+        dup,
         _line("info", "duplicates", None, F.col("n_duplicates"), F.lit(None).cast("string")),
     )
     dup_warn = _lines(
@@ -152,7 +167,7 @@ def missing_files(manifest: DataFrame, listing: DataFrame) -> DataFrame:
 def _first_paths(df: DataFrame, n: int = 5) -> DataFrame:
     """One row ``(n_bad, first)``: how many, and the first paths as an example."""
     head = df.select("path").orderBy("path").limit(n).agg(F.sort_array(F.collect_list("path")).alias("first"))
-    return df.agg(F.count("*").alias("n_bad")).join(F.broadcast(head))  # one row each
+    return df.agg(F.count("*").alias("n_bad")).withColumn("first", head.scalar())
 
 
 def validate_images(

@@ -93,14 +93,10 @@ def silhouette(
 
     A noise label counts as a cluster like any other.
     """
-    facts = df.agg(F.count("*").alias("n")), df.select(cluster).distinct().agg(F.count("*").alias("k"))
+    n, k = df.agg(F.count("*")), df.select(cluster).distinct().agg(F.count("*"))
+    defined = (k.scalar() >= 2) & (k.scalar() < n.scalar())
     mean = silhouette_samples(df, key, features, cluster, block_rows).agg(F.avg("silhouette").alias("v"))
-    defined = (F.col("k") >= 2) & (F.col("k") < F.col("n"))
-    return (
-        mean.join(F.broadcast(facts[0]))  # one row each
-        .join(F.broadcast(facts[1]))
-        .select(F.lit("silhouette").alias("metric"), F.when(defined, F.col("v")).otherwise(0.0).alias("value"))
-    )
+    return mean.select(F.lit("silhouette").alias("metric"), F.when(defined, F.col("v")).otherwise(0.0).alias("value"))
 
 
 def silhouette_squared(df: DataFrame, features: Sequence[str], cluster: str) -> float:

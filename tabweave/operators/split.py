@@ -55,9 +55,9 @@ def _cut_hashes(hashed: DataFrame, wanted: DataFrame, by: list[str]) -> DataFram
         digits = F.substring("h", 1 + level * PREFIX, PREFIX).alias(prefix)
         if level == 0:
             counts = hashed.groupBy(*by, digits).agg(F.count("*").alias("n"))
-            w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(prefix)
+            w = Window.partitionBy(*by).orderBy(prefix)
             counts = counts.withColumn("upto", F.sum("n").over(w))
-            joined = counts.join(target, by) if by else counts.join(F.broadcast(target))
+            joined = counts.join(target, by)
         else:
             near = hashed.withColumn("p0", F.substring("h", 1, PREFIX)).join(target, [*by, "p0"])
             counts = near.groupBy(*known, "cut", "rank", digits).agg(F.count("*").alias("n"))
@@ -90,13 +90,13 @@ def split_random(
     """
     check_sizes(val, test)
     h = row_hash(seed, key)
-    hashed = df.select(h.alias("h"))
+    hashed = df.select(F.lit(0).alias("__all"), h.alias("h"))
     n_test, n_val = part_sizes(df.count(), val, test)
     ranks = [(name, rank) for name, rank in (("test", n_test), ("val", n_test + n_val)) if rank]
     if not ranks:
         return df.withColumn("split", F.lit("train"))
-    wanted = df.sparkSession.createDataFrame(ranks, "cut string, rank bigint")
-    cuts = {r["cut"]: r["h"] for r in _cut_hashes(hashed, wanted, []).collect()}
+    wanted = df.sparkSession.createDataFrame([(0, *r) for r in ranks], "__all int, cut string, rank bigint")
+    cuts = {r["cut"]: r["h"] for r in _cut_hashes(hashed, wanted, ["__all"]).collect()}
     return df.withColumn("split", _label_rows(h, F.lit(cuts.get("test", "")), F.lit(cuts.get("val", ""))))
 
 
@@ -117,9 +117,8 @@ def _quotas(sizes: DataFrame, label: str, size: str, total: str, whole: str, nam
 
 def class_quotas(df: DataFrame, label: str, val: float, test: float) -> DataFrame:
     """``(label, n, n_test, n_val)``: one row per class, so small enough to order."""
-    sizes = df.groupBy(col(label).alias("__label")).agg(F.count("*").alias("n")).crossJoin(
-        F.broadcast(df.agg(F.count("*").alias("whole")))  # one row
-    )
+    sizes = df.groupBy(col(label).alias("__label")).agg(F.count("*").alias("n"))
+    sizes = sizes.withColumn("whole", F.sum("n").over(Window.partitionBy(F.lit(0))))
     rel = val / (1 - test)
     sizes = sizes.withColumn("total_test", F.ceil(F.col("whole") * F.lit(test)))
     sizes = _quotas(sizes, "__label", "n", "total_test", "whole", "n_test")
