@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabweave.operators.tiles import BLOCK_ROWS, chunks, distances, matrix
+from tabweave.operators.tiles import BLOCK_ROWS, chunks, distances, matrix, tile_tasks
 from tabweave.session import cut_lineage
 
 MAX_PIVOTS = 2048
@@ -115,9 +115,10 @@ def tile_join(
         .withColumn("__r", salt("id", "nr")).withColumn("__l", spread("nl"))
     )
     keys = ["cell", "__l", "__r"]
+    tasks = tile_tasks(sum(nl * nr for _, nl, nr in plan))
     return (
-        lefts.drop("nl", "nr", "off").groupBy(*keys)
-        .cogroup(rights.drop("nl", "nr").groupBy(*keys))
+        lefts.drop("nl", "nr", "off").repartition(tasks, *keys).groupBy(*keys)
+        .cogroup(rights.drop("nl", "nr").repartition(tasks, *keys).groupBy(*keys))
         .applyInPandas(work, schema)
     )
 

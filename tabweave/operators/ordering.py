@@ -54,7 +54,9 @@ def with_bucket(df: DataFrame, order: str, bounds: Sequence[float]) -> DataFrame
     return (
         Bucketizer(splits=splits, inputCol="__order", outputCol="__bucket")
         .transform(df.withColumn("__order", as_number(df, order)))
-        .withColumn("__bucket", F.col("__bucket").cast("int"))
+        # Never NULL, or the planner adds a filter to one use of the frame only
+        # and can no longer share its shuffle with the other.
+        .withColumn("__bucket", F.coalesce(F.col("__bucket").cast("int"), F.lit(0)))
         .drop("__order")
     )
 

@@ -46,9 +46,13 @@ def target_present(df: DataFrame, target: str | None) -> DataFrame:
     return df.sparkSession.range(1).select(F.lit(target).cast("string").alias("target"), F.lit(found).alias("present"))
 
 
+def _missing_share_columns(df: DataFrame) -> list[Column]:
+    return [F.avg(is_missing(df, c).cast("int")).alias(f"m{i}") for i, c in enumerate(df.columns)]
+
+
 def _missing_shares(df: DataFrame) -> DataFrame:
     """``(column, fraction)`` of every column from one aggregate over one scan."""
-    row = df.agg(*[F.avg(is_missing(df, c).cast("int")).alias(f"m{i}") for i, c in enumerate(df.columns)])
+    row = df.agg(*_missing_share_columns(df))
     pairs = [F.struct(F.lit(c).alias("column"), F.col(f"m{i}").alias("fraction")) for i, c in enumerate(df.columns)]
     return row.select(F.inline(F.array(*pairs)))
 
@@ -88,55 +92,45 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 
 
 def validate_table(df: DataFrame, target: str | None = None, threshold: float = MISSING_WARN) -> DataFrame:
-    """Shape, target, missing values and duplicates as one report."""
+    """Shape, target, missing values and duplicates as one report.
+
+    One aggregate feeds everything but the duplicates.
+    """
     spark = df.sparkSession
     if not df.columns:
         return spark.createDataFrame(
             [("error", "empty", None, 0.0, "The table has no rows or no columns.")], REPORT_SCHEMA
         )
-    shape = df.agg(F.count("*").alias("n"))
-    empty = _lines(
-        shape.where("n = 0"),
-        _line("error", "empty", None, F.lit(0), F.lit("The table has no rows or no columns.")),
-    )
-    filled = shape.where("n > 0")
-    shape_lines = [
-        _line("info", "n_rows", None, F.col("n"), F.lit(None).cast("string")),
-        _line("info", "n_columns", None, F.lit(len(df.columns)), F.lit(",".join(df.columns))),
+    none, n = F.lit(None).cast("string"), F.col("n")
+    row = df.agg(F.count("*").alias("n"), *_missing_share_columns(df))
+    lines = [
+        F.when(n == 0, _line("error", "empty", None, F.lit(0), F.lit("The table has no rows or no columns."))),
+        F.when(n > 0, _line("info", "n_rows", None, n, none)),
+        F.when(n > 0, _line("info", "n_columns", None, F.lit(len(df.columns)), F.lit(",".join(df.columns)))),
     ]
     if target is not None and target not in df.columns:
-        shape_lines.append(
-            _line("error", "target", F.lit(target), F.lit(0), F.lit(f"Target column '{target}' is not in the table."))
+        text = F.lit(f"Target column '{target}' is not in the table.")
+        lines.append(F.when(n > 0, _line("error", "target", F.lit(target), F.lit(0), text)))
+    for i, c in enumerate(df.columns):
+        share = F.col(f"m{i}")
+        text = F.format_string("%.1f%% of the values are missing.", share * 100)
+        value = F.round(share, 4)
+        lines += [
+            F.when(share > 0, _line("info", "missing", F.lit(c), value, none)),
+            F.when((share > 0) & (share >= threshold), _line("warning", "missing", F.lit(c), value, text)),
+        ]
+    d = F.col("n_duplicates")
+    found = _duplicate_facts(df).select(
+        F.inline(
+            F.array_compact(
+                F.array(
+                    F.when(F.col("n_rows") > 0, _line("info", "duplicates", None, d, none)),
+                    F.when(d > 0, _line("warning", "duplicates", None, d, F.format_string("%d duplicate row(s).", d))),
+                )
+            )
         )
-    shares = _missing_shares(df).where("fraction > 0")
-    info = shares.select(
-        _line("info", "missing", F.col("column"), F.round("fraction", 4), F.lit(None).cast("string")).alias("l")
-    ).select("l.*")
-    warn = shares.where(F.col("fraction") >= threshold).select(
-        _line(
-            "warning",
-            "missing",
-            F.col("column"),
-            F.round("fraction", 4),
-            F.format_string("%.1f%% of the values are missing.", F.col("fraction") * 100),
-        ).alias("l")
-    ).select("l.*")
-    dup = _duplicate_facts(df).where("n_rows > 0")
-    dup_info = _lines(
-        dup,
-        _line("info", "duplicates", None, F.col("n_duplicates"), F.lit(None).cast("string")),
     )
-    dup_warn = _lines(
-        dup.where("n_duplicates > 0"),
-        _line(
-            "warning", "duplicates", None, F.col("n_duplicates"),
-            F.format_string("%d duplicate row(s).", F.col("n_duplicates")),
-        ),
-    )
-    out = empty
-    for part in (_lines(filled, *shape_lines), info, warn, dup_info, dup_warn):
-        out = out.unionByName(part)
-    return out
+    return row.select(F.inline(F.array_compact(F.array(*lines)))).unionByName(found)
 
 
 def class_counts(df: DataFrame, label: str = "label") -> DataFrame:

@@ -17,38 +17,62 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabweave.operators.tiles import BLOCK_ROWS, block_of, blocks_for, chunks, distances, feature_array, matrix
+from tabweave.operators.tiles import (
+    BLOCK_ROWS,
+    block_of,
+    blocks_for,
+    chunks,
+    distances,
+    feature_array,
+    matrix,
+    tile_tasks,
+)
+
+
+def _onehot(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    present, at = np.unique(codes, return_inverse=True)
+    out = np.zeros((len(at), len(present)))
+    out[np.arange(len(at)), at] = 1.0
+    return present, out
+
+
+def _sums_frame(ids, own, present, sums) -> pd.DataFrame:
+    return pd.DataFrame(
+        {
+            "id": np.repeat(ids, len(present)),
+            "own": np.repeat(own, len(present)),
+            "code": np.tile(present, len(ids)),
+            "s": sums.ravel(),
+        }
+    )
 
 
 def _tile_sums(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Distance sums of each row of a tile to each cluster on the other side."""
+    """Distance sums of each row of a tile to each cluster on the other side.
+
+    A tile of one block with itself has a single side; otherwise every distance
+    is worked out once and counted for both of its ends.
+    """
+    first = (pdf["blk"] == pdf["a"]).to_numpy()
+    x, codes, ids = matrix(pdf["x"]), pdf["code"].to_numpy(), pdf["id"].to_numpy()
     same = bool((pdf["a"] == pdf["b"]).iloc[0])
-    x, codes = matrix(pdf["x"]), pdf["code"].to_numpy()
-    ids = pdf["id"].to_numpy()
-    first = np.ones(len(pdf), bool) if same else (pdf["blk"] == pdf["a"]).to_numpy()
-    sides = [(first, first)] if same else [(first, ~first), (~first, first)]
-    out = []
-    for left, right in sides:
-        if not left.any() or not right.any():
-            continue
-        present, at = np.unique(codes[right], return_inverse=True)
-        onehot = np.zeros((len(at), len(present)))
-        onehot[np.arange(len(at)), at] = 1.0
-        xl, xr, il, cl = x[left], x[right], ids[left], codes[left]
-        for part in chunks(len(xl)):
-            sums = distances(xl[part], xr) @ onehot
-            m = len(il[part])
-            out.append(
-                pd.DataFrame(
-                    {
-                        "id": np.repeat(il[part], len(present)),
-                        "own": np.repeat(cl[part], len(present)),
-                        "code": np.tile(present, m),
-                        "s": sums.ravel(),
-                    }
-                )
-            )
-    return pd.concat(out) if out else pd.DataFrame({"id": [], "own": [], "code": [], "s": []})
+    left, right = first, first if same else ~first
+    if not left.any() or not right.any():
+        return pd.DataFrame({"id": [], "own": [], "code": [], "s": []})
+    x_right = x[right]
+    present_l, hot_l = _onehot(codes[left])
+    present_r, hot_r = _onehot(codes[right])
+    forward, back = np.zeros((left.sum(), len(present_r))), np.zeros((right.sum(), len(present_l)))
+    x_left = x[left]
+    for part in chunks(len(x_left)):
+        d = distances(x_left[part], x_right)
+        forward[part] = d @ hot_r
+        if not same:
+            back += d.T @ hot_l[part]
+    out = [_sums_frame(ids[left], codes[left], present_r, forward)]
+    if not same:
+        out.append(_sums_frame(ids[right], codes[right], present_l, back))
+    return pd.concat(out)
 
 
 def silhouette_samples(
@@ -67,8 +91,10 @@ def silhouette_samples(
         "id", "x", "code", "blk", F.least("blk", "other").alias("a"), F.greatest("blk", "other").alias("b")
     )
     id_type = points.schema["id"].dataType.simpleString()
+    # Tiles are small in bytes and heavy in work: give each its own task.
     sums = (
-        tiles.groupBy("a", "b")
+        tiles.repartition(tile_tasks(n_blocks * (n_blocks + 1) // 2), "a", "b")
+        .groupBy("a", "b")
         .applyInPandas(_tile_sums, f"id {id_type}, own bigint, code bigint, s double")
         .groupBy("id", "own", "code")
         .agg(F.sum("s").alias("s"))
@@ -93,8 +119,8 @@ def silhouette(
 
     A noise label counts as a cluster like any other.
     """
-    n, k = df.agg(F.count("*")), df.select(cluster).distinct().agg(F.count("*"))
-    defined = (k.scalar() >= 2) & (k.scalar() < n.scalar())
+    facts = df.agg(F.count("*").alias("n"), F.count_distinct(cluster).alias("k"))
+    defined = facts.select((F.col("k") >= 2) & (F.col("k") < F.col("n"))).scalar()
     mean = silhouette_samples(df, key, features, cluster, block_rows).agg(F.avg("silhouette").alias("v"))
     return mean.select(F.lit("silhouette").alias("metric"), F.when(defined, F.col("v")).otherwise(0.0).alias("value"))
 

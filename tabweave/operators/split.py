@@ -21,6 +21,7 @@ from tabweave.operators.detect import detect_type
 SEED = 42
 DEFAULT_SHARE = 0.15
 PREFIX = 3  # hex digits per level: 4,096 prefixes
+FEW = 50_000  # hashes of one prefix that may be listed on the driver
 
 
 def check_sizes(val: float, test: float) -> None:
@@ -81,23 +82,54 @@ def _label_rows(h: Column, test_cut: Column, val_cut: Column) -> Column:
     return F.when(h <= test_cut, "test").when(h <= val_cut, "val").otherwise("train")
 
 
+def _global_cuts(hashed: DataFrame, sizes) -> list[str]:
+    """The hashes of the rows at the ranks ``sizes(n)`` of all ``n`` rows.
+
+    Each round counts the rows per prefix, a bounded table, keeps the prefix a
+    rank falls under, and makes it longer until few rows are left to list.
+    """
+    width, inside = PREFIX, hashed
+    ranks: list[int] = []
+    known: list[str] = []
+    while True:
+        heads = {r["p"]: r["count"] for r in inside.groupBy(F.substring("h", 1, width).alias("p")).count().collect()}
+        if not known:
+            ranks = list(sizes(sum(heads.values())))
+            known = [""] * len(ranks)
+        for i, (rank, prefix) in enumerate(zip(ranks, known, strict=True)):
+            for p in sorted(h for h in heads if h.startswith(prefix)) if rank else ():
+                if rank <= heads[p]:
+                    ranks[i], known[i] = rank, p
+                    break
+                rank -= heads[p]
+        open_ = sorted({p for r, p in zip(ranks, known, strict=True) if r})
+        if width >= 32 or not open_:
+            return [p if r else "" for r, p in zip(ranks, known, strict=True)]
+        inside = hashed.where(F.substring("h", 1, width).isin(open_))
+        if all(heads[p] <= FEW for p in open_):
+            break
+        width += PREFIX
+    rows = sorted(r["h"] for r in inside.select("h").collect())  # at most FEW per rank
+    return [[h for h in rows if h.startswith(p)][r - 1] if r else "" for r, p in zip(ranks, known, strict=True)]
+
+
 def split_random(
     df: DataFrame, key: str | Sequence[str], val: float = DEFAULT_SHARE, test: float = DEFAULT_SHARE, seed: int = SEED
 ) -> DataFrame:
     """Add ``split``.  ``key`` identifies a row; the sizes are exact.
 
-    Only two hashes reach the driver; the labelling itself is a narrow map.
+    Only prefix counts and a sliver of hashes reach the driver; the labelling
+    itself is a narrow map.
     """
     check_sizes(val, test)
     h = row_hash(seed, key)
-    hashed = df.select(F.lit(0).alias("__all"), h.alias("h"))
-    n_test, n_val = part_sizes(df.count(), val, test)
-    ranks = [(name, rank) for name, rank in (("test", n_test), ("val", n_test + n_val)) if rank]
-    if not ranks:
-        return df.withColumn("split", F.lit("train"))
-    wanted = df.sparkSession.createDataFrame([(0, *r) for r in ranks], "__all int, cut string, rank bigint")
-    cuts = {r["cut"]: r["h"] for r in _cut_hashes(hashed, wanted, ["__all"]).collect()}
-    return df.withColumn("split", _label_rows(h, F.lit(cuts.get("test", "")), F.lit(cuts.get("val", ""))))
+
+    def sizes(n: int) -> tuple[int, int]:
+        n_test, n_val = part_sizes(n, val, test)
+        return n_test, n_test + n_val
+
+    test_cut, val_cut = _global_cuts(df.select(h.alias("h")), sizes)
+    return df.withColumn("split", _label_rows(h, F.lit(test_cut), F.lit(val_cut)))
 
 
 def _quotas(sizes: DataFrame, label: str, size: str, total: str, whole: str, name: str) -> DataFrame:

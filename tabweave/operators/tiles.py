@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 BLOCK_ROWS = 4096
 CHUNK_ROWS = 512
+MAX_TASKS = 20_000
 
 
 def feature_array(df: DataFrame, features: Sequence[str]) -> Column:
@@ -31,6 +32,11 @@ def blocks_for(n: int, rows: int = BLOCK_ROWS) -> int:
     return max(1, math.ceil(n / rows))
 
 
+def tile_tasks(n_tiles: int) -> int:
+    """Tasks for that many tiles; a fixed number, so small tiles are not merged."""
+    return max(1, min(n_tiles, MAX_TASKS))
+
+
 def block_of(key: str, n_blocks: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(n_blocks)).cast("int")
 
