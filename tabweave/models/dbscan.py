@@ -26,10 +26,11 @@ from pyspark.sql import functions as F
 from tabweave.operators.cells import assign_cells, pick_pivots, pivot_count, radii, tile_join
 from tabweave.operators.components import connected_components
 from tabweave.operators.numbering import number_values
-from tabweave.operators.tiles import BLOCK_ROWS, chunks, distances, feature_array, matrix
+from tabweave.operators.tiles import chunks, distances, feature_array, matrix
 from tabweave.session import cut_lineage
 
 GRID_DIMENSIONS = 3
+TILE_ROWS = 2048  # a task holds a few square matrices of this size
 SPLITS = {1: 16, 2: 4, 3: 2}  # cuts per axis when a bounding box is refined
 MAX_LEVEL = 26
 LEAF = 32  # boxes of at most this many rows are compared row by row
@@ -41,7 +42,7 @@ def dbscan(
     features: Sequence[str],
     eps: float = 0.5,
     min_samples: int = 5,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int = TILE_ROWS,
 ) -> DataFrame:
     """Add ``predicted``: the cluster number, or -1 for noise.
 

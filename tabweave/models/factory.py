@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from tabweave.models import mllib
 from tabweave.models.bayes import fit_naive_bayes
@@ -28,6 +28,13 @@ class Clustered:
     def transform(self, df: DataFrame) -> DataFrame:
         raise NotImplementedError("this clustering labels the rows it was fitted on; read `labels`")
 
+    def save(self, path: str) -> None:
+        self.labels.write.mode("overwrite").parquet(f"{path}/labels")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Clustered:
+        return cls(spark.read.parquet(f"{path}/labels"))
+
 
 def _keyed(fn: Callable[..., DataFrame]) -> Callable[..., Clustered]:
     def fit(df: DataFrame, features: Sequence[str], key: str, **params: Any) -> Clustered:

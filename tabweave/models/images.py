@@ -11,6 +11,8 @@ from tabweave.models import mllib
 from tabweave.operators.images import ImagePrep
 from tabweave.sources.images import scan_image_pixels
 
+OPTIONS = "size array<int>, mean array<double>, std array<double>"
+
 
 @dataclass
 class ImageModel:
@@ -21,6 +23,18 @@ class ImageModel:
         """Add ``predicted`` to rows of ``scan_image_pixels``."""
         return self.head.transform(self.prep.evaluation(df))
 
+    def save(self, path: str) -> None:
+        self.head.write().overwrite().save(f"{path}/head")
+        options = [(list(self.prep.size), list(self.prep.mean), list(self.prep.std))]
+        spark = SparkSession.active()
+        spark.createDataFrame(options, OPTIONS).write.mode("overwrite").json(f"{path}/options")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> ImageModel:
+        o = spark.read.schema(OPTIONS).json(f"{path}/options").first()
+        prep = ImagePrep(tuple(o["size"]), tuple(o["mean"]), tuple(o["std"]), augment=False)
+        return cls(prep, PipelineModel.load(f"{path}/head"))
+
 
 def fit_image_classifier(
     df: DataFrame, label: str = "label", size: tuple[int, int] = (16, 16), head: str = "logistic", **params

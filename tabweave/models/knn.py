@@ -7,13 +7,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabweave.operators.cells import assign_cells, neighbour_limits, pick_pivots, pivot_count, tile_join
 from tabweave.operators.tiles import BLOCK_ROWS, chunks, distances, feature_array, matrix
 
 
+OPTIONS = "features array<string>, label string, key string, k int, block_rows int"
+
+
 def nearest_neighbours(
     queries: DataFrame,
     train: DataFrame,
@@ -92,7 +95,14 @@ class KnnModel:
         return df.join(winner, self.key)
 
     def save(self, path: str) -> None:
-        self.train.select(self.key, self.label, *self.features).write.mode("overwrite").parquet(path)
+        self.train.select(self.key, self.label, *self.features).write.mode("overwrite").parquet(f"{path}/rows")
+        options = [(self.features, self.label, self.key, self.k, self.block_rows)]
+        self.train.sparkSession.createDataFrame(options, OPTIONS).write.mode("overwrite").json(f"{path}/options")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> KnnModel:
+        o = spark.read.schema(OPTIONS).json(f"{path}/options").first()
+        return cls(spark.read.parquet(f"{path}/rows"), o["features"], o["label"], o["key"], o["k"], o["block_rows"])
 
 
 def fit_knn(

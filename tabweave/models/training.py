@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,7 +56,5 @@ def train_classical(
     options |= {"features": list(features), "key": key} if clustering else {"y": label}
     metrics = {r["metric"]: r["value"] for r in val_metrics(task, scored, **options).collect()}
     if path is not None:
-        if not isinstance(model, PipelineModel):
-            raise ValueError(f"a fitted {name} is not a saved pipeline; store its labels or training rows instead")
         model_save(model, path, name, metrics)
     return TrainingRun(model, metrics, seconds)

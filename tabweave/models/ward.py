@@ -1,10 +1,14 @@
 """Hierarchical clustering with Ward linkage.
 
-Ward's tree needs all pairwise distances, so it is built over at most
-``MICRO`` points: the distinct rows themselves where they are that few, and
-otherwise the centres of that many k-means micro-clusters fitted on the whole
-cluster and weighted by their rows.  Mapping rows to the tree's clusters is a
-narrow pass again.
+Ward's tree does not depend on the order in which mutually nearest clusters are
+joined, so a round joins all such pairs at once: every cluster looks for its
+nearest one in bounded tiles spread over the whole cluster, about a third of
+the clusters disappear per round, and the last few thousand are finished on the
+driver.  Each join is recorded with its height; cutting the tree means leaving
+out the highest joins and following the rest.  The result is exact and the
+first round, quadratic in the distinct rows, dominates the cost.  ``micro``
+bounds that cost for very large tables by building the tree over as many
+weighted k-means centres instead.
 """
 
 from __future__ import annotations
@@ -12,26 +16,36 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabweave.operators.tiles import feature_array
+from tabweave.operators.numbering import number_values
+from tabweave.operators.tiles import (
+    BLOCK_ROWS,
+    block_of,
+    blocks_for,
+    chunks,
+    distances,
+    feature_array,
+    matrix,
+    tile_tasks,
+)
 from tabweave.session import cut_lineage
 
-MICRO = 2000
+LOCAL = 5000  # clusters few enough to finish on the driver
 
 
-def ward_merge(x: np.ndarray, weight: np.ndarray, k: int) -> np.ndarray:
-    """Cluster index of each (bounded, driver-side) point after merging down to ``k``.
+def ward_tree(x: np.ndarray, weight: np.ndarray) -> list[tuple[int, int, float]]:
+    """Joins ``(kept, gone, height)`` of a bounded set of points, lowest first.
 
     Repeatedly joins the two clusters whose union raises the within-cluster sum
-    of squares least.
+    of squares least; the smaller index stands for the union.
     """
     n = len(x)
     center, mass, alive = x.astype(float).copy(), weight.astype(float).copy(), np.ones(n, bool)
-    member = np.arange(n)
 
     def cost(i: int) -> np.ndarray:
         d = ((center - center[i]) ** 2).sum(axis=1) * (mass * mass[i] / (mass + mass[i]))
@@ -44,18 +58,18 @@ def ward_merge(x: np.ndarray, weight: np.ndarray, k: int) -> np.ndarray:
         c = cost(i)
         at[i] = int(c.argmin())
         best[i] = c[at[i]]
-    for _ in range(n - k):
+    joins = []
+    for _ in range(n - 1):
         i = int(np.where(alive, best, np.inf).argmin())
-        j = int(at[i])
+        height, j = float(best[i]), int(at[i])
         i, j = min(i, j), max(i, j)
+        joins.append((i, j, height))
         center[i] = (mass[i] * center[i] + mass[j] * center[j]) / (mass[i] + mass[j])
         mass[i] += mass[j]
         alive[j], best[j] = False, np.inf
-        member[member == j] = i
         c = cost(i)
         at[i], best[i] = int(c.argmin()), c.min()
-        # the merged cluster may have come closer to some, and those that
-        # pointed at either part must look again
+        # those that pointed at either part must look again, others may now be closer
         for o in np.nonzero(alive & ((at == i) | (at == j)))[0]:
             if o != i:
                 co = cost(o)
@@ -63,41 +77,147 @@ def ward_merge(x: np.ndarray, weight: np.ndarray, k: int) -> np.ndarray:
         closer = alive & (c < best)
         closer[i] = False
         at[closer], best[closer] = i, c[closer]
-    return member
+    return joins
+
+
+def _tile_nearest(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The cheapest join of each row of a tile with a row on the other side."""
+    pdf = pdf.sort_values("id", kind="stable")  # so that ties go to the smaller id
+    first = (pdf["blk"] == pdf["a"]).to_numpy()
+    same = bool((pdf["a"] == pdf["b"]).iloc[0])
+    left, right = first, first if same else ~first
+    if not left.any() or not right.any():
+        return pd.DataFrame({"id": [], "other": [], "cost": []})
+    x, w, ids = matrix(pdf["x"]), pdf["w"].to_numpy(dtype=float), pdf["id"].to_numpy()
+    xl, wl, idl, xr, wr, idr = x[left], w[left], ids[left], x[right], w[right], ids[right]
+    out, low, at_low = [], np.full(len(xr), np.inf), np.zeros(len(xr), int)
+    for part in chunks(len(xl)):
+        d = distances(xl[part], xr)
+        cost = d * d * (wl[part][:, None] * wr / (wl[part][:, None] + wr))
+        row = np.arange(len(cost))
+        if same:
+            cost[row, part.start + row] = np.inf
+        else:  # the same costs seen from the other side
+            at = cost.argmin(axis=0)
+            value = cost[at, np.arange(len(xr))]
+            better = value < low
+            low[better], at_low[better] = value[better], part.start + at[better]
+        at = cost.argmin(axis=1)
+        out.append(pd.DataFrame({"id": idl[part], "other": idr[at], "cost": cost[row, at]}))
+    if not same:
+        out.append(pd.DataFrame({"id": idr, "other": idl[at_low], "cost": low}))
+    found = pd.concat(out)
+    return found[np.isfinite(found["cost"])]
+
+
+def _nearest(sites: DataFrame, n: int, block_rows: int) -> DataFrame:
+    """``(id, other, cost)``: the cheapest partner of every cluster."""
+    n_blocks = blocks_for(n, block_rows)
+    kind = sites.schema["id"].dataType.simpleString()
+    tiles = sites.withColumn("blk", block_of("id", n_blocks)).select(
+        "id", "x", "w", "blk", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("__o")
+    )
+    tiles = tiles.select("id", "x", "w", "blk", F.least("blk", "__o").alias("a"), F.greatest("blk", "__o").alias("b"))
+    found = (
+        tiles.repartition(tile_tasks(n_blocks * (n_blocks + 1) // 2), "a", "b")
+        .groupBy("a", "b")
+        .applyInPandas(_tile_nearest, f"id {kind}, other {kind}, cost double")
+    )
+    best = found.groupBy("id").agg(F.min(F.struct("cost", "other")).alias("m"))
+    return best.select("id", F.col("m.other").alias("other"), F.col("m.cost").alias("cost"))
+
+
+def _join_round(sites: DataFrame, n: int, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Join all mutually nearest pairs; returns the joins and the new clusters."""
+    near = _nearest(sites, n, block_rows)
+    # A pair that both of its clusters name shows up twice.
+    both = near.groupBy(F.greatest("id", "other").alias("src"), F.least("id", "other").alias("dst")).agg(
+        F.min("cost").alias("height"), F.count("*").alias("named")
+    )
+    joins = cut_lineage(both.where("named = 2").drop("named"))
+    gone = sites.select(F.col("id").alias("src"), F.col("x").alias("x2"), F.col("w").alias("w2"))
+    grown = joins.join(gone, "src").select(F.col("dst").alias("id"), "x2", "w2")
+    total = F.col("w") + F.col("w2")
+    center = F.zip_with("x", "x2", lambda p, q: (p * F.col("w") + q * F.col("w2")) / total)
+    kept = sites.join(joins.select(F.col("src").alias("id")), "id", "left_anti").join(grown, "id", "left")
+    new = kept.select(
+        "id",
+        F.when(F.col("w2").isNull(), F.col("x")).otherwise(center).alias("x"),
+        F.coalesce(total, F.col("w")).alias("w"),
+    )
+    return joins, cut_lineage(new)
+
+
+def _cut(sites: DataFrame, n_clusters: int, local: int, block_rows: int) -> DataFrame:
+    """``(id, predicted)`` per site; clusters are numbered by their smallest id."""
+    spark, kind = sites.sparkSession, sites.schema["id"].dataType.simpleString()
+    rounds: list[tuple[DataFrame, DataFrame]] = []  # sites before the round, joins of the round
+    n = sites.count()
+    while n > local:
+        joins, after = _join_round(sites, n, block_rows)
+        rounds.append((sites, joins))
+        n -= joins.count()
+        sites = after
+    few = sites.orderBy("id").collect()  # at most `local` rows
+    ids = [r["id"] for r in few]
+    tree = ward_tree(np.array([r["x"] for r in few]), np.array([r["w"] for r in few])) if few else []
+    # Leaving out the highest joins cuts the tree: at most n_clusters - 1 of each round can be among them.
+    heights = [(h, ids[j]) for _, j, h in tree]
+    for _, joins in rounds:
+        heights += [tuple(r) for r in joins.orderBy(F.desc("height"), "src").limit(n_clusters - 1).select("height", "src").collect()]
+    undone = {src for _, src in sorted(heights, key=lambda t: -t[0])[: n_clusters - 1]}
+    root = np.arange(len(few))
+    for i, j, _ in tree:
+        if ids[j] not in undone:
+            root[root == root[j]] = root[i]
+    labels = spark.createDataFrame([(i, ids[r]) for i, r in zip(ids, root, strict=True)], f"id {kind}, label {kind}")
+    for before, joins in reversed(rounds):
+        # Whoever was joined in this round has the label of the cluster it went to.
+        kept = joins.where(~F.col("src").isin(*undone)) if undone else joins
+        step = before.select("id").join(kept.select(F.col("src").alias("id"), "dst"), "id", "left")
+        step = step.select("id", F.coalesce("dst", "id").alias("to"))
+        step = step.join(labels.withColumnRenamed("id", "to"), "to", "left")
+        labels = step.select("id", F.coalesce("label", "to").alias("label"))
+    labels = cut_lineage(labels)
+    # A label is the smallest id of its cluster.
+    numbers = number_values(labels.select("label").distinct(), "label", "predicted")
+    return labels.join(numbers, "label").select("id", F.col("predicted").cast("int").alias("predicted"))
 
 
 def hierarchical(
-    df: DataFrame, key: str, features: Sequence[str], n_clusters: int = 2, micro: int = MICRO, seed: int = 42
+    df: DataFrame,
+    key: str,
+    features: Sequence[str],
+    n_clusters: int = 2,
+    micro: int | None = None,
+    seed: int = 42,
+    local: int = LOCAL,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Add ``predicted``; clusters are numbered by their smallest ``key``."""
+    """Add ``predicted``; clusters are numbered by their smallest ``key``.
+
+    ``micro`` trades exactness for linear cost: the rows are first gathered
+    into that many k-means centres.
+    """
     if n_clusters < 1:
         raise ValueError(f"n_clusters must be at least 1, not {n_clusters}")
-    if not n_clusters <= micro <= MICRO:
-        raise ValueError(f"micro must lie between n_clusters and {MICRO}, not {micro}")
-    rows = df.select(F.col(key).alias("id"), feature_array(df, features).alias("x"))
-    places = rows.groupBy("x").agg(F.count("*").alias("w"), F.min("id").alias("id"))
-    if places.limit(micro + 1).count() <= micro:
-        sites = places.select("x", "w", "id")
-        mapped = rows
+    if micro is not None and micro < n_clusters:
+        raise ValueError(f"micro must be at least n_clusters, not {micro}")
+    rows = df.select(F.col(key).alias("row"), feature_array(df, features).alias("x"))
+    if micro is None:
+        # Rows in the same place are one site from the start.
+        sites = cut_lineage(rows.groupBy("x").agg(F.count("*").alias("w"), F.min("row").alias("id")))
+        placed = rows.join(sites.select("x", "id"), "x")
     else:
         vectors = rows.withColumn("features", array_to_vector("x"))
         model = KMeans(k=micro, maxIter=20, seed=seed, predictionCol="site").fit(vectors)
-        found = cut_lineage(model.transform(vectors).select("id", "site", "x"))
+        found = cut_lineage(model.transform(vectors).select("row", "site"))
         centers = df.sparkSession.createDataFrame(
             [(i, [float(v) for v in c]) for i, c in enumerate(model.clusterCenters())], "site int, x array<double>"
         )
-        counts = found.groupBy("site").agg(F.count("*").alias("w"), F.min("id").alias("id"))
-        sites = counts.join(centers, "site").select("x", "w", "id", "site")
-        mapped = found.drop("x").join(F.broadcast(centers), "site")
-    few = sites.orderBy("id").collect()  # at most MICRO rows
-    member = ward_merge(np.array([r["x"] for r in few]), np.array([r["w"] for r in few]), min(n_clusters, len(few)))
-    # rows are in key order, so first appearance numbers clusters by smallest key
-    number = {m: i for i, m in enumerate(dict.fromkeys(member.tolist()))}
-    table = df.sparkSession.createDataFrame(
-        [(list(r["x"]), number[m]) for r, m in zip(few, member.tolist(), strict=True)],
-        "x array<double>, predicted int",
-    )
-    labels = mapped.join(F.broadcast(table), "x").select(F.col("id").alias(key), "predicted")
-    return df.join(labels, key)
-
-
+        counts = found.groupBy("site").agg(F.count("*").alias("w"), F.min("row").alias("id"))
+        sites = cut_lineage(counts.join(centers, "site"))
+        placed = found.join(sites.select("site", "id"), "site")
+    labels = _cut(sites.select("id", "x", "w"), n_clusters, local, block_rows)
+    named = placed.select("row", "id").join(labels, "id").select(F.col("row").alias(key), "predicted")
+    return df.join(named, key)

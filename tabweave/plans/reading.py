@@ -129,10 +129,30 @@ def _summed(df):
     )
 
 
-@query("image_eval_transform")
+def _doubled(source: str, axis: str, other: str) -> str:
+    """SQL: twice as many pixels along ``axis``, three quarters of the pixel
+    below and one of its nearer neighbour, rounded to whole levels."""
+    return f"""SELECT a.id, a.ch, a.{other}, 2 * a.{axis} + s.s AS {axis}, FLOOR(0.75E0 * a.v + 0.25E0 * b.v + 0.5E0) AS v
+        FROM {source} a, (VALUES (0), (1)) s(s), {source} b WHERE b.id = a.id AND b.ch = a.ch AND b.{other} = a.{other}
+        AND b.{axis} = LEAST(GREATEST(a.{axis} + 2 * s.s - 1, 0), 7)"""
+
+
+@query(
+    "image_eval_transform",
+    f"""WITH px AS (SELECT vec_id AS id, {NAME} AS name, (i - 1) // 8 AS y, (i - 1) % 8 AS x,
+            {LEVEL.format(e="embedding[i]")} AS v
+            FROM embeddings, (SELECT UNNEST(RANGE(1, 65)) AS i) WHERE NOT ({BAD})),
+        rgb AS (SELECT id, 0 AS ch, y, x, v FROM px UNION ALL SELECT id, 1, y, x, 255 - v FROM px
+            UNION ALL SELECT id, 2, y, x, FLOOR(v / 2) FROM px),
+        wide AS ({_doubled("rgb", "x", "y")}), full_ AS ({_doubled("wide", "y", "x")}),
+        scaled AS (SELECT id, (v / 255 - CASE ch WHEN 0 THEN 0.485E0 WHEN 1 THEN 0.456E0 ELSE 0.406E0 END)
+            / CASE ch WHEN 0 THEN 0.229E0 WHEN 1 THEN 0.224E0 ELSE 0.225E0 END AS v FROM full_)
+        SELECT name, 3 AS c, 16 AS h, 16 AS w, 768 AS n, ROUND(mean, 3) AS mean
+        FROM (SELECT id, AVG(v) AS mean FROM scaled GROUP BY id) JOIN (SELECT DISTINCT id, name FROM px) USING (id)""",
+)
 def image_eval_transform(spark, sf):
     px = images.scan_image_pixels(spark, write_images(spark, sf))
-    return _summed(ImagePrep(size=(32, 32)).evaluation(px))
+    return _summed(ImagePrep(size=(16, 16)).evaluation(px))
 
 
 @query("image_augment")

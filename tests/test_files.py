@@ -9,6 +9,7 @@ from tabweave.operators import images as px
 from tabweave.operators.preprocessor import Preprocessor
 from tabweave.plans.derived_files import png
 from tabweave.sources import images
+from tabweave.sources.store import model_load, model_save
 from tabweave.sources.files import preview, scan_csv, scan_dataset
 
 
@@ -144,10 +145,12 @@ def test_facade():
     assert both.table.scaler == "robust" and both.image.size == (8, 8) and not both.image.augment
 
 
-def test_image_classifier(spark, folder):
+def test_image_classifier(spark, folder, tmp_path):
     model = fit_image_classifier(images.scan_image_pixels(spark, folder), size=(4, 4))
     rows = predict_images(spark, folder, model).collect()
     assert len(rows) == 12 and all(r["path"].split("/")[-2] == r["predicted"] for r in rows)
+    path = model_save(model, str(tmp_path / "image_model"))
+    assert predict_images(spark, folder, model_load(path)).orderBy("path").collect() == sorted(rows)
     with pytest.raises(ValueError):
         fit_image_classifier(images.scan_image_pixels(spark, folder), head="forest")
     listing = images.list_files(spark, folder)

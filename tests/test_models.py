@@ -10,7 +10,7 @@ from tabweave.models.epochs import predict_scores, train_epochs
 from tabweave.models.forecast import fit_forecast, fit_per_series, sequence_windows
 from tabweave.models.knn import nearest_neighbours
 from tabweave.models.training import train_classical
-from tabweave.models.ward import hierarchical, ward_merge
+from tabweave.models.ward import hierarchical, ward_tree
 from tabweave.operators.components import connected_components
 from tabweave.operators.inference import Predictor
 from tabweave.sources.checkpoints import checkpoint_resolve, read_checkpoints
@@ -260,7 +260,19 @@ def test_ward(spark):
         assert got == slow_ward(x, k)
     rough = [r["predicted"] for r in hierarchical(df, "id", cols, 3, micro=12).orderBy("id").collect()]
     assert rough == slow_ward(x, 3)  # well separated: micro-clusters change nothing
-    assert len(set(ward_merge(x, np.ones(45), 4).tolist())) == 4
+    tree = ward_tree(x, np.ones(45))
+    assert len(tree) == 44 and all(a[2] <= b[2] + 1e-9 for a, b in zip(tree, tree[1:]))
+
+
+@pytest.mark.parametrize("local,block", [(6, 20), (15, 9999)])
+def test_ward_in_rounds(spark, local, block):
+    rng = np.random.default_rng(17)
+    x = np.vstack([rng.normal(0, 1, (28, 2)), rng.normal(4, 1, (16, 2)), [[50.0, 50.0], [51.0, 50.0]]])
+    x[:8] = x[0]  # copies count with their weight
+    df, cols = frame(spark, x)
+    for k in (2, 9):
+        got = [r["predicted"] for r in hierarchical(df, "id", cols, k, local=local, block_rows=block).orderBy("id").collect()]
+        assert got == slow_ward(x, k), k
 
 
 # ---- sequences -----------------------------------------------------------
@@ -401,6 +413,10 @@ def test_train_classical(spark, tmp_path):
     run = train_classical(df, "classification", "naive_bayes", cols, "k", path=str(tmp_path / "nb"))
     assert run.metrics["val_accuracy"] == 1.0 and set(run.metrics) == {"val_accuracy", "val_precision", "val_recall", "val_f1"}
     for name, options in (("kmeans", {"n_clusters": 2}), ("dbscan", {"eps": 1.0}), ("hierarchical", {})):
-        assert train_classical(df, "clustering", name, cols, **options).metrics["val_silhouette"] > 0.8
-    knn = train_classical(df, "classification", "knn", cols, "k")
+        run = train_classical(df, "clustering", name, cols, path=str(tmp_path / name), **options)
+        assert run.metrics["val_silhouette"] > 0.8
+    assert model_load(str(tmp_path / "dbscan")).labels.select("predicted").distinct().count() == 2
+    knn = train_classical(df, "classification", "knn", cols, "k", path=str(tmp_path / "knn"))
     assert knn.metrics["val_f1"] == 1.0
+    again = Predictor(path=str(tmp_path / "knn")).predict(df.drop("k"), "id").orderBy("id").collect()
+    assert again == knn.model.transform(df).select("id", "predicted").orderBy("id").collect()
