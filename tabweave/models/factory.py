@@ -121,7 +121,7 @@ def resolve(task: str, name: str) -> Callable[..., Any]:
     t, n = task.lower().strip(), clean_name(name)
     n = REPLACED.get(t, {}).get(n, n)
     if n not in MODELS.get(t, {}):
-        raise ValueError(f"Unsupported model '{name}' for task '{task}'. Available: {list_models(t)}")
+        raise ValueError(f"no model '{name}' for '{task}'; there are {', '.join(list_models(t)) or 'none'}")
     return MODELS[t][n]
 
 

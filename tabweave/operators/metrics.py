@@ -140,7 +140,7 @@ def compute_metrics(
         from tabweave.operators.silhouette import silhouette
 
         return silhouette(df, key, features or [], p)
-    raise ValueError(f"Unknown task '{task}'. Expected one of {TASKS}")
+    raise ValueError(f"'{task}' is no task; there are {', '.join(TASKS)}")
 
 
 def val_metrics(task: str, df: DataFrame, split: str = "split", **options) -> DataFrame:

@@ -63,7 +63,7 @@ def scaler_lookup(name: str | None) -> Callable[[dict], tuple[float, float]] | N
     if name is None:
         return None
     if name.lower() not in SCALERS:
-        raise ValueError(f"Unknown scaler '{name}'. Choose from {sorted(SCALERS)}")
+        raise ValueError(f"no scaler is called '{name}'; there are {', '.join(sorted(SCALERS))}")
     return SCALERS[name.lower()]
 
 
@@ -91,7 +91,7 @@ class TablePrep:
     def __post_init__(self) -> None:
         scaler_lookup(self.scaler)
         if self.impute is not None and self.impute not in IMPUTE:
-            raise ValueError(f"Unknown imputation '{self.impute}'. Choose from {list(IMPUTE)}")
+            raise ValueError(f"no imputation is called '{self.impute}'; there are {', '.join(IMPUTE)}")
 
     # -- fitting -----------------------------------------------------------
 

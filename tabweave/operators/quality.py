@@ -6,7 +6,7 @@ they can be stored, filtered and compared like any other data.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabweave.functions.missing import is_missing, quoted
@@ -158,10 +158,36 @@ def missing_files(manifest: DataFrame, listing: DataFrame) -> DataFrame:
     return manifest.join(listing.select("path"), "path", "left_anti")
 
 
-def _first_paths(df: DataFrame, n: int = 5) -> DataFrame:
-    """One row ``(n_bad, first)``: how many, and the first paths as an example."""
-    head = df.select("path").orderBy("path").limit(n).agg(F.sort_array(F.collect_list("path")).alias("first"))
-    return df.agg(F.count("*").alias("n_bad")).withColumn("first", head.scalar())
+# Outcome of a manifest row, the check it belongs to, its severity and wording.
+OUTCOMES = [
+    ("missing", "missing_files", "error", "not found"),
+    ("corrupt", "corrupt_images", "error", "unreadable"),
+    ("unsupported", "unsupported_images", "warning", "of a format this reader cannot check"),
+]
+
+
+def _file_lines(manifest: DataFrame, status: DataFrame, examples: int = 5) -> DataFrame:
+    """Report lines on the files of a manifest, each with its first few paths."""
+    found = manifest.select("path").join(status.select("path", "status"), "path", "left")
+    bad = found.select("path", F.coalesce("status", F.lit("missing")).alias("status")).where("status <> 'ok'")
+    counts = bad.groupBy("status").agg(F.count("*").alias("n"))
+    # A rank filter of this form is cut to a few rows per status before the shuffle.
+    rank = F.row_number().over(Window.partitionBy("status").orderBy("path"))
+    head = bad.withColumn("rank", rank).where(F.col("rank") <= examples)
+    head = head.groupBy("status").agg(F.array_sort(F.collect_list("path")).alias("paths"))
+    known = manifest.sparkSession.createDataFrame(OUTCOMES, "status string, name string, severity string, text string")
+    facts = known.join(counts, "status", "left").join(head, "status", "left")
+    n = F.coalesce("n", F.lit(0))
+    text = F.concat(n.cast("string"), F.lit(" file(s) "), F.col("text"), F.lit(": "), F.concat_ws(", ", "paths"))
+
+    def line(severity, message):
+        return F.struct(
+            severity.alias("severity"), F.col("name").alias("check"), F.lit(None).cast("string").alias("column"),
+            n.cast("double").alias("value"), message.alias("message"),
+        )
+
+    info = line(F.lit("info"), F.lit(None).cast("string"))
+    return facts.select(F.inline(F.array_compact(F.array(info, F.when(n > 0, line(F.col("severity"), text))))))
 
 
 def validate_images(
@@ -200,28 +226,9 @@ def validate_images(
             F.format_string("Largest to smallest class: %d to %d.", F.col("hi"), F.col("lo")),
         ),
     )
-    gone = _first_paths(missing_files(manifest, status))
-    known = manifest.join(status, "path")
-    bad = _first_paths(known.where("status = 'corrupt'"))
-    other = _first_paths(known.where("status = 'unsupported'"))
     out = empty.unionByName(sizes).unionByName(per_class).unionByName(single).unionByName(skewed)
-    for check, severity, text, rows in (
-        ("missing_files", "error", "not found", gone),
-        ("corrupt_images", "error", "unreadable", bad),
-        ("unsupported_images", "warning", "of a format this reader cannot check", other),
-    ):
-        out = out.unionByName(
-            _lines(rows, _line("info", check, None, F.col("n_bad"), F.lit(None).cast("string")))
-        ).unionByName(
-            _lines(
-                rows.where("n_bad > 0"),
-                _line(
-                    severity, check, None, F.col("n_bad"),
-                    F.concat(F.col("n_bad").cast("string"), F.lit(f" file(s) {text}: "), F.concat_ws(", ", "first")),
-                ),
-            )
-        )
-    return out
+    some = counts.agg(F.count("*") > 0)  # an empty manifest has no other lines
+    return out.unionByName(_file_lines(manifest, status).where(some.scalar()))
 
 
 def validate(

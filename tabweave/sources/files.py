@@ -91,14 +91,14 @@ def scan_csv(
     except Exception as exc:
         if "PATH_NOT_FOUND" in str(exc):
             raise FileNotFoundError(f"No such file: {path}") from exc
-        raise RuntimeError(f"Failed to read CSV {path}: {exc}") from exc
+        raise RuntimeError(f"cannot read {path} as CSV: {exc}") from exc
     if not raw.columns:
-        raise RuntimeError(f"Failed to read CSV {path}: no columns")
+        raise RuntimeError(f"cannot read {path} as CSV: it is empty")
     text = raw.select(*[F.when(~col(c).isin(*na_texts), col(c)).alias(c) for c in raw.columns])
     if schema is not None:
         wanted = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
         if len(wanted) != len(text.columns):
-            raise RuntimeError(f"Failed to read CSV {path}: {len(text.columns)} columns, schema has {len(wanted)}")
+            raise RuntimeError(f"cannot read {path} as CSV: {len(text.columns)} columns, the schema has {len(wanted)}")
         return text.select(
             *[col(c).try_cast(f.dataType).alias(f.name) for c, f in zip(text.columns, wanted.fields, strict=True)]
         )
