@@ -17,6 +17,20 @@ from tabweave.operators.tiles import BLOCK_ROWS, chunks, distances, feature_arra
 OPTIONS = "features array<string>, label string, key string, k int, block_rows int"
 
 
+def smallest(d: np.ndarray, m: int) -> np.ndarray:
+    """Columns of the ``m`` smallest values per row, in order, the first column on ties."""
+    if m >= d.shape[1]:
+        return np.argsort(d, axis=1, kind="stable")
+    order = np.sort(np.argpartition(d, m - 1, axis=1)[:, :m], axis=1)
+    picked = np.take_along_axis(d, order, axis=1)
+    order = np.take_along_axis(order, np.argsort(picked, axis=1, kind="stable"), axis=1)
+    # More than m values up to the m-th: the partition chose among equals at will.
+    tied = np.nonzero((d <= picked.max(axis=1, keepdims=True)).sum(axis=1) > m)[0]
+    if len(tied):
+        order[tied] = np.argsort(d[tied], axis=1, kind="stable")[:, :m]
+    return order
+
+
 def nearest_neighbours(
     queries: DataFrame,
     train: DataFrame,
@@ -44,8 +58,7 @@ def nearest_neighbours(
         m, out = min(k, len(b)), []
         for part in chunks(len(a)):
             d = distances(xa[part], xb)
-            # a stable sort on rows ordered by id keeps the smaller id on ties
-            order = np.argsort(d, axis=1, kind="stable")[:, :m]
+            order = smallest(d, m)
             out.append(
                 pd.DataFrame(
                     {

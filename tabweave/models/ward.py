@@ -119,7 +119,7 @@ def _nearest(sites: DataFrame, n: int, block_rows: int) -> DataFrame:
     )
     tiles = tiles.select("id", "x", "w", "blk", F.least("blk", "__o").alias("a"), F.greatest("blk", "__o").alias("b"))
     found = (
-        tiles.repartition(tile_tasks(n_blocks * (n_blocks + 1) // 2), "a", "b")
+        tiles.repartition(tile_tasks(sites, n_blocks * (n_blocks + 1) // 2), "a", "b")
         .groupBy("a", "b")
         .applyInPandas(_tile_nearest, f"id {kind}, other {kind}, cost double")
     )

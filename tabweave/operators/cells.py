@@ -115,7 +115,7 @@ def tile_join(
         .withColumn("__r", salt("id", "nr")).withColumn("__l", spread("nl"))
     )
     keys = ["cell", "__l", "__r"]
-    tasks = tile_tasks(sum(nl * nr for _, nl, nr in plan))
+    tasks = tile_tasks(left, sum(nl * nr for _, nl, nr in plan))
     return (
         lefts.drop("nl", "nr", "off").repartition(tasks, *keys).groupBy(*keys)
         .cogroup(rights.drop("nl", "nr").repartition(tasks, *keys).groupBy(*keys))

@@ -91,9 +91,8 @@ def silhouette_samples(
         "id", "x", "code", "blk", F.least("blk", "other").alias("a"), F.greatest("blk", "other").alias("b")
     )
     id_type = points.schema["id"].dataType.simpleString()
-    # Tiles are small in bytes and heavy in work: give each its own task.
     sums = (
-        tiles.repartition(tile_tasks(n_blocks * (n_blocks + 1) // 2), "a", "b")
+        tiles.repartition(tile_tasks(df, n_blocks * (n_blocks + 1) // 2), "a", "b")
         .groupBy("a", "b")
         .applyInPandas(_tile_sums, f"id {id_type}, own bigint, code bigint, s double")
         .groupBy("id", "own", "code")

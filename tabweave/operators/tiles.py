@@ -18,7 +18,6 @@ from pyspark.sql import types as T
 
 BLOCK_ROWS = 4096
 CHUNK_ROWS = 512
-MAX_TASKS = 20_000
 
 
 def feature_array(df: DataFrame, features: Sequence[str]) -> Column:
@@ -32,9 +31,15 @@ def blocks_for(n: int, rows: int = BLOCK_ROWS) -> int:
     return max(1, math.ceil(n / rows))
 
 
-def tile_tasks(n_tiles: int) -> int:
-    """Tasks for that many tiles; a fixed number, so small tiles are not merged."""
-    return max(1, min(n_tiles, MAX_TASKS))
+def tile_tasks(df: DataFrame, n_tiles: int) -> int:
+    """Tasks for that many tiles: a few per core, and a fixed number.
+
+    Tiles are small in bytes and heavy in work, so the planner must not merge
+    their partitions by size.
+    """
+    spark = df.sparkSession
+    cores = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return max(1, min(n_tiles, cores))
 
 
 def block_of(key: str, n_blocks: int) -> Column:
