@@ -47,6 +47,8 @@ def committed(uri: str) -> Iterator[pyarrow.NativeFile]:
     try:
         with fs.open_output_stream(temporary, compression=None) as out:
             yield out
+        if fs.get_file_info(path).type != pyarrow.fs.FileType.NotFound:
+            fs.delete_file(path)  # not every store renames onto a file
         fs.move(temporary, path)
     except BaseException:
         if fs.get_file_info(temporary).type != pyarrow.fs.FileType.NotFound:
