@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pyarrow.fs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from tabweave.session import scratch_path
 
@@ -23,6 +23,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return scratch_path(spark, name)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table written to the shared folder; what reads it does not know how it was made."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def file_system(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
     """The file system of a URI and the path in it; a path without a scheme is local."""
     if "://" not in uri and not uri.startswith("file:"):

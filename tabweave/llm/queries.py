@@ -9,8 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabweave.llm.bpe import encode_texts
+from tabweave.llm.fuzzy_lines import dedup_lines
+from tabweave.llm.html_diff import extract_pages
+from tabweave.llm.mixing import mix_sources, word_count
+from tabweave.llm.quality_forest import judge_quality
+from tabweave.llm.simhash_bk import near_duplicates
+from tabweave.llm.token_scan import count_tokens
 from tabweave.llm.topk_nra import top_k
 from tabweave.llm.url_rules import PatternRule, SiteRule, filter_urls
+from tabweave.llm.warc import round_trip
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,10 +39,30 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: The vocabulary, and an id that it leaves free.
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+END_OF_DOCUMENT = 50256
+
+
+@query()
+def op1_html_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(read(spark, sf_dir, "pages"))
+
+
+@query()
+def op2_token_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(read(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN, END_OF_DOCUMENT)
+
+
+@query()
+def op3_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = dedup_lines(read(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_removed", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
 @query()
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return encode_texts(read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return encode_texts(read(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
 # Fixed values of the query: sites, then patterns of pages that a crawl does not want.
@@ -90,6 +117,34 @@ def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(read(spark, sf_dir, "pages"), PATTERNS, SITES)
 
 
+@query()
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@query(
+    """
+    WITH sized AS (
+        SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
+        FROM pages),
+    kept AS (
+        SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS response
+        FROM sized)
+    SELECT page_id, payload_bytes, payload_digest,
+           CASE WHEN response = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN response <> page_id THEN response END AS refers_to
+    FROM kept"""
+)
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = round_trip(read(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query()
+def op8_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 @query(
     """
     WITH whole AS (
@@ -108,3 +163,12 @@ def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+#: The most repeated source is seen twice for each time that the largest is seen once.
+MAX_SPREAD = 2.0
+
+
+@query()
+def op10_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(read(spark, sf_dir, "documents"), word_count(), max_spread=MAX_SPREAD)
