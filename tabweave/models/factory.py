@@ -68,7 +68,7 @@ MODELS: dict[str, dict[str, Callable[..., Any]]] = {
     FORECASTING: {},
 }
 
-# Neural names asked for elsewhere, and the distributed job that takes their place.
+# Neural names asked for elsewhere, and the distributed job that takes their place.
 REPLACED = {
     CLASSIFICATION: {
         "cnn": "image_classifier",
@@ -87,6 +87,7 @@ REPLACED = {
         "mobilenet_v3_large": "frozen_feature_head",
         "vgg16": "frozen_feature_head",
     },
+    REGRESSION: {"rnn": "forecast", "lstm": "forecast"},
     FORECASTING: {"rnn": "forecast", "gru": "forecast", "lstm": "forecast"},
 }
 
@@ -104,7 +105,7 @@ def _forecast(df: DataFrame, **params: Any):
 
 
 MODELS[CLASSIFICATION]["image_classifier"] = _image_classifier
-MODELS[FORECASTING]["forecast"] = _forecast
+MODELS[FORECASTING]["forecast"] = MODELS[REGRESSION]["forecast"] = _forecast
 
 
 def clean_name(name: str) -> str:

@@ -32,7 +32,8 @@ def sequence_windows(
 
     ``window`` holds the values up to ``t``, oldest first; with ``features`` it
     is an array of feature arrays.  ``target`` is ``y`` ``horizon`` rows later;
-    windows without one are kept only when ``with_target`` is off.
+    windows without one are kept only when ``with_target`` is off.  A missing
+    value keeps its place in a window as NULL.
 
     A series is cut into chunks of consecutive rows that overlap by just the
     rows a window or its target reaches into, so one very long series is spread
@@ -60,7 +61,8 @@ def sequence_windows(
     out = spread.select(
         F.col("s").alias(series),
         F.col("t").alias(t),
-        F.collect_list("v").over(frame).alias("window"),
+        # Structs, since collect_list leaves out NULL.
+        F.transform(F.collect_list(F.struct("v")).over(frame), lambda r: r["v"]).alias("window"),
         F.lead("y", horizon).over(line).alias("target"),
         "idx",
         "home",
@@ -75,12 +77,14 @@ def fit_forecast(windows: DataFrame, length: int, model: str = "linear", **optio
     """One autoregression over the windows of all series.
 
     ``linear`` is least squares on the window; ``gbt`` is boosted trees.
+    Windows with a missing value are not fitted and get NULL for a forecast.
     """
+    windows = windows.where("NOT EXISTS(window, x -> x IS NULL OR ISNAN(x))")
     names = [f"__lag{i}" for i in range(length)]
     lags = ", ".join(f"window[{i}] AS {n}" for i, n in enumerate(names))
     stages = [
         SQLTransformer(statement=f"SELECT *, {lags} FROM __THIS__"),
-        VectorAssembler(inputCols=names, outputCol="features"),
+        VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep"),
         SQLTransformer(statement=f"SELECT * EXCEPT ({', '.join(names)}) FROM __THIS__"),
     ]
     if model == "linear":
@@ -97,7 +101,8 @@ def fit_forecast(windows: DataFrame, length: int, model: str = "linear", **optio
         fitted = estimator.fit(ready)
     finally:
         ready.unpersist()
-    last = SQLTransformer(statement="SELECT * EXCEPT (features), prediction AS predicted FROM __THIS__")
+    known = "IF(EXISTS(window, x -> x IS NULL OR ISNAN(x)), NULL, prediction)"
+    last = SQLTransformer(statement=f"SELECT * EXCEPT (features), {known} AS predicted FROM __THIS__")
     return PipelineModel(stages=[*stages, fitted, last])
 
 
@@ -105,8 +110,10 @@ def fit_per_series(windows: DataFrame, series: str, length: int) -> DataFrame:
     """``(series, n, coefficients, intercept)``: least squares for every series.
 
     The normal equations are sums, so they are added up before the shuffle and
-    a series of any length arrives as one small row.
+    a series of any length arrives as one small row.  Windows with a missing
+    value are left out.
     """
+    windows = windows.where("NOT EXISTS(window, x -> x IS NULL OR ISNAN(x))")
     x = [F.lit(1.0), *[F.col("window")[i] for i in range(length)]]
     sums = [F.sum(x[i] * x[j]).alias(f"g{i}_{j}") for i in range(length + 1) for j in range(i, length + 1)]
     sums += [F.sum(x[i] * F.col("target")).alias(f"r{i}") for i in range(length + 1)]

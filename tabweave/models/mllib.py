@@ -27,14 +27,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabweave.functions.missing import col, quoted
-from tabweave.models.bayes import pick_label
+from tabweave.models.bayes import class_list, pick_label
 from tabweave.models.kernel import ArrayToVector, RandomFourierFeatures
 
-MAX_CLASSES = 10_000
 TREE_DEPTH = 30  # the deepest tree Spark grows
 FOREST_DEPTH = 12  # a forest of deeper trees costs far more than it gains
 
 
+def tree_depth(depth: int) -> int:
+    """``depth``, if Spark can grow such trees."""
+    if not 0 <= depth <= TREE_DEPTH:
+        raise ValueError(f"max_depth is between 0 and {TREE_DEPTH}, not {depth}")
+    return depth
+
+
 def vector_stages(df: DataFrame, features: Sequence[str], out: str = "features") -> list[Transformer]:
     """Stages that build one vector from number columns or one array column."""
     if len(features) == 1 and isinstance(df.schema[features[0]].dataType, T.ArrayType):
@@ -42,14 +48,6 @@ def vector_stages(df: DataFrame, features: Sequence[str], out: str = "features")
     return [VectorAssembler(inputCols=list(features), outputCol=out)]
 
 
-def class_list(df: DataFrame, label: str) -> list:
-    """Sorted distinct labels; few by nature, and checked to be."""
-    rows = df.select(col(label).alias("c")).where("c IS NOT NULL").distinct().limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"'{label}' has more than {MAX_CLASSES} distinct values: not a class label")
-    return sorted(r["c"] for r in rows)
-
-
 def _apply(stages: Sequence[Transformer], df: DataFrame) -> DataFrame:
     for s in stages:
         df = s.transform(df)
@@ -108,7 +106,7 @@ def logistic_regression(df, features, label, C=1.0, max_iter=100, tol=1e-6, lead
 def decision_tree(df, features, label, max_depth=TREE_DEPTH, max_bins=256, min_samples_leaf=1, seed=42) -> PipelineModel:
     def make(n, k, d):
         return DecisionTreeClassifier(
-            labelCol="__index", impurity="gini", maxDepth=min(max_depth, TREE_DEPTH), maxBins=max_bins,
+            labelCol="__index", impurity="gini", maxDepth=tree_depth(max_depth), maxBins=max_bins,
             minInstancesPerNode=min_samples_leaf, maxMemoryInMB=1024, seed=seed,
         )
 
@@ -123,7 +121,7 @@ def random_forest(
     def make(n, k, d):
         return RandomForestClassifier(
             labelCol="__index", numTrees=n_estimators, featureSubsetStrategy="sqrt",
-            maxDepth=min(max_depth, TREE_DEPTH), maxBins=max_bins, maxMemoryInMB=1024, seed=seed,
+            maxDepth=tree_depth(max_depth), maxBins=max_bins, maxMemoryInMB=1024, seed=seed,
         )
 
     return fit_classifier(df, features, label, make)
@@ -215,7 +213,7 @@ def random_forest_regressor(
     df, features, label, n_estimators=100, max_depth=FOREST_DEPTH, max_bins=64, seed=42
 ) -> PipelineModel:
     model = RandomForestRegressor(
-        numTrees=n_estimators, featureSubsetStrategy="all", maxDepth=min(max_depth, TREE_DEPTH), maxBins=max_bins,
+        numTrees=n_estimators, featureSubsetStrategy="all", maxDepth=tree_depth(max_depth), maxBins=max_bins,
         maxMemoryInMB=1024, seed=seed,
     )
     return _fit_regressor(df, features, label, model)

@@ -2,13 +2,15 @@
 
 Ward's tree does not depend on the order in which mutually nearest clusters are
 joined, so a round joins all such pairs at once: every cluster looks for its
-nearest one in bounded tiles spread over the whole cluster, about a third of
-the clusters disappear per round, and the last few thousand are finished on the
-driver.  Each join is recorded with its height; cutting the tree means leaving
-out the highest joins and following the rest.  The result is exact and the
-first round, quadratic in the distinct rows, dominates the cost.  ``micro``
-bounds that cost for very large tables by building the tree over as many
-weighted k-means centres instead.
+nearest one in bounded tiles spread over the whole cluster.  Equal costs are
+told apart by a hash of the pair, so that evenly spaced points do not line up
+behind one another; about a third of the clusters disappear per round.  Once all
+clusters fit one tile, a single task plays the remaining rounds by the same
+rule.  Each join is recorded with its height; cutting the tree means leaving out
+the highest joins and following the rest.  The result is exact and the first
+round, quadratic in the distinct rows, dominates the cost.  ``micro`` bounds
+that cost for very large tables by building the tree over as many weighted
+k-means centres instead.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabweave.operators.components import connected_components
 from tabweave.operators.numbering import number_values
 from tabweave.operators.tiles import (
     BLOCK_ROWS,
@@ -35,77 +38,92 @@ from tabweave.operators.tiles import (
 )
 from tabweave.session import cut_lineage
 
-LOCAL = 5000  # clusters few enough to finish on the driver
+#: Bits of a cost that count: sums in another order must not break a tie.
+COST_BITS = 40
 
 
-def ward_tree(x: np.ndarray, weight: np.ndarray) -> list[tuple[int, int, float]]:
-    """Joins ``(kept, gone, height)`` of a bounded set of points, lowest first.
+def rounded(cost: np.ndarray) -> np.ndarray:
+    """Costs to :data:`COST_BITS` significant bits."""
+    m, e = np.frexp(cost)
+    return np.ldexp(np.round(m * (1 << COST_BITS)) / (1 << COST_BITS), e)
+
+
+def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A 63-bit hash of each pair of site hashes, the same from either side."""
+    z = (a[:, None] ^ b[None, :]).astype(np.uint64)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((z ^ (z >> np.uint64(31))) >> np.uint64(1)).astype(np.int64)
+
+
+def _costs(xl: np.ndarray, wl: np.ndarray, xr: np.ndarray, wr: np.ndarray) -> np.ndarray:
+    """What joining each left with each right cluster adds to the sum of squares."""
+    d = distances(xl, xr)
+    return rounded(d * d * (wl[:, None] * wr / (wl[:, None] + wr)))
+
+
+def _cheapest(cost: np.ndarray, tie: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Position, cost and tie of the best entry of each row."""
+    low = cost.min(axis=1)
+    at = np.where(cost == low[:, None], tie, np.iinfo(np.int64).max).argmin(axis=1)
+    return at, low, tie[np.arange(len(at)), at]
+
+
+def play_rounds(x: np.ndarray, weight: np.ndarray, site: np.ndarray, stop: int = 1) -> list[tuple[int, int, int, float]]:
+    """Joins ``(round, gone, kept, height)`` of a bounded set of points down to ``stop`` clusters or fewer.
 
-    Repeatedly joins the two clusters whose union raises the within-cluster sum
-    of squares least; the smaller index stands for the union.
+    ``site`` holds the hashes that break ties; the smaller index stands for a union.
     """
-    n = len(x)
-    center, mass, alive = x.astype(float).copy(), weight.astype(float).copy(), np.ones(n, bool)
-
-    def cost(i: int) -> np.ndarray:
-        d = ((center - center[i]) ** 2).sum(axis=1) * (mass * mass[i] / (mass + mass[i]))
-        d[~alive] = np.inf
-        d[i] = np.inf
-        return d
-
-    best, at = np.full(n, np.inf), np.zeros(n, int)
-    for i in range(n):
-        c = cost(i)
-        at[i] = int(c.argmin())
-        best[i] = c[at[i]]
-    joins = []
-    for _ in range(n - 1):
-        i = int(np.where(alive, best, np.inf).argmin())
-        height, j = float(best[i]), int(at[i])
-        i, j = min(i, j), max(i, j)
-        joins.append((i, j, height))
-        center[i] = (mass[i] * center[i] + mass[j] * center[j]) / (mass[i] + mass[j])
-        mass[i] += mass[j]
-        alive[j], best[j] = False, np.inf
-        c = cost(i)
-        at[i], best[i] = int(c.argmin()), c.min()
-        # those that pointed at either part must look again, others may now be closer
-        for o in np.nonzero(alive & ((at == i) | (at == j)))[0]:
-            if o != i:
-                co = cost(o)
-                at[o], best[o] = int(co.argmin()), co.min()
-        closer = alive & (c < best)
-        closer[i] = False
-        at[closer], best[closer] = i, c[closer]
+    at = np.arange(len(x))
+    x, w = x.astype(float), weight.astype(float)
+    joins, turn = [], 0
+    while len(at) > max(stop, 1):
+        to, low = np.zeros(len(at), int), np.zeros(len(at))
+        for part in chunks(len(at)):
+            cost = _costs(x[part], w[part], x, w)
+            cost[np.arange(len(cost)), part.start + np.arange(len(cost))] = np.inf
+            to[part], low[part], _ = _cheapest(cost, pair_hash(site[part], site))
+        kept = np.flatnonzero((to[to] == np.arange(len(at))) & (to > np.arange(len(at))))
+        gone = to[kept]
+        joins += [(turn, int(at[g]), int(at[k]), float(low[k])) for k, g in zip(kept, gone, strict=True)]
+        total = w[kept] + w[gone]
+        x[kept] = (x[kept] * w[kept][:, None] + x[gone] * w[gone][:, None]) / total[:, None]
+        w[kept] = total
+        left = np.ones(len(at), bool)
+        left[gone] = False
+        at, x, w, site, turn = at[left], x[left], w[left], site[left], turn + 1
     return joins
 
 
+def ward_tree(x: np.ndarray, weight: np.ndarray) -> list[tuple[int, int, float]]:
+    """Joins ``(kept, gone, height)`` of a bounded set of points, lowest first."""
+    site = np.arange(1, len(x) + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return [(k, g, h) for _, g, k, h in sorted(play_rounds(x, weight, site), key=lambda j: (j[3], j[0]))]
+
+
 def _tile_nearest(pdf: pd.DataFrame) -> pd.DataFrame:
     """The cheapest join of each row of a tile with a row on the other side."""
-    pdf = pdf.sort_values("id", kind="stable")  # so that ties go to the smaller id
     first = (pdf["blk"] == pdf["a"]).to_numpy()
     same = bool((pdf["a"] == pdf["b"]).iloc[0])
     left, right = first, first if same else ~first
     if not left.any() or not right.any():
-        return pd.DataFrame({"id": [], "other": [], "cost": []})
-    x, w, ids = matrix(pdf["x"]), pdf["w"].to_numpy(dtype=float), pdf["id"].to_numpy()
-    xl, wl, idl, xr, wr, idr = x[left], w[left], ids[left], x[right], w[right], ids[right]
-    out, low, at_low = [], np.full(len(xr), np.inf), np.zeros(len(xr), int)
+        return pd.DataFrame({"id": [], "other": [], "cost": [], "tie": []})
+    x, w, ids, site = matrix(pdf["x"]), pdf["w"].to_numpy(dtype=float), pdf["id"].to_numpy(), pdf["site"].to_numpy().view(np.uint64)
+    out, low, tie, at_low = [], np.full(right.sum(), np.inf), np.full(right.sum(), np.iinfo(np.int64).max), np.zeros(right.sum(), int)
+    xl, wl, idl, sl = x[left], w[left], ids[left], site[left]
+    xr, wr, idr, sr = x[right], w[right], ids[right], site[right]
     for part in chunks(len(xl)):
-        d = distances(xl[part], xr)
-        cost = d * d * (wl[part][:, None] * wr / (wl[part][:, None] + wr))
-        row = np.arange(len(cost))
+        cost, ties = _costs(xl[part], wl[part], xr, wr), pair_hash(sl[part], sr)
         if same:
-            cost[row, part.start + row] = np.inf
+            cost[np.arange(len(cost)), part.start + np.arange(len(cost))] = np.inf
         else:  # the same costs seen from the other side
-            at = cost.argmin(axis=0)
-            value = cost[at, np.arange(len(xr))]
-            better = value < low
-            low[better], at_low[better] = value[better], part.start + at[better]
-        at = cost.argmin(axis=1)
-        out.append(pd.DataFrame({"id": idl[part], "other": idr[at], "cost": cost[row, at]}))
+            at, value, t = _cheapest(cost.T, ties.T)
+            better = (value < low) | (value == low) & (t < tie)
+            low[better], tie[better], at_low[better] = value[better], t[better], part.start + at[better]
+        at, value, t = _cheapest(cost, ties)
+        out.append(pd.DataFrame({"id": idl[part], "other": idr[at], "cost": value, "tie": t}))
     if not same:
-        out.append(pd.DataFrame({"id": idr, "other": idl[at_low], "cost": low}))
+        out.append(pd.DataFrame({"id": idr, "other": idl[at_low], "cost": low, "tie": tie}))
     found = pd.concat(out)
     return found[np.isfinite(found["cost"])]
 
@@ -115,15 +133,15 @@ def _nearest(sites: DataFrame, n: int, block_rows: int) -> DataFrame:
     n_blocks = blocks_for(n, block_rows)
     kind = sites.schema["id"].dataType.simpleString()
     tiles = sites.withColumn("blk", block_of("id", n_blocks)).select(
-        "id", "x", "w", "blk", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("__o")
+        "id", "x", "w", "site", "blk", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("__o")
     )
-    tiles = tiles.select("id", "x", "w", "blk", F.least("blk", "__o").alias("a"), F.greatest("blk", "__o").alias("b"))
+    tiles = tiles.select("id", "x", "w", "site", "blk", F.least("blk", "__o").alias("a"), F.greatest("blk", "__o").alias("b"))
     found = (
         tiles.repartition(tile_tasks(sites, n_blocks * (n_blocks + 1) // 2), "a", "b")
         .groupBy("a", "b")
-        .applyInPandas(_tile_nearest, f"id {kind}, other {kind}, cost double")
+        .applyInPandas(_tile_nearest, f"id {kind}, other {kind}, cost double, tie bigint")
     )
-    best = found.groupBy("id").agg(F.min(F.struct("cost", "other")).alias("m"))
+    best = found.groupBy("id").agg(F.min(F.struct("cost", "tie", "other")).alias("m"))
     return best.select("id", F.col("m.other").alias("other"), F.col("m.cost").alias("cost"))
 
 
@@ -144,40 +162,44 @@ def _join_round(sites: DataFrame, n: int, block_rows: int) -> tuple[DataFrame, D
         "id",
         F.when(F.col("w2").isNull(), F.col("x")).otherwise(center).alias("x"),
         F.coalesce(total, F.col("w")).alias("w"),
+        "site",
     )
     return joins, cut_lineage(new)
 
 
-def _cut(sites: DataFrame, n_clusters: int, local: int, block_rows: int) -> DataFrame:
+def _last_rounds(sites: DataFrame, turn: int, stop: int) -> DataFrame:
+    """``(round, src, dst, height)``: the rounds that are left, played in one task by at most a tile of sites."""
+    kind = sites.schema["id"].dataType.simpleString()
+
+    def play(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id", kind="stable")
+        ids, site = pdf["id"].to_numpy(), pdf["site"].to_numpy().view(np.uint64)
+        joins = play_rounds(matrix(pdf["x"]), pdf["w"].to_numpy(dtype=float), site, stop)
+        columns = list(zip(*joins, strict=True)) if joins else [()] * 4
+        gone, kept = (ids[np.array(c, int)] for c in columns[1:3])
+        return pd.DataFrame({"round": np.array(columns[0], int) + turn, "src": gone, "dst": kept, "height": np.array(columns[3], float)})
+
+    whole = sites.withColumn("one", F.lit(0)).groupBy("one")
+    return whole.applyInPandas(play, f"round int, src {kind}, dst {kind}, height double")
+
+
+def _cut(sites: DataFrame, n_clusters: int, block_rows: int) -> DataFrame:
     """``(id, predicted)`` per site; clusters are numbered by their smallest id."""
-    spark, kind = sites.sparkSession, sites.schema["id"].dataType.simpleString()
-    rounds: list[tuple[DataFrame, DataFrame]] = []  # sites before the round, joins of the round
-    n = sites.count()
-    while n > local:
-        joins, after = _join_round(sites, n, block_rows)
-        rounds.append((sites, joins))
-        n -= joins.count()
-        sites = after
-    few = sites.orderBy("id").collect()  # at most `local` rows
-    ids = [r["id"] for r in few]
-    tree = ward_tree(np.array([r["x"] for r in few]), np.array([r["w"] for r in few])) if few else []
-    # Leaving out the highest joins cuts the tree: at most n_clusters - 1 of each round can be among them.
-    heights = [(h, ids[j]) for _, j, h in tree]
-    for _, joins in rounds:
-        heights += [tuple(r) for r in joins.orderBy(F.desc("height"), "src").limit(n_clusters - 1).select("height", "src").collect()]
-    undone = {src for _, src in sorted(heights, key=lambda t: -t[0])[: n_clusters - 1]}
-    root = np.arange(len(few))
-    for i, j, _ in tree:
-        if ids[j] not in undone:
-            root[root == root[j]] = root[i]
-    labels = spark.createDataFrame([(i, ids[r]) for i, r in zip(ids, root, strict=True)], f"id {kind}, label {kind}")
-    for before, joins in reversed(rounds):
-        # Whoever was joined in this round has the label of the cluster it went to.
-        kept = joins.where(~F.col("src").isin(*undone)) if undone else joins
-        step = before.select("id").join(kept.select(F.col("src").alias("id"), "dst"), "id", "left")
-        step = step.select("id", F.coalesce("dst", "id").alias("to"))
-        step = step.join(labels.withColumnRenamed("id", "to"), "to", "left")
-        labels = step.select("id", F.coalesce("label", "to").alias("label"))
+    sites = sites.withColumn("site", F.xxhash64("id"))
+    n, turn, joins = sites.count(), 0, None
+    while n > block_rows:
+        made, sites = _join_round(sites, n, block_rows)
+        made = made.select(F.lit(turn).alias("round"), "src", "dst", "height")
+        joins = made if joins is None else joins.unionByName(made)
+        n, turn = sites.count(), turn + 1
+    rest = _last_rounds(sites, turn, 1)
+    joins = cut_lineage(rest if joins is None else joins.unionByName(rest))
+    # Leaving out the highest joins cuts the tree; of equal ones the later lies above.
+    undone = joins.orderBy(F.desc("height"), F.desc("round"), "src").limit(n_clusters - 1).select("src")
+    ids = joins.select(F.col("src").alias("id")).union(joins.select("dst")).distinct()
+    labels = connected_components(ids, joins.join(undone, "src", "left_anti").select("src", "dst"))
+    # Without any join there is one site, which is its own cluster.
+    labels = sites.select("id").unionByName(ids).distinct().join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("label"))
     labels = cut_lineage(labels)
     # A label is the smallest id of its cluster.
     numbers = number_values(labels.select("label").distinct(), "label", "predicted")
@@ -191,7 +213,6 @@ def hierarchical(
     n_clusters: int = 2,
     micro: int | None = None,
     seed: int = 42,
-    local: int = LOCAL,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Add ``predicted``; clusters are numbered by their smallest ``key``.
@@ -218,6 +239,6 @@ def hierarchical(
         counts = found.groupBy("site").agg(F.count("*").alias("w"), F.min("row").alias("id"))
         sites = cut_lineage(counts.join(centers, "site"))
         placed = found.join(sites.select("site", "id"), "site")
-    labels = _cut(sites.select("id", "x", "w"), n_clusters, local, block_rows)
+    labels = _cut(sites.select("id", "x", "w"), n_clusters, block_rows)
     named = placed.select("row", "id").join(labels, "id").select(F.col("row").alias(key), "predicted")
     return df.join(named, key)

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import os
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabweave.functions.missing import clean, col, is_numeric, quoted
+from tabweave.session import is_folder
 
 CLASSIFICATION = "classification"
 REGRESSION = "regression"
@@ -29,7 +28,7 @@ def detect_type(data: DataFrame | None, source_path: str | None = None) -> str:
     if data is not None:
         return "image" if data.columns[:2] == ["path", "label"] and len(data.columns) == 2 else "table"
     if source_path is not None:
-        if os.path.isdir(source_path):
+        if is_folder(SparkSession.active(), source_path):
             return "image"
         if source_path.lower().endswith(".csv"):
             return "table"

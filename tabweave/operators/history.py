@@ -53,11 +53,13 @@ def _stops(steps: DataFrame, patience: int, min_delta: float) -> DataFrame:
     all other epochs drop out first.  Without a ``min_delta`` every one of the
     remaining records is an improvement and the first gap longer than the
     patience ends the run; with one, the records (not the epochs) of a run are
-    folded in order.
+    folded in order.  With a negative one a value may improve on the best and
+    be worse, so no epoch drops out.
     """
     itself = F.struct("step", "v")
     begin = F.struct(F.lit(0).cast("bigint").alias("step"), F.lit(float("inf")).alias("v"))
-    found = F.when(F.col("v") < F.col("low"), F.array(itself)).otherwise(F.array())
+    counts = F.col("v") < F.col("low") if min_delta >= 0 else F.col("v") < F.lit(float("inf"))
+    found = F.when(counts, F.array(itself)).otherwise(F.array())
     opened = F.when(F.col("step") == 1, F.concat(F.array(begin), found)).otherwise(found)
     records = steps.withColumn("step", F.col("step").cast("bigint")).select("run", "last", F.inline(opened))
     if min_delta == 0:

@@ -19,6 +19,8 @@ CHANNEL_MEAN = (0.485, 0.456, 0.406)
 CHANNEL_STD = (0.229, 0.224, 0.225)
 # The training distortions and their strengths.
 FLIP_SHARE, MAX_TURN, JITTER, HUE = 0.5, 15.0, 0.2, 0.05
+#: Bytes of pixels that a task hands on at once, about.
+OUTPUT_BYTES = 32 << 20
 # Luma weights.
 LUMA = np.array([0.299, 0.587, 0.114])
 
@@ -35,22 +37,35 @@ def _as_bytes(x: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(x + 0.5), 0, 255).astype(np.uint8)
 
 
-def _triangle(n_in: int, n_out: int) -> np.ndarray:
-    """Row-stochastic weights of a bilinear resize; shrinking widens the filter."""
+def _taps(n_in: int, n_out: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and weights, ``(n_out, taps)``, of a bilinear resize; shrinking widens the filter.
+
+    Weights of one output sum to one; positions beyond an edge weigh nothing.
+    """
     ratio = n_in / n_out
     reach = max(ratio, 1.0)
     center = (np.arange(n_out) + 0.5) * ratio
-    w = np.maximum(0.0, 1.0 - np.abs(np.arange(n_in)[None, :] + 0.5 - center[:, None]) / reach)
-    return w / w.sum(axis=1, keepdims=True)
+    at = np.floor(center - reach).astype(int)[:, None] + np.arange(int(np.ceil(2 * reach)) + 1)
+    w = np.maximum(0.0, 1.0 - np.abs(at + 0.5 - center[:, None]) / reach) * ((at >= 0) & (at < n_in))
+    return np.clip(at, 0, n_in - 1), w / w.sum(axis=1, keepdims=True)
+
+
+def _squeeze(img: Image, n_out: int) -> Image:
+    """Resize the first axis: a weighted sum of a few rows for each row of the output."""
+    at, w = _taps(img.shape[0], n_out)
+    out = np.zeros((n_out, *img.shape[1:]))
+    for k in range(at.shape[1]):
+        out += w[:, k, None, None] * img[at[:, k]]
+    return _as_bytes(out)
 
 
 def resize(img: Image, size: tuple[int, int]) -> Image:
     """Width first, then height, rounding to whole pixel values in between."""
     h, w = size
     if img.shape[1] != w:
-        img = _as_bytes(np.einsum("ow,hwc->hoc", _triangle(img.shape[1], w), img.astype(float)))
+        img = _squeeze(np.ascontiguousarray(img.transpose(1, 0, 2)), w).transpose(1, 0, 2)
     if img.shape[0] != h:
-        img = _as_bytes(np.einsum("oh,hwc->owc", _triangle(img.shape[0], h), img.astype(float)))
+        img = _squeeze(np.ascontiguousarray(img), h)
     return img
 
 
@@ -162,10 +177,13 @@ class ImagePrep:
             return x.transpose(2, 0, 1).ravel().astype(np.float32)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                work = pdf[["height", "width", "channels", "data"]].assign(draw=pdf["__draw"])
-                pixels = [one(r) for r in work.itertuples(index=False)]
-                yield pdf[extra].assign(pixels=pixels, c=3, h=size[0], w=size[1])
+            some = max(1, OUTPUT_BYTES // (12 * size[0] * size[1]))
+            for whole in batches:
+                for start in range(0, len(whole), some):
+                    pdf = whole.iloc[start : start + some]
+                    work = pdf[["height", "width", "channels", "data"]].assign(draw=pdf["__draw"])
+                    pixels = [one(r) for r in work.itertuples(index=False)]
+                    yield pdf[extra].assign(pixels=pixels, c=3, h=size[0], w=size[1])
 
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ready.select(*extra).schema)
         return ready.mapInPandas(run, f"{fields}, pixels array<float>, c int, h int, w int")

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabweave.operators.curves import areas, class_scores, cumulated, pr_points, roc_points
 from tabweave.operators.detect import CLASSIFICATION, CLUSTERING, FORECASTING, REGRESSION
 
+MAX_LABELS = 1000  # a dense matrix has their square in rows
 TASKS = (CLASSIFICATION, REGRESSION, FORECASTING, CLUSTERING)
 
 
@@ -70,10 +75,12 @@ def classification_metrics(df: DataFrame, y: str = "y_true", p: str = "y_pred")
     return _long(row, ["accuracy", "precision", "recall", "f1"])
 
 
-def confusion_matrix(df: DataFrame, y: str = "y_true", p: str = "y_pred") -> DataFrame:
-    """Dense ``(actual, predicted, n)`` over the labels of either column."""
+def confusion_matrix(df: DataFrame, y: str = "y_true", p: str = "y_pred", max_labels: int = MAX_LABELS) -> DataFrame:
+    """Dense ``(actual, predicted, n)`` over the labels of either column, at most ``max_labels`` of them."""
     counts = outcome_counts(df, y, p)
     labels = counts.select(F.explode(F.array("actual", "predicted")).alias("label"))
+    if labels.distinct().limit(max_labels + 1).count() > max_labels:
+        raise ValueError(f"more than {max_labels} labels: a dense matrix would have their square in rows")
     # One row holding the label list, opened along both axes.
     cells = (
         labels.agg(F.array_sort(F.collect_set("label")).alias("labels"))
@@ -119,28 +126,77 @@ def regression_metrics(df: DataFrame, y: str = "y_true", p: str = "y_pred") -> D
 # --------------------------------------------------------------------------
 
 
-def compute_metrics(
-    task: str,
-    df: DataFrame,
-    y: str | None = "y_true",
-    p: str = "y_pred",
-    features: list[str] | None = None,
-    key: str = "id",
+@dataclass(frozen=True)
+class ClassificationReport:
+    """All that is known of a classifier's rows: scores, matrix, areas and curves."""
+
+    scores: DataFrame
+    matrix: DataFrame
+    #: ``(class, auc, ap)``, ``(class, threshold, fpr, tpr)`` and ``(class, threshold, precision, recall)``;
+    #: None without probabilities.
+    areas: DataFrame | None = None
+    roc: DataFrame | None = None
+    pr: DataFrame | None = None
+
+
+def classification_report(
+    df: DataFrame, y: str = "y_true", p: str = "y_pred", proba: str | None = None, classes: Sequence | None = None
+) -> ClassificationReport:
+    """Scores and confusion matrix, and with ``proba`` also areas and curves of each class.
+
+    ``proba`` is an array of probabilities in the order of ``classes``.
+    """
+    scores, matrix = classification_metrics(df, y, p), confusion_matrix(df, y, p)
+    if proba is None:
+        return ClassificationReport(scores, matrix)
+    if not classes:
+        raise ValueError("classes name the entries of proba")
+    curves = cumulated(class_scores(df, y, proba, classes))
+    return ClassificationReport(scores, matrix, areas(curves), roc_points(curves), pr_points(curves))
+
+
+def _score_classes(df: DataFrame, y: str, p: str, proba: str | None = None, classes: Sequence | None = None, **_) -> DataFrame:
+    scores = classification_metrics(df, y, p)
+    if proba is None:
+        return scores
+    if not classes:
+        raise ValueError("classes name the entries of proba")
+    mean = areas(class_scores(df, y, proba, classes)).agg(F.avg("auc").alias("roc_auc"), F.avg("ap").alias("average_precision"))
+    return scores.unionByName(_long(mean, ["roc_auc", "average_precision"]))
+
+
+def _score_numbers(df: DataFrame, y: str, p: str, **_) -> DataFrame:
+    return regression_metrics(df, y, p)
+
+
+def _score_clusters(
+    df: DataFrame, y: str | None, p: str, features: list[str] | None = None, key: str = "id", method: str = "exact", **_
 ) -> DataFrame:
+    from tabweave.operators import silhouette
+
+    if method == "exact":
+        return silhouette.silhouette(df, key, features or [], p)
+    if method == "squared":
+        return silhouette.silhouette_linear(df, features or [], p)
+    raise ValueError(f"method must be 'exact' or 'squared', not '{method}'")
+
+
+_SCORES = {CLASSIFICATION: _score_classes, REGRESSION: _score_numbers, FORECASTING: _score_numbers, CLUSTERING: _score_clusters}
+
+
+def compute_metrics(task: str, df: DataFrame, y: str | None = "y_true", p: str = "y_pred", **options) -> DataFrame:
     """The metrics that fit ``task``; forecasting is scored as regression.
 
-    Clustering needs ``features`` and a row ``key``; ``p`` holds the clusters.
+    Classification takes ``proba`` and ``classes`` and then adds the class
+    means of both areas (:func:`classification_report` has matrix and curves).
+    Clustering needs ``features`` and a row ``key``, and ``p`` holds the
+    clusters; ``method="squared"`` scores squared distances in one pass instead
+    of all distances.
     """
-    name = task.lower().strip()
-    if name == CLASSIFICATION:
-        return classification_metrics(df, y, p)
-    if name in (REGRESSION, FORECASTING):
-        return regression_metrics(df, y, p)
-    if name == CLUSTERING:
-        from tabweave.operators.silhouette import silhouette
-
-        return silhouette(df, key, features or [], p)
-    raise ValueError(f"'{task}' is no task; there are {', '.join(TASKS)}")
+    known = _SCORES.get(task.lower().strip())
+    if known is None:
+        raise ValueError(f"'{task}' is no task; there are {', '.join(TASKS)}")
+    return known(df, y, p, **options)
 
 
 def val_metrics(task: str, df: DataFrame, split: str = "split", **options) -> DataFrame:
@@ -149,23 +205,32 @@ def val_metrics(task: str, df: DataFrame, split: str = "split", **options) -> Da
     return rows.select(F.concat(F.lit("val_"), "metric").alias("metric"), "value")
 
 
+def _cross_entropy(y: str, p: str, from_logits: bool) -> Column:
+    picked = F.get(F.col(p), F.col(y).cast("int"))
+    if not from_logits:
+        return -F.log(picked)
+    top = F.array_max(p)
+    total = F.aggregate(p, F.lit(0.0), lambda acc, s: acc + F.exp(s - top))
+    return F.log(total) + top - picked
+
+
+def _squared_error(y: str, p: str, from_logits: bool) -> Column:
+    return (F.col(y) - F.col(p)) * (F.col(y) - F.col(p))
+
+
+_LOSSES = {CLASSIFICATION: _cross_entropy, REGRESSION: _squared_error, FORECASTING: _squared_error}
+
+
 def auto_loss(task: str, y: str = "y_true", p: str = "y_pred", from_logits: bool = False) -> Column:
     """Loss of one row: cross-entropy for classes, squared error for numbers.
 
     For classification ``y`` is the class index and ``p`` an array of
     probabilities, or of raw scores with ``from_logits``.
     """
-    name = task.lower().strip()
-    if name == CLASSIFICATION:
-        picked = F.get(F.col(p), F.col(y).cast("int"))
-        if not from_logits:
-            return -F.log(picked)
-        top = F.array_max(p)
-        total = F.aggregate(p, F.lit(0.0), lambda acc, s: acc + F.exp(s - top))
-        return F.log(total) + top - picked
-    if name in (REGRESSION, FORECASTING):
-        return (F.col(y) - F.col(p)) * (F.col(y) - F.col(p))
-    raise ValueError(f"No loss for task '{task}'")
+    loss = _LOSSES.get(task.lower().strip())
+    if loss is None:
+        raise ValueError(f"No loss for task '{task}'")
+    return loss(y, p, from_logits)
 
 
 def predict_classes(scores: str) -> Column:

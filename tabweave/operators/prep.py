@@ -15,7 +15,7 @@ from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabweave.functions.missing import clean_double, col, numeric_columns, quoted
+from tabweave.functions.missing import clean, clean_double, col, numeric_columns, quoted
 from tabweave.operators.numbering import number_values
 from tabweave.operators.ordering import exact_quantiles
 
@@ -243,7 +243,7 @@ def _modes(df: DataFrame, names: list[str]) -> dict[str, float | None]:
 
 def _as_text(df: DataFrame, column: str) -> Column:
     """Labels are compared as text; a missing one is the category ``nan``."""
-    return F.coalesce(col(column).cast("string"), F.lit("nan"))
+    return F.coalesce(clean(df, column).cast("string"), F.lit("nan"))
 
 
 def fit_label_encoder(df: DataFrame, column: str) -> DataFrame:
@@ -273,7 +273,7 @@ def fit_categories(df: DataFrame, columns: Sequence[str], limit: int = MAX_CATEG
     """Sorted distinct values per column, to be learnt on training rows."""
     out = {}
     for c in columns:
-        rows = df.select(col(c).alias("v")).where("v is not null").distinct().limit(limit + 1).collect()
+        rows = df.select(clean(df, c).alias("v")).where("v is not null").distinct().limit(limit + 1).collect()
         if len(rows) > limit:
             raise ValueError(
                 f"Column '{c}' has more than {limit} categories: too wide for indicator columns. "

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabweave.functions.missing import is_missing, quoted
+from tabweave.functions.missing import clean, is_missing, quoted
+from tabweave.sources.images import one_spelling
 
 REPORT_SCHEMA = "severity string, check string, column string, value double, message string"
 
@@ -134,8 +135,8 @@ def validate_table(df: DataFrame, target: str | None = None, threshold: float =
 
 
 def class_counts(df: DataFrame, label: str = "label") -> DataFrame:
-    """``(label, n)``; counted per input partition before the shuffle."""
-    return df.groupBy(F.col(quoted(label)).alias("label")).agg(F.count("*").alias("n"))
+    """``(label, n)``; counted per input partition before the shuffle.  NaN counts as missing."""
+    return df.groupBy(clean(df, label).alias("label")).agg(F.count("*").alias("n"))
 
 
 def single_class_check(df: DataFrame, label: str = "label") -> DataFrame:
@@ -154,8 +155,9 @@ def class_imbalance(df: DataFrame, label: str = "label", threshold: float = IMBA
 
 
 def missing_files(manifest: DataFrame, listing: DataFrame) -> DataFrame:
-    """Manifest rows whose ``path`` is not in the file ``listing``."""
-    return manifest.join(listing.select("path"), "path", "left_anti")
+    """Manifest rows whose ``path`` is not in the file ``listing``; both spellings of local paths are one."""
+    there = listing.select(one_spelling(F.col("path")).alias("__path"))
+    return manifest.join(there, one_spelling(F.col("path")) == F.col("__path"), "left_anti")
 
 
 # Outcome of a manifest row, the check it belongs to, its severity and wording.

@@ -124,6 +124,13 @@ def silhouette(
     return mean.select(F.lit("silhouette").alias("metric"), F.when(defined, F.col("v")).otherwise(0.0).alias("value"))
 
 
+def silhouette_linear(df: DataFrame, features: Sequence[str], cluster: str) -> DataFrame:
+    """One ``(metric, value)`` row by squared distances, in time linear in the rows; 0 unless 2 <= clusters < rows."""
+    n, k = df.agg(F.count("*"), F.count_distinct(cluster)).first()
+    value = silhouette_squared(df, features, cluster) if 2 <= k < n else 0.0
+    return df.sparkSession.createDataFrame([("silhouette_squared", float(value))], "metric string, value double")
+
+
 def silhouette_squared(df: DataFrame, features: Sequence[str], cluster: str) -> float:
     """The squared-distance silhouette, linear in the rows."""
     codes = df.select(

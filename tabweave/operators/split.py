@@ -15,12 +15,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabweave.functions.missing import col, is_float, quoted
+from tabweave.functions.missing import clean, col, is_float, quoted
 from tabweave.operators.detect import detect_type
+from tabweave.session import cut_lineage
 
 SEED = 42
 DEFAULT_SHARE = 0.15
 PREFIX = 3  # hex digits per level: 4,096 prefixes
+MAX_CLASSES = 100_000  # classes whose quotas are set side by side
+NOT_UNIQUE = "the key does not identify a row: several rows share the one at a cut"
 FEW = 50_000  # hashes of one prefix that may be listed on the driver
 
 
@@ -45,37 +48,34 @@ def row_hash(seed: int, key: str | Sequence[str]) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[col(k).cast("string") for k in keys]))
 
 
-def _cut_hashes(hashed: DataFrame, wanted: DataFrame, by: list[str]) -> DataFrame:
-    """``(by..., cut, h)``: the hash of the ``rank``-th row of each ``by`` group.
+def _prefix_counts(hashed: DataFrame, by: list[str]) -> DataFrame:
+    """``(by..., p0, n)``: rows per group and first prefix, counted once and kept."""
+    return cut_lineage(hashed.groupBy(*by, F.substring("h", 1, PREFIX).alias("p0")).agg(F.count("*").alias("n")))
 
-    ``wanted`` is ``(by..., cut, rank)`` with 1-based ranks.
+
+def _cut_hashes(hashed: DataFrame, counts: DataFrame, wanted: DataFrame, by: list[str]) -> DataFrame:
+    """``(by..., cut, h, again)``: the hash of the ``rank``-th row of each ``by`` group.
+
+    ``wanted`` is ``(by..., cut, rank)`` with 1-based ranks, ``counts`` comes
+    from :func:`_prefix_counts`.  Only rows below the prefixes that ranks fall
+    under are read again.  ``again``: the row after has the same hash.
     """
-    target, known = wanted, list(by)
-    for level in range(2):
-        prefix = f"p{level}"
-        digits = F.substring("h", 1 + level * PREFIX, PREFIX).alias(prefix)
-        if level == 0:
-            counts = hashed.groupBy(*by, digits).agg(F.count("*").alias("n"))
-            w = Window.partitionBy(*by).orderBy(prefix)
-            counts = counts.withColumn("upto", F.sum("n").over(w))
-            joined = counts.join(target, by)
-        else:
-            near = hashed.withColumn("p0", F.substring("h", 1, PREFIX)).join(target, [*by, "p0"])
-            counts = near.groupBy(*known, "cut", "rank", digits).agg(F.count("*").alias("n"))
-            w = Window.partitionBy(*known, "cut").orderBy(prefix)
-            joined = counts.withColumn("upto", F.sum("n").over(w))
+
+    def below(counts: DataFrame, group: list[str], prefix: str) -> DataFrame:
+        upto = F.sum("n").over(Window.partitionBy(*group).orderBy(prefix))
+        within = counts.withColumn("upto", upto)
+        if "rank" not in counts.columns:
+            within = within.join(wanted, by)
         hit = (F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("n"))
-        known = [*known, prefix]
-        target = joined.where(hit).select(
-            *known, "cut", (F.col("rank") - (F.col("upto") - F.col("n"))).alias("rank")
-        )
-    near = (
-        hashed.withColumn("p0", F.substring("h", 1, PREFIX))
-        .withColumn("p1", F.substring("h", 1 + PREFIX, PREFIX))
-        .join(target, known)
-    )
-    w = Window.partitionBy(*known, "cut").orderBy("h")
-    return near.withColumn("rn", F.row_number().over(w)).where("rn = rank").select(*by, "cut", "h")
+        return within.where(hit).select(*by, "p0", *(["p1"] if prefix == "p1" else []), "cut", (F.col("rank") - (F.col("upto") - F.col("n"))).alias("rank"))
+
+    near = cut_lineage(hashed.withColumn("p0", F.substring("h", 1, PREFIX)).join(below(counts, by, "p0"), [*by, "p0"]))
+    near = near.withColumn("p1", F.substring("h", 1 + PREFIX, PREFIX))
+    inner = near.groupBy(*by, "p0", "cut", "rank", "p1").agg(F.count("*").alias("n"))
+    last = near.drop("rank").join(below(inner, [*by, "p0", "cut"], "p1"), [*by, "p0", "p1", "cut"])
+    w = Window.partitionBy(*by, "cut").orderBy("h")
+    ranked = last.withColumn("rn", F.row_number().over(w)).withColumn("again", F.coalesce(F.lead("h").over(w) == F.col("h"), F.lit(False)))
+    return ranked.where("rn = rank").select(*by, "cut", "h", "again")
 
 
 def _label_rows(h: Column, test_cut: Column, val_cut: Column) -> Column:
@@ -110,7 +110,13 @@ def _global_cuts(hashed: DataFrame, sizes) -> list[str]:
             break
         width += PREFIX
     rows = sorted(r["h"] for r in inside.select("h").collect())  # at most FEW per rank
-    return [[h for h in rows if h.startswith(p)][r - 1] if r else "" for r, p in zip(ranks, known, strict=True)]
+    found = []
+    for r, p in zip(ranks, known, strict=True):
+        under = [h for h in rows if h.startswith(p)]
+        if r and r < len(under) and under[r] == under[r - 1]:
+            raise ValueError(NOT_UNIQUE)
+        found.append(under[r - 1] if r else "")
+    return found
 
 
 def split_random(
@@ -147,9 +153,8 @@ def _quotas(sizes: DataFrame, label: str, size: str, total: str, whole: str, nam
     )
 
 
-def class_quotas(df: DataFrame, label: str, val: float, test: float) -> DataFrame:
-    """``(label, n, n_test, n_val)``: one row per class, so small enough to order."""
-    sizes = df.groupBy(col(label).alias("__label")).agg(F.count("*").alias("n"))
+def class_quotas(sizes: DataFrame, val: float, test: float) -> DataFrame:
+    """``(__label, n, n_test, n_val)`` from ``(__label, n)``, whose rows are few and checked to be."""
     sizes = sizes.withColumn("whole", F.sum("n").over(Window.partitionBy(F.lit(0))))
     rel = val / (1 - test)
     sizes = sizes.withColumn("total_test", F.ceil(F.col("whole") * F.lit(test)))
@@ -170,18 +175,26 @@ def split_stratified(
     val: float = DEFAULT_SHARE,
     test: float = DEFAULT_SHARE,
     seed: int = SEED,
+    max_classes: int = MAX_CLASSES,
 ) -> DataFrame:
     """Add ``split`` with the class shares of ``label`` kept in every part.
 
-    Rows without a label have no class to balance and go to ``train``.
+    Rows without a label have no class to balance and go to ``train``.  More
+    than ``max_classes`` labels, a class of one row and a key that several rows
+    at a cut share are errors.  Rows are read once to count them, once to look
+    for the cuts, and once to be labelled.
     """
     check_sizes(val, test)
-    lonely = df.groupBy(col(label).alias("v")).count().where("v is not null and count < 2").limit(5).collect()
-    if lonely:
-        raise ValueError(f"Classes of a single row cannot be split: {[r['v'] for r in lonely]}")
     h = row_hash(seed, key)
-    hashed = df.select(col(label).alias("__label"), h.alias("h")).where("__label is not null")
-    wanted = class_quotas(df.where(col(label).isNotNull()), label, val, test).select(
+    hashed = df.select(clean(df, label).alias("__label"), h.alias("h")).where("__label is not null")
+    counts = _prefix_counts(hashed, ["__label"])
+    sizes = counts.groupBy("__label").agg(F.sum("n").alias("n"))
+    if sizes.limit(max_classes + 1).count() > max_classes:
+        raise ValueError(f"'{label}' has more than {max_classes} classes: split by the rows, or raise max_classes")
+    lonely = sizes.where("n < 2").limit(5).collect()
+    if lonely:
+        raise ValueError(f"Classes of a single row cannot be split: {[r['__label'] for r in lonely]}")
+    wanted = class_quotas(sizes, val, test).select(
         "__label",
         F.inline(
             F.array(
@@ -190,16 +203,15 @@ def split_stratified(
             )
         ),
     ).where("rank > 0")
-    cuts = (
-        _cut_hashes(hashed, wanted, ["__label"])
-        .groupBy("__label")
-        .agg(
-            F.max(F.when(F.col("cut") == "test", F.col("h"))).alias("__test"),
-            F.max(F.when(F.col("cut") == "val", F.col("h"))).alias("__val"),
-        )
+    found = cut_lineage(_cut_hashes(hashed, counts, cut_lineage(wanted), ["__label"]))
+    if not found.where("again").isEmpty():
+        raise ValueError(NOT_UNIQUE)
+    cuts = found.groupBy("__label").agg(
+        F.max(F.when(F.col("cut") == "test", F.col("h"))).alias("__test"),
+        F.max(F.when(F.col("cut") == "val", F.col("h"))).alias("__val"),
     )
     # One row per class: broadcast by its measured size, and a skew join beyond.
-    out = df.withColumn("__label", col(label)).join(cuts, "__label", "left")
+    out = df.withColumn("__label", clean(df, label)).join(cuts, "__label", "left")
     part = _label_rows(h, F.coalesce(F.col("__test"), F.lit("")), F.coalesce(F.col("__val"), F.lit("")))
     return out.withColumn("split", part).select(*[quoted(c) for c in df.columns], "split")
 

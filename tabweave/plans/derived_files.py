@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabweave.plans.tables import frame, table
-from tabweave.session import scratch_path
+from tabweave.session import scratch_path, whole_path
+from tabweave.sources.images import arrow_uri
 
 SIDE = 8  # an embedding of 64 numbers as an 8 x 8 picture
 BROKEN = "embedding[1] > 0.2"  # rows whose file is cut short
@@ -47,9 +48,10 @@ def image_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def write_images(spark: SparkSession, sf_dir: str) -> str:
     """A folder of pictures of the ``embeddings`` table; returns its path."""
     root = scratch_path(spark, "images")
+    uri = arrow_uri(whole_path(spark, root))
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        store, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
+        store, base = fs.FileSystem.from_uri(uri)
         for pdf in batches:
             for name, x, broken in zip(pdf["name"], pdf["x"], pdf["broken"]):
                 v = grey_levels(np.asarray(x)).reshape(SIDE, SIDE)

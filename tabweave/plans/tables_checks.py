@@ -23,13 +23,21 @@ def table_shape(spark, sf):
 
 @query(
     "target_present",
-    """SELECT t AS target, COUNT(column_name) > 0 AS present
+    """SELECT t AS target, COUNT(column_name) > 0 AS present,
+              CASE WHEN COUNT(column_name) > 0 THEN (SELECT COUNT(c_mktsegment) FROM customer) ELSE 0 END AS n_labelled
        FROM (VALUES ('c_mktsegment'), ('c_rating')) v(t)
        LEFT JOIN (SELECT column_name FROM (DESCRIBE customer)) d ON column_name = t GROUP BY t""",
 )
 def target_present(spark, sf):
+    """Whether a target is there and how many rows have it."""
     df = table(spark, sf, "customer")
-    return quality.target_present(df, "c_mktsegment").union(quality.target_present(df, "c_rating"))
+
+    def labelled(target):
+        found = quality.target_present(df, target)
+        have = F.count(target) if target in df.columns else F.lit(0)
+        return df.agg(have.cast("bigint").alias("n_labelled")).crossJoin(F.broadcast(found)).select("target", "present", "n_labelled")
+
+    return labelled("c_mktsegment").union(labelled("c_rating"))
 
 
 SHARES = """shares AS (
@@ -199,12 +207,18 @@ def dataset_summary(spark, sf):
 
 @query(
     "numeric_columns",
-    """SELECT column_name AS name FROM (DESCRIBE lineitem)
-       WHERE column_type IN ('BIGINT', 'INTEGER', 'DOUBLE') AND column_name <> 'l_tax'""",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS name, COUNT({c}) AS n, CAST(MIN({c}) AS DOUBLE) AS low, CAST(MAX({c}) AS DOUBLE) AS high FROM lineitem"
+        for c in "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount".split()
+    ),
 )
 def numeric_columns_(spark, sf):
-    names = numeric_columns(table(spark, sf, "lineitem"), "l_tax")
-    return spark.createDataFrame([(n,) for n in names], "name string")
+    """The range of each numeric feature."""
+    df = table(spark, sf, "lineitem")
+    names = numeric_columns(df, "l_tax")
+    row = df.agg(*[f(c).cast(t).alias(f"{a}_{c}") for c in names for f, t, a in ((F.count, "bigint", "n"), (F.min, "double", "low"), (F.max, "double", "high"))])
+    lines = [F.struct(F.lit(c).alias("name"), *[F.col(f"{a}_{c}").alias(a) for a in ("n", "low", "high")]) for c in names]
+    return row.select(F.inline(F.array(*lines)))
 
 
 @query("drop_target", "SELECT p_partkey, p_name, p_brand, p_type, p_size FROM part")
@@ -261,13 +275,20 @@ def split_images(spark, sf):
 
 @query(
     "stratify_policy",
-    """SELECT column_name AS name, column_type NOT IN ('DOUBLE', 'FLOAT') AS stratify FROM (DESCRIBE part)
-       UNION ALL SELECT 'p_colour', FALSE""",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS name, TRUE AS stratify, COUNT(DISTINCT {c}) AS strata FROM part"
+        for c in "p_partkey p_name p_brand p_type p_size".split()
+    )
+    + " UNION ALL SELECT name, FALSE, 0 FROM (VALUES ('p_retailprice'), ('p_colour')) v(name)",
 )
 def stratify_policy(spark, sf):
+    """Whether a split by each column is stratified, and into how many strata."""
     df = table(spark, sf, "part")
-    rows = [(c, split.stratify_column(df, c) is not None) for c in [*df.columns, "p_colour"]]
-    return spark.createDataFrame(rows, "name string, stratify boolean")
+    names = [*df.columns, "p_colour"]
+    by = {c: split.stratify_column(df, c) for c in names}
+    row = df.agg(*[(F.count_distinct(c) if by[c] else F.lit(0)).cast("bigint").alias(f"n_{c}") for c in names])
+    lines = [F.struct(F.lit(c).alias("name"), F.lit(by[c] is not None).alias("stratify"), F.col(f"n_{c}").alias("strata")) for c in names]
+    return row.select(F.inline(F.array(*lines)))
 
 
 @query("split", _stratified_sql("customer", "c_custkey", "c_mktsegment"))

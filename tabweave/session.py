@@ -50,6 +50,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), "tabweave", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` is a folder, wherever Spark would look for it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return bool(store.exists(place) and store.getFileStatus(place).isDirectory())
+
+
+def whole_path(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme that Spark would use for it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return str(place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in reliable storage and forget how it was computed.
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabweave.functions.missing import col, quoted
+from tabweave.session import is_folder
 from tabweave.sources.images import scan_image_folder
 
 # Texts that stand for a missing value.
@@ -74,6 +75,7 @@ def scan_csv(
     schema: T.StructType | str | None = None,
     na_texts: Sequence[str] = NA_TEXTS,
     infer: bool = True,
+    multi_line: bool = False,
     **options,
 ) -> DataFrame:
     """Read CSV with a header line.
@@ -83,8 +85,16 @@ def scan_csv(
     its values.  With a ``schema`` nothing is inferred and the file is read
     once.  ``options`` go to Spark's reader.  Encodings beyond ASCII, Latin-1
     and Unicode need ``spark.sql.legacy.javaCharsets``.
+
+    A line with more or fewer fields than the header is an error: a
+    ``RuntimeError`` while types are inferred, else an error of the job that
+    reads it (``mode="PERMISSIVE"`` pads and cuts instead).  Line breaks inside
+    quotes need ``multi_line``; a file is then read by one task, so give large
+    data as several files.
     """
-    settings = {"header": "true", "encoding": _charset(encoding), "escape": '"', **options}
+    settings = {"header": "true", "encoding": _charset(encoding), "escape": '"', "multiLine": str(multi_line).lower()}
+    # Without pruning the reader sees all fields of a line and can count them.
+    settings |= {"mode": "FAILFAST", "columnPruning": "false", **options}
     try:
         reader = spark.read.options(**settings)
         raw = reader.csv(path)
@@ -104,13 +114,18 @@ def scan_csv(
         )
     if not infer:
         return text
-    types = infer_types(text)
+    try:
+        types = infer_types(text)
+    except Exception as exc:
+        if "MALFORMED" in str(exc) or "Malformed" in str(exc):
+            raise RuntimeError(f"cannot read {path} as CSV: a line does not have {len(raw.columns)} fields") from exc
+        raise
     readers = dict(KINDS)
     return text.select(*[readers[t](col(c)).alias(c) if (t := types[c]) in readers else col(c) for c in text.columns])
 
 
 def scan_dataset(spark: SparkSession, path: str, **options) -> DataFrame:
-    """Read whatever ``path`` is: ``.csv``, ``.parquet``, or an image folder."""
+    """Read whatever ``path`` is: ``.csv``, ``.parquet``, or else a folder of images, whatever its name."""
     suffix = os.path.splitext(path.rstrip("/"))[1].lower()
     if suffix == ".csv":
         return scan_csv(spark, path, **options)
@@ -121,7 +136,7 @@ def scan_dataset(spark: SparkSession, path: str, **options) -> DataFrame:
             if "PATH_NOT_FOUND" in str(exc):
                 raise FileNotFoundError(f"No such file: {path}") from exc
             raise
-    if not suffix:
+    if not suffix or is_folder(spark, path):
         return scan_image_folder(spark, path)
     raise ValueError(f"Cannot tell what {path} is: give a .csv, a .parquet or a folder of images")
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from urllib.parse import quote
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabweave.session import whole_path
+
 # File suffixes taken for images, and those this reader decodes.
 IMAGE_SUFFIXES = (".jpg", ".jpeg", ".png", ".bmp", ".tiff", ".webp")
 UNDECODED = (".webp",)
@@ -20,9 +25,14 @@ SIGNATURES = {
 }
 
 
-def _uri(path: Column) -> Column:
+def one_spelling(path: Column) -> Column:
     """One spelling for local files, which readers print in two ways."""
-    return F.regexp_replace(path, "^file:/+", "file:/")
+    return F.regexp_replace(path, "^(file:)?/+", "file:/")
+
+
+def _origin(path: Column) -> Column:
+    """The image reader's paths, which are percent-encoded, as the other readers print them."""
+    return one_spelling(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))))
 
 
 def _load(spark: SparkSession, fmt: str, root: str, **options) -> DataFrame:
@@ -53,7 +63,7 @@ def _label(path: Column) -> Column:
 def list_files(spark: SparkSession, root: str) -> DataFrame:
     """``(path, length)`` of every file below ``root``; contents are not read."""
     files = _load(spark, "binaryFile", root)
-    return files.select(_uri(F.col("path")).alias("path"), "length")
+    return files.select(one_spelling(F.col("path")).alias("path"), "length")
 
 
 def scan_image_folder(spark: SparkSession, root: str, suffixes: Sequence[str] = IMAGE_SUFFIXES) -> DataFrame:
@@ -73,7 +83,7 @@ def scan_image_pixels(spark: SparkSession, root: str) -> DataFrame:
     ``height = -1``.
     """
     images = _load(spark, "image", root, dropInvalid="false")
-    path = _uri(F.col("image.origin"))
+    path = _origin(F.col("image.origin"))
     return images.select(
         path.alias("path"),
         _label(path).alias("label"),
@@ -95,14 +105,47 @@ def format_of(content: Column) -> Column:
 
 
 def magic_bytes(spark: SparkSession, root: str) -> DataFrame:
-    """``(path, format, ok)`` per image file, judged by its header alone."""
+    """``(path, format, ok)`` per image file, judged by its header alone.
+
+    Tasks read the first bytes of each file.  In a store that Arrow cannot open
+    they read whole files instead.
+    """
     files = _load(spark, "binaryFile", root)
-    path = _uri(F.col("path"))
-    rows = files.select(path.alias("path"), format_of(F.col("content")).alias("format"))
-    rows = rows.where(_depth_one(F.col("path"), root) & _with_suffix(F.col("path"), IMAGE_SUFFIXES))
+    wanted = _depth_one(one_spelling(F.col("path")), root) & _with_suffix(F.col("path"), IMAGE_SUFFIXES)
+    rows = files.where(wanted)
+    if _arrow_opens(whole_path(spark, root)):
+        kind = "path string, content binary"
+        rows = rows.select("path").repartition(spark.sparkContext.defaultParallelism, "path").mapInArrow(_heads, kind)
+    rows = rows.select(one_spelling(F.col("path")).alias("path"), format_of(F.col("content")).alias("format"))
     return rows.withColumn("ok", F.col("format").isNotNull())
 
 
+def _arrow_opens(uri: str) -> bool:
+    try:
+        fs.FileSystem.from_uri(arrow_uri(uri))
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return False
+    return True
+
+
+def arrow_uri(path: str) -> str:
+    """The path of a reader, which is not encoded, as a URI of Arrow's file systems."""
+    scheme, _, rest = path.partition(":")
+    scheme = {"s3a": "s3", "s3n": "s3"}.get(scheme, scheme)
+    return f"{scheme}://{quote('/' + rest.lstrip('/') if scheme == 'file' else rest.removeprefix('//'))}"
+
+
+def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first bytes of each file."""
+    for batch in batches:
+        heads = []
+        for path in batch.column(0).to_pylist():
+            store, place = fs.FileSystem.from_uri(arrow_uri(path))
+            with store.open_input_file(place) as f:
+                heads.append(f.read(12))
+        yield pa.record_batch([batch.column(0), pa.array(heads, pa.binary())], ["path", "content"])
+
+
 def image_status(spark: SparkSession, root: str) -> DataFrame:
     """``(path, status)``: ``ok``, ``corrupt``, or ``unsupported`` for formats
     that cannot be decoded here and hence not be judged."""

@@ -10,7 +10,7 @@ from tabweave.models.epochs import predict_scores, train_epochs
 from tabweave.models.forecast import fit_forecast, fit_per_series, sequence_windows
 from tabweave.models.knn import nearest_neighbours
 from tabweave.models.training import train_classical
-from tabweave.models.ward import hierarchical, ward_tree
+from tabweave.models.ward import hierarchical, play_rounds, ward_tree
 from tabweave.operators.components import connected_components
 from tabweave.operators.inference import Predictor
 from tabweave.sources.checkpoints import checkpoint_resolve, read_checkpoints
@@ -264,17 +264,32 @@ def test_ward(spark):
     assert len(tree) == 44 and all(a[2] <= b[2] + 1e-9 for a, b in zip(tree, tree[1:]))
 
 
-@pytest.mark.parametrize("local,block", [(6, 20), (15, 9999)])
-def test_ward_in_rounds(spark, local, block):
+@pytest.mark.parametrize("block", [6, 20, 9999])
+def test_ward_in_rounds(spark, block):
     rng = np.random.default_rng(17)
     x = np.vstack([rng.normal(0, 1, (28, 2)), rng.normal(4, 1, (16, 2)), [[50.0, 50.0], [51.0, 50.0]]])
     x[:8] = x[0]  # copies count with their weight
     df, cols = frame(spark, x)
     for k in (2, 9):
-        got = [r["predicted"] for r in hierarchical(df, "id", cols, k, local=local, block_rows=block).orderBy("id").collect()]
+        got = [r["predicted"] for r in hierarchical(df, "id", cols, k, block_rows=block).orderBy("id").collect()]
         assert got == slow_ward(x, k), k
 
 
+@pytest.mark.parametrize("n", [400, 4000])
+def test_ward_rounds_on_even_spacing(n):
+    x = np.arange(n, dtype=float)[:, None]
+    site = np.arange(1, n + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    joins = play_rounds(x, np.ones(n), site)
+    assert len(joins) == n - 1
+    assert max(j[0] for j in joins) < 4 * np.log2(n)
+
+
+def test_ward_labels_do_not_depend_on_blocks(spark):
+    df = spark.createDataFrame([(i, float(i % 20), float(i // 20)) for i in range(200)], "id bigint, x double, y double")
+    got = [[r["predicted"] for r in hierarchical(df, "id", ["x", "y"], 7, block_rows=b).orderBy("id").collect()] for b in (40, 1000)]
+    assert got[0] == got[1] and set(got[0]) == set(range(7))
+
+
 # ---- sequences -----------------------------------------------------------
 
 
