@@ -92,6 +92,6 @@ def fit_naive_bayes(
         f"SELECT *, ARRAY({', '.join(scores)}) AS rawPrediction FROM __THIS__",
         f"SELECT *, {best} AS prediction, {weights} AS __w FROM __THIS__",
         f"""SELECT * EXCEPT (__w), TRANSFORM(__w, w -> w / AGGREGATE(__w, 0D, (a, b) -> a + b)) AS probability,
-            {pick_label('prediction', classes, dtype)} AS predicted FROM __THIS__""",
+            IF(prediction IS NULL, NULL, {pick_label('prediction', classes, dtype)}) AS predicted FROM __THIS__""",
     ]
     return PipelineModel(stages=[SQLTransformer(statement=s) for s in steps])

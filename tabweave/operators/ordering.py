@@ -9,6 +9,7 @@ window *inside* each bucket.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -150,29 +151,18 @@ def ordered_index(df: DataFrame, order: str, by: Sequence[str], name: str = "idx
 # --------------------------------------------------------------------------
 
 
-def _narrow(
-    band: DataFrame, need: int, n: int, vmin: float, vmax: float, mean: float, eps: float
-) -> tuple[float, float]:
-    """A smaller bracket around the ``need``-th of the ``n`` values ``v`` of ``band``."""
-    p = need / max(1, n - 1)
-    lo, hi = band.approxQuantile("v", [max(0.0, p - 2 * eps), min(1.0, p + 2 * eps)], eps)
-    if (lo, hi) != (vmin, vmax):
-        return lo, hi
-    middle = min(max(mean, vmin), vmax)  # the sketch did not help: split at the mean
-    low = band.where(F.col("v") <= F.lit(middle)).count()
-    return (vmin, middle) if need < low else (middle, vmax)
-
-
 def exact_quantiles(
-    df: DataFrame, exprs: dict[str, Column], probs: Sequence[float], small: int = 200_000
+    df: DataFrame, exprs: dict[str, Column], probs: Sequence[float]
 ) -> dict[str, list[float | None]]:
     """Exact, linearly interpolated quantiles of several expressions.
 
     ``percentile`` keeps every distinct value of a column in one reducer.  This
-    brackets the wanted order statistics with a sketch instead, counts what
-    lies below and inside each bracket, and narrows until the rows left fit
-    into ``small`` distinct values (or one value fills the bracket).  Only
-    those counts ever reach the driver, whatever the number of rows.
+    brackets the wanted order statistics instead.  A round is two jobs, however
+    many columns there are: one counts what lies below and inside every open
+    bracket, one sketches the values inside all of them to narrow them.  It
+    ends when a single value fills each bracket, after about as many rounds as
+    the number of rows has digits, halved.  Only counts and bounds reach the
+    driver.
     """
     names = list(exprs)
     frame = df.select(*[F.when(~F.isnan(e), e).alias(f"q{i}") for i, e in enumerate(exprs.values())])
@@ -217,9 +207,10 @@ def exact_quantiles(
                 F.avg(value).alias(f"avg{j}"),
             ]
         stat = frame.agg(*aggs).first()
-        listed: list[int] = []
-        for j, ((c, lo, hi), ranks) in enumerate(open_.items()):
-            n, vmin, vmax, mean = (stat[f"{s}{j}"] for s in ("in", "min", "max", "avg"))
+        # (bracket, rank) -> share of the bracket's values below the rank, for those to be narrowed.
+        shares: dict[tuple[int, tuple[str, int]], float] = {}
+        for j, ((_, lo, hi), ranks) in enumerate(open_.items()):
+            n, vmin, vmax = (stat[f"{s}{j}"] for s in ("in", "min", "max"))
             for k in ranks:
                 need = k[1] - stat[f"below{j}"]  # 0-based rank inside the bracket
                 if need < 0:
@@ -228,26 +219,21 @@ def exact_quantiles(
                     wanted[k] = (hi, float("inf"))
                 elif vmin == vmax:
                     found[k] = vmin
-                elif n <= small:
-                    listed.append(j)
                 else:
-                    wanted[k] = _narrow(frame.where(inside[j]).select(F.col(c).alias("v")), need, n, vmin, vmax, mean, eps)
-        if listed:  # at most `small` rows per bracket, all brackets in one job
-            tags = [
-                F.when(inside[j], F.struct(F.lit(j).alias("j"), F.col(c).alias("v")))
-                for j, (c, _, _) in enumerate(open_)
-                if j in listed
-            ]
-            rows = frame.select(F.inline(F.array_compact(F.array(*tags)))).groupBy("j", "v").count().collect()
-            for j, ranks in enumerate(open_.values()):
-                values = sorted((r["v"], r["count"]) for r in rows if r["j"] == j)
-                for k in ranks:
-                    need = k[1] - stat[f"below{j}"]
-                    for v, n in values if 0 <= need and k not in found and j in listed else ():
-                        need -= n
-                        if need < 0:
-                            found[k] = v
-                            break
+                    shares[j, k] = need / max(1, n - 1)
+        if shares:
+            some = sorted({j for j, _ in shares})
+            band = frame.select(*[F.when(inside[j], F.col(list(open_)[j][0])).alias(f"b{j}") for j in some])
+            grid = sorted({min(1.0, max(0.0, p + d)) for p in shares.values() for d in (-2 * eps, 2 * eps)})
+            cuts = dict(zip(some, band.approxQuantile(band.columns, grid, eps), strict=True))
+            for (j, k), p in shares.items():
+                at = dict(zip(grid, cuts[j], strict=True))
+                lo, hi = at[max(0.0, p - 2 * eps)], at[min(1.0, p + 2 * eps)]
+                vmin, vmax = stat[f"min{j}"], stat[f"max{j}"]
+                if (lo, hi) == (vmin, vmax):  # the sketch did not help: try up to the mean, the next count tells
+                    mean = stat[f"avg{j}"]
+                    hi = min(max(0.0 if math.isnan(mean) else mean, vmin), math.nextafter(vmax, -math.inf))
+                wanted[k] = (lo, hi)
 
     out: dict[str, list[float | None]] = {}
     for name, c in zip(names, cols, strict=True):

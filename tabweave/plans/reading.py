@@ -158,7 +158,7 @@ def image_eval_transform(spark, sf):
 @query("image_augment")
 def image_augment(spark, sf):
     px = images.scan_image_pixels(spark, write_images(spark, sf))
-    return _summed(ImagePrep(size=(32, 32)).training(px, epoch=1))
+    return _summed(ImagePrep().training(px, epoch=1))
 
 
 @query(

@@ -43,15 +43,16 @@ def model_save(spark, sf):
     "model_load",
     """WITH line AS (SELECT REGR_SLOPE(l_extendedprice / 1000, l_quantity) AS b,
             REGR_INTERCEPT(l_extendedprice / 1000, l_quantity) AS a FROM lineitem)
-        SELECT DISTINCT l_quantity AS x, ROUND(a + b * l_quantity, 4) AS predicted FROM lineitem, line""",
+        SELECT l_orderkey, l_linenumber, ROUND(a + b * l_quantity, 4) AS predicted FROM lineitem, line""",
 )
 def model_load(spark, sf):
     df = table(spark, sf, "lineitem").select(
-        F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 1000).alias("y")
+        "l_orderkey", "l_linenumber", F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 1000).alias("y")
     )
     model = factory.fit("regression", "linear_regression", df, features=["x"], label="y")
     path = save(model, scratch_path(spark, "model"))
-    return load(path).transform(df.select("x").distinct()).select("x", F.round("predicted", 4).alias("predicted"))
+    scored = load(path).transform(df)
+    return scored.select("l_orderkey", "l_linenumber", F.round("predicted", 4).alias("predicted"))
 
 
 @query("predict", f"WITH {BAYES} SELECT id, label AS predicted FROM r WHERE rn = 1")

@@ -55,14 +55,14 @@ def decision_tree(spark, sf):
 @query("random_forest")
 def random_forest(spark, sf):
     df = table(spark, sf, "embeddings")
-    model = factory.fit("classification", "random_forest", df, features=["embedding"], label="label", n_estimators=20, max_depth=8)
+    model = factory.fit("classification", "random_forest", df, features=["embedding"], label="label")
     return _confusion(model.transform(df), "label")
 
 
 @query("svm")
 def svm(spark, sf):
     df = table(spark, sf, "embeddings")
-    model = factory.fit("classification", "svm", df, features=["embedding"], label="label", n_components=128, max_iter=20)
+    model = factory.fit("classification", "svm", df, features=["embedding"], label="label")
     return _confusion(model.transform(df), "label")
 
 
@@ -111,7 +111,7 @@ def naive_bayes(spark, sf):
 @query("mlp")
 def mlp(spark, sf):
     df = table(spark, sf, "embeddings")
-    model = factory.fit("classification", "mlp", df, features=["embedding"], label="label", hidden=(16,), max_iter=40)
+    model = factory.fit("classification", "mlp", df, features=["embedding"], label="label")
     return _confusion(model.transform(df), "label")
 
 
@@ -163,7 +163,7 @@ def lasso(spark, sf):
 def random_forest_regressor(spark, sf):
     df = table(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice")
     model = factory.fit(
-        "regression", "random_forest_regressor", df, features=["p_size"], label="p_retailprice", n_estimators=10, max_depth=5
+        "regression", "random_forest_regressor", df, features=["p_size"], label="p_retailprice"
     )
     return _r(model.transform(df).select("p_partkey", "predicted"), "predicted", digits=2)
 
@@ -266,7 +266,7 @@ def train_classical(spark, sf):
 def train_epochs(spark, sf):
     df = split_stratified(table(spark, sf, "embeddings"), "vec_id", "label")
     store = scratch_path(spark, "epochs")
-    run_epochs(df, "classification", "embedding", "label", epochs=5, learning_rate=0.05, patience=2, run_id="head", store=store)
+    run_epochs(df, "classification", "embedding", "label", learning_rate=0.05, run_id="head", store=store)
     return read_checkpoints(spark, store).select(
         "run_id", "epoch", F.size("params").alias("n_params"), F.round(F.col("metrics")["val_loss"], 4).alias("val_loss"), "is_best"
     )

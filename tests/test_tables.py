@@ -225,7 +225,7 @@ def test_exact_quantiles(spark, seed):
     rng = np.random.default_rng(seed)
     x = [rng.normal(size=3000), np.where(rng.random(3000) < 0.4, 5.0, rng.exponential(size=3000) ** 8), np.full(3000, 2.0)][seed]
     probs = [0.0, 0.25, 0.5, 0.75, 0.9, 1.0]
-    got = exact_quantiles(column(spark, x.tolist()), {"x": F.col("x")}, probs, small=3)["x"]
+    got = exact_quantiles(column(spark, x.tolist()), {"x": F.col("x")}, probs)["x"]
     assert np.allclose(got, np.quantile(x, probs), rtol=0, atol=1e-12)
 
 
