@@ -265,6 +265,7 @@ def drop_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text",
     """
     found = near_duplicates(df, key, text, **options)
     best = found.where(F.col(key) == F.col("component_id")).groupBy(F.col(key).alias("__kept")).agg(F.count("*").alias("__n"))
+    best = cut_lineage(best)
 
     def rows(kept: DataFrame) -> DataFrame:
         return df.join(kept.select("__kept"), F.col(key) == F.col("__kept"), "left_semi")

@@ -189,7 +189,8 @@ def write_archives(
     # One row per file: about 16 bytes for each `roll` bytes of archive.
     first_keys = sorted(tuple(r) for r in _file_starts(slim, marks, roll).collect())
     if not first_keys:
-        return spark.createDataFrame([], "name string, records bigint, bytes bigint, sha256 string")
+        spark.createDataFrame([], "name string, records bigint, bytes bigint, sha256 string").write.mode("overwrite").parquet(f"{folder}/manifest")
+        return spark.read.parquet(f"{folder}/manifest")
 
     def file_of(key: int | None, digest: str) -> int:
         """The number of the file that holds the record; a null key sorts before all others."""

@@ -46,8 +46,11 @@ def test_odd_rows(spark):
 
 
 def test_large_numbers_stay_exact(spark):
-    rows = [(i, [float(2**40 + i), -float(3**20 + 7 * i)], "") for i in range(60)]
-    assert run(spark, rows) == brute([r[:2] for r in rows])
+    rows = [(i, [float(2**22 + i), -float(3**13 + 7 * i)], "") for i in range(60)]
+    want = brute([r[:2] for r in rows])
+    assert want[0][3] > 2**53 and run(spark, rows) == want
+    beyond = run(spark, [(0, [2.0**40], ""), (1, [2.0**41], ""), (2, [-(2.0**40)], "")])
+    assert beyond == [(0, 1, 1, 2**63 - 1), (0, 2, 2, -(2**63))]
 
 
 def test_reading_stops_early():
