@@ -38,13 +38,16 @@ def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
     ``vertices`` has ``id``, ``edges`` has ``src`` and ``dst`` of the same type.
     """
-    state, seen = cut_lineage(_tidy(edges)), None
+    # A round is a few passes over the edges alone: not more partitions than can run at once twice over.
+    parts = 2 * edges.sparkSession.sparkContext.defaultParallelism
+    state, seen = cut_lineage(_tidy(edges).coalesce(parts)), None
     while True:
         mark = state.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
         if mark == seen:
             break
         seen = mark
-        state = cut_lineage(_tidy(_small_star(_tidy(_large_star(state)))))
+        # The large star gives at most one row per edge, so copies may wait until the small star is done.
+        state = cut_lineage(_tidy(_small_star(_large_star(state).where("src <> dst"))).coalesce(parts))
     roots = state.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("component"))
     return vertices.select("id").join(roots, "id", "left").select(
         "id", F.coalesce("component", "id").alias("component")
