@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabweave.llm.bpe import encode_texts
-from tabweave.llm.fuzzy_lines import dedup_lines
+from tabweave.llm.fuzzy_lines import RUNS, dedup_lines
 from tabweave.llm.html_diff import extract_pages
 from tabweave.llm.mixing import mix_sources, word_count
 from tabweave.llm.quality_forest import judge_quality
@@ -56,7 +56,7 @@ def op2_token_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op3_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left = dedup_lines(read(spark, sf_dir, "documents"))
+    left = dedup_lines(read(spark, sf_dir, "documents"), runs=RUNS)
     return left.select("doc_id", "n_removed", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
