@@ -16,6 +16,7 @@ from tabweave.llm.quality_forest import judge_quality
 from tabweave.llm.simhash_bk import near_duplicates
 from tabweave.llm.token_scan import count_tokens
 from tabweave.llm.topk_nra import top_k
+from tabweave.llm.turn_repair import repair_conversations
 from tabweave.llm.url_rules import PatternRule, SiteRule, filter_urls
 from tabweave.llm.warc import round_trip
 
@@ -172,3 +173,92 @@ MAX_SPREAD = 2.0
 @query()
 def op10_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read(spark, sf_dir, "documents"), word_count(), max_spread=MAX_SPREAD)
+
+
+def _crc_sql(text: str) -> str:
+    """CRC-32 of an ASCII text, bit by bit."""
+    steps = f"flatten(list_transform(string_split({text}, ''), lambda ch: [CAST(ascii(ch) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))"
+    fold = "lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, (a & 1) * 3988292384) END"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {steps}), {fold}), 4294967295)"
+
+
+def _moves_sql() -> str:
+    """What may be done with a row in each state, inserts first: state, next, cost, edits, inserted lines, initial, edit."""
+    after, names = {"0": "u", "s": "u", "u": "a", "a": "u"}, {"u": "user", "a": "assistant"}
+    rows = []
+    for start in "0sua":
+        state, edits, lines = start, "", ""
+        for _ in range(3):
+            cost, new = 2 * len(edits), after[state]
+            rows += [(start, state, cost + 3, edits + "D", lines, "", "D"), (start, new, cost + 2, edits + "R", lines, names[new], "R")]
+            rows += [(start, c, cost, edits + "K", lines, c, "K") for c in ((new, "s") if state == "0" else new)]
+            state, edits, lines = new, edits + "I", lines + "\n" + names[new] + ":"
+    return ", ".join("(" + ", ".join(repr(v) for v in r) + ")" for r in rows).replace("\\n", "\n")
+
+
+def _repair_sql() -> str:
+    name = "coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')"
+    return rf"""
+        WITH RECURSIVE drawn AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc_sql(name)} % 20 AS fate
+            FROM conversations),
+        damaged AS (
+            SELECT conv_id, turn, CASE fate WHEN 4 THEN 'user' ELSE role END AS role,
+                   CASE fate WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+            FROM (SELECT *, unnest(range(CASE fate WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM drawn)),
+        numbered AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, left(role, 1) AS c
+            FROM damaged),
+        known AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again FROM numbered),
+        faulty AS (
+            SELECT *, lag(c) OVER (PARTITION BY conv_id ORDER BY i) AS before,
+                   CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'blank' WHEN again THEN 'duplicate'
+                        WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*$') THEN 'truncated' ELSE 'none' END AS fault
+            FROM known),
+        moves(state, after, cost, edits, lines, wants, edit) AS (VALUES {_moves_sql()}),
+        ways AS (
+            SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, '0' AS state, CAST(0 AS BIGINT) AS cost, '' AS audit, '' AS body FROM conversations
+            UNION ALL
+            SELECT w.conv_id, r.i, m.after,
+                   w.cost + m.cost + CASE WHEN m.edit <> 'D' AND r.fault = 'truncated' THEN 1 ELSE 0 END AS new_cost,
+                   w.audit || m.edits AS new_audit,
+                   w.body || m.lines || CASE m.edit WHEN 'K' THEN chr(10) || r.role || ':' || r.text WHEN 'R' THEN chr(10) || m.wants || ':' || r.text ELSE '' END
+            FROM ways w
+            JOIN faulty r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i + 1
+            JOIN moves m ON m.state = w.state AND (m.edit = 'D' OR r.fault NOT IN ('blank', 'duplicate')) AND (m.edit <> 'K' OR m.wants = r.c)
+            QUALIFY row_number() OVER (PARTITION BY w.conv_id, r.i, m.after ORDER BY new_cost, new_audit) = 1),
+        tails(state, cost, edits, lines) AS (
+            VALUES ('0', 0, '', ''), ('s', 4, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'), ('u', 2, 'I', chr(10) || 'assistant:'), ('a', 0, '', '')),
+        counted AS (
+            SELECT c.conv_id, count(r.i) AS n, coalesce(max(r.turn) - min(r.turn) + 1 - count(DISTINCT r.turn), 0) AS gaps,
+                   count(*) FILTER (r.fault = 'blank') AS blank, count(*) FILTER (r.fault = 'duplicate') AS duplicate,
+                   count(*) FILTER (r.fault = 'truncated') AS truncated,
+                   count(*) FILTER (r.before || r.c NOT IN ('su', 'ua', 'au')) AS illegal
+            FROM (SELECT DISTINCT conv_id FROM conversations) c
+            LEFT JOIN faulty r ON r.conv_id IS NOT DISTINCT FROM c.conv_id
+            GROUP BY c.conv_id),
+        ended AS (
+            SELECT n.*, w.cost + t.cost AS cost, w.audit || t.edits AS audit, sha256(substr(w.body || t.lines, 2)) AS repaired_sha256
+            FROM counted n
+            JOIN ways w ON w.conv_id IS NOT DISTINCT FROM n.conv_id AND w.i = n.n
+            JOIN tails t ON t.state = w.state
+            QUALIFY row_number() OVER (PARTITION BY n.conv_id ORDER BY w.cost + t.cost, w.audit || t.edits) = 1)
+        SELECT conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256 FROM ended"""
+
+
+@query(_repair_sql())
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = read(spark, sf_dir, "conversations")
+    conv, turn = (F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn"))
+    fate = F.crc32(F.concat(conv, F.lit(":"), turn)) % 20
+    text, role = (F.coalesce(F.col(c), F.lit(" ")) for c in ("text", "role"))
+    damaged = given.select(
+        "conv_id",
+        "turn",
+        F.when(fate == 4, "user").otherwise(role).alias("role"),
+        F.when(fate == 1, "").when(fate == 2, F.translate(text, ".!?", "")).otherwise(text).alias("text"),
+        fate.alias("fate"),
+    )
+    return repair_conversations(damaged, live=F.col("fate") != 0, copies=F.when(F.col("fate") == 3, 2).otherwise(1))
