@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tabweave.llm.bpe import encode_texts
 from tabweave.llm.fuzzy_lines import RUNS, dedup_lines
 from tabweave.llm.html_diff import extract_pages
+from tabweave.llm.merkle import prove_rows
 from tabweave.llm.mixing import mix_sources, word_count
 from tabweave.llm.quality_forest import judge_quality
 from tabweave.llm.simhash_bk import near_duplicates
@@ -182,6 +183,73 @@ def _crc_sql(text: str) -> str:
     return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {steps}), {fold}), 4294967295)"
 
 
+#: What a leaf of the manifest hashes.
+FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _manifest_sql() -> str:
+    def leaf(text: str) -> str:
+        values = [f"CAST({c} AS VARCHAR)" for c in FIELDS[:-1]] + [text]
+        return "sha256(" + " || ".join(f"coalesce(octet_length(encode({v})) || ':' || {v}, '-')" for v in values) + ")"
+
+    lowered = f"translate(text, '{UPPER}', '{LOWER}')"
+    return f"""
+        WITH RECURSIVE leaves AS (
+            SELECT doc_id, lang, {leaf("text")} AS leaf,
+                   CASE WHEN {_crc_sql("CAST(doc_id AS VARCHAR)")} % 3 = 0 THEN {leaf(lowered)} ELSE {leaf("text")} END AS found
+            FROM documents),
+        placed AS (
+            SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM leaves),
+        tree AS (
+            SELECT lang, 0 AS level, pos, leaf AS node FROM placed
+            UNION ALL
+            SELECT lang, level + 1, pos // 8, sha256(string_agg(node, '' ORDER BY pos))
+            FROM (SELECT *, count(*) OVER (PARTITION BY lang, level) AS n FROM tree)
+            WHERE n > 1
+            GROUP BY lang, level, pos // 8),
+        subroots AS (
+            SELECT lang, arg_max(node, level) AS subroot, max(level) AS levels, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos
+            FROM tree GROUP BY lang),
+        top AS (
+            SELECT 0 AS level, pos, subroot AS node FROM subroots
+            UNION ALL
+            SELECT level + 1, pos // 8, sha256(string_agg(node, '' ORDER BY pos))
+            FROM (SELECT *, count(*) OVER (PARTITION BY level) AS n FROM top)
+            WHERE n > 1
+            GROUP BY level, pos // 8),
+        nodes AS (
+            SELECT lang, FALSE AS up, level, pos, node FROM tree
+            UNION ALL SELECT NULL, TRUE, level, pos, node FROM top),
+        runs AS (
+            SELECT lang, up, level, pos // 8 AS parent, list(node ORDER BY pos) AS run FROM nodes GROUP BY ALL),
+        climb AS (
+            SELECT p.doc_id, p.leaf, p.lang, p.pos AS row, FALSE AS up, 0 AS level, p.pos AS pos, p.found AS node, '' AS proof
+            FROM placed p
+            UNION ALL
+            SELECT c.doc_id, c.leaf, c.lang, c.row, c.up OR c.level = s.levels, CASE WHEN NOT c.up AND c.level = s.levels THEN 0 ELSE c.level + 1 END,
+                   CASE WHEN NOT c.up AND c.level = s.levels THEN s.pos ELSE c.pos // 8 END,
+                   CASE WHEN NOT c.up AND c.level = s.levels THEN c.node
+                        ELSE sha256(array_to_string(list_concat(r.run[:c.pos % 8], [c.node], r.run[c.pos % 8 + 2:]), '')) END,
+                   CASE WHEN NOT c.up AND c.level = s.levels THEN c.proof
+                        ELSE c.proof || array_to_string(list_concat(r.run[:c.pos % 8], r.run[c.pos % 8 + 2:]), '') END
+            FROM climb c
+            JOIN subroots s ON s.lang IS NOT DISTINCT FROM c.lang
+            JOIN runs r ON r.up = c.up AND r.level = c.level AND r.parent = c.pos // 8 AND (c.up OR r.lang IS NOT DISTINCT FROM c.lang)
+            WHERE NOT (c.up AND c.level = (SELECT max(level) FROM top)))
+        SELECT c.doc_id, c.leaf, s.subroot, t.node AS root, sha256(c.proof) AS proof_sha256, c.node AS folded_root, c.node = t.node AS verified
+        FROM climb c
+        JOIN subroots s ON s.lang IS NOT DISTINCT FROM c.lang
+        JOIN top t ON c.up AND c.level = t.level AND t.level = (SELECT max(level) FROM top)"""
+
+
+@query(_manifest_sql())
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    changed = F.when(drawn, F.translate("text", UPPER, LOWER)).otherwise(F.col("text"))
+    return prove_rows(read(spark, sf_dir, "documents"), FIELDS, tampered=("text", changed))
+
+
 def _moves_sql() -> str:
     """What may be done with a row in each state, inserts first: state, next, cost, edits, inserted lines, initial, edit."""
     after, names = {"0": "u", "s": "u", "u": "a", "a": "u"}, {"u": "user", "a": "assistant"}
