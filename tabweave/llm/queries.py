@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tabweave.llm.bpe import encode_texts
 from tabweave.llm.fuzzy_lines import RUNS, dedup_lines
+from tabweave.llm.gru_lm import score_documents
 from tabweave.llm.html_diff import extract_pages
 from tabweave.llm.merkle import prove_rows
 from tabweave.llm.mixing import mix_sources, word_count
@@ -330,3 +331,8 @@ def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
         fate.alias("fate"),
     )
     return repair_conversations(damaged, live=F.col("fate") != 0, copies=F.when(F.col("fate") == 3, 2).otherwise(1))
+
+
+@query()
+def op13_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(read(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 5 == 1)
