@@ -21,6 +21,7 @@ import heapq
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, compress, repeat
 from math import isqrt, log
 
 import numpy as np
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from tabweave.llm.files import stored
 
 #: Outputs of the network, and words whose counts every task holds, at most.
-OUTPUTS, HELD = 2048, 32768
+OUTPUTS, HELD = 2048, 131072
 CLASSES = 32
 HIDDEN = 16
 #: Documents read side by side, and tokens of a window.
@@ -111,10 +112,6 @@ class Shape:
         return flat
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
 class Network:
     """One window at a time over slots; ``flat`` are the weights, changed by :meth:`train`."""
 
@@ -123,23 +120,31 @@ class Network:
         self.w = shape.views(flat)
         self.class_of = np.repeat(np.arange(shape.classes + 1), np.r_[np.diff(shape.starts), 1]).astype(np.int32)
 
-    def _states(self, ids: np.ndarray, state: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
-        """States after each input of ``ids`` (time, slots); input 0 ends a document, the state starts anew."""
+    def _states(self, ids: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+        """States after each input of ``ids`` (time, slots), and what they came from.
+
+        Input 0 ends a document: the state starts anew.
+        """
         h, w = self.shape.hidden, self.w
-        given = w["table"][ids]
-        on = (ids != 0).astype(np.float32)[:, :, None]
-        out = np.empty((*ids.shape, h), np.float32)
-        kept = []
+        given, on = w["table"][ids], (ids != 0)[:, :, None]
+        old, reset, new, out = (np.empty((*ids.shape, h), given.dtype) for _ in range(4))
+        gates = np.empty((*ids.shape, 2 * h), given.dtype)
         for t in range(len(ids)):
-            old = state * on[t]
-            gates = _sigmoid(given[t, :, : 2 * h] + old @ w["gates"])
-            reset = gates[:, h:] * old
-            new = np.tanh(given[t, :, 2 * h :] + reset @ w["inner"])
-            state = old + gates[:, :h] * (new - old)
-            out[t] = state
-            if keep:
-                kept.append((old, gates, reset, new))
-        return out, kept
+            np.multiply(state, on[t], out=old[t])
+            x = old[t] @ w["gates"]
+            x += given[t, :, : 2 * h]
+            np.exp(np.negative(x, out=x), out=x)
+            x += 1
+            np.reciprocal(x, out=gates[t])
+            np.multiply(gates[t, :, h:], old[t], out=reset[t])
+            y = reset[t] @ w["inner"]
+            y += given[t, :, 2 * h :]
+            np.tanh(y, out=new[t])
+            state = out[t]
+            np.subtract(new[t], old[t], out=state)
+            state *= gates[t, :, :h]
+            state += old[t]
+        return out, (on, old, gates, reset, new)
 
     def _grouped(self, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Order of targets by class, and where each class begins in it."""
@@ -164,23 +169,20 @@ class Network:
         return out
 
     def score(self, ids: np.ndarray, targets: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        states, _ = self._states(ids, state, False)
+        states, _ = self._states(ids, state)
         return self.log_probabilities(states.reshape(-1, self.shape.hidden), targets.ravel()).reshape(targets.shape), states[-1]
 
-    def gradient(self, ids: np.ndarray, targets: np.ndarray, real: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Gradient of the loss over ``real`` targets, and the last state."""
-        w, h = self.w, self.shape.hidden
-        states, kept = self._states(ids, state, True)
-        flat = np.zeros_like(self.flat)
-        g = self.shape.views(flat)
+    def gradient(self, ids: np.ndarray, targets: np.ndarray, real: np.ndarray, state: np.ndarray, into: np.ndarray) -> np.ndarray:
+        """Add the gradient of the loss over ``real`` targets to ``into``; the last state."""
+        w, h, g = self.w, self.shape.hidden, self.shape.views(into)
+        states, (on, old, gates, reset, new) = self._states(ids, state)
         s, y = states.reshape(-1, h), targets.ravel()
-        weight = real.ravel().astype(np.float32)
-        scores = s @ w["to_class"] + w["class_bias"]
-        d = _softmax(scores)
+        weight = real.ravel().astype(s.dtype)
+        d = _softmax(s @ w["to_class"] + w["class_bias"])
         d[np.arange(len(y)), self.class_of[y]] -= 1
         d *= weight[:, None]
-        g["to_class"][:] = s.T @ d
-        g["class_bias"][:] = d.sum(0)
+        g["to_class"] += s.T @ d
+        g["class_bias"] += d.sum(0)
         back = d @ w["to_class"].T
         order, bounds = self._grouped(y)
         sorted_states, sorted_y, sorted_weight = s[order], y[order], weight[order]
@@ -192,38 +194,49 @@ class Network:
                 d = _softmax(sorted_states[a:b] @ w["to_word"][low:high].T + w["word_bias"][low:high])
                 d[np.arange(b - a), sorted_y[a:b] - low] -= 1
                 d *= sorted_weight[a:b, None]
-                g["to_word"][low:high] = d.T @ sorted_states[a:b]
-                g["word_bias"][low:high] = d.sum(0)
-                inside[a:b] = d @ w["to_word"][low:high]
+                g["to_word"][low:high] += d.T @ sorted_states[a:b]
+                g["word_bias"][low:high] += d.sum(0)
+                np.matmul(d, w["to_word"][low:high], out=inside[a:b])
         back[order] += inside
         back = back.reshape(states.shape)
-        on = (ids != 0).astype(np.float32)[:, :, None]
+        update, let = gates[:, :, :h], gates[:, :, h:]
+        slope, change, left = (1 - new * new) * update, new - old, 1 - update
+        bend = gates * (1 - gates)
         to_state = np.zeros_like(state)
-        to_given = np.empty((*ids.shape, 3 * h), np.float32)
+        to_given = np.empty((*ids.shape, 3 * h), s.dtype)
+        inner, outer = np.ascontiguousarray(w["inner"].T), np.ascontiguousarray(w["gates"].T)
         for t in range(len(ids) - 1, -1, -1):
-            old, gates, reset, new = kept[t]
-            to_state = to_state + back[t]
-            update, let = gates[:, :h], gates[:, h:]
-            d_new = to_state * update * (1 - new * new)
-            d_reset = d_new @ w["inner"].T
-            d_gates = np.concatenate([to_state * (new - old), d_reset * old], 1) * gates * (1 - gates)
-            g["inner"] += reset.T @ d_new
-            g["gates"] += old.T @ d_gates
-            to_given[t, :, : 2 * h], to_given[t, :, 2 * h :] = d_gates, d_new
-            to_state = (to_state * (1 - update) + d_reset * let + d_gates @ w["gates"].T) * on[t]
-        _add_rows(g["table"], ids.ravel(), to_given.reshape(-1, 3 * h))
-        return flat, states[-1]
+            to_state += back[t]
+            d_gates, d_new = to_given[t, :, : 2 * h], to_given[t, :, 2 * h :]
+            np.multiply(to_state, slope[t], out=d_new)
+            d_reset = d_new @ inner
+            np.multiply(to_state, change[t], out=d_gates[:, :h])
+            np.multiply(d_reset, old[t], out=d_gates[:, h:])
+            d_gates *= bend[t]
+            to_state *= left[t]
+            d_reset *= let[t]
+            to_state += d_reset
+            to_state += d_gates @ outer
+            to_state *= on[t]
+        flat = to_given.reshape(-1, 3 * h)
+        g["inner"] += reset.reshape(-1, h).T @ flat[:, 2 * h :]
+        g["gates"] += old.reshape(-1, h).T @ flat[:, : 2 * h]
+        _add_rows(g["table"], ids.ravel(), flat)
+        return states[-1]
 
 
 def _log_sum(x: np.ndarray) -> np.ndarray:
     top = x.max(1)
-    return top + np.log(np.exp(x - top[:, None]).sum(1))
+    e = x - top[:, None]
+    return top + np.log(np.exp(e, out=e).sum(1))
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    e = np.exp(x - x.max(1, keepdims=True))
-    e /= e.sum(1, keepdims=True)
-    return e
+    """In place."""
+    x -= x.max(1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(1, keepdims=True)
+    return x
 
 
 def _add_rows(table: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
@@ -301,9 +314,8 @@ def train(network: Network, steps: Steps, docs: list[np.ndarray], slots: int = S
     state = np.zeros((len(deal.lengths), network.shape.hidden), np.float32)
     whole, tokens, total = slots * window // 2, 0, np.zeros_like(network.flat)
     for _, used, ids, targets, real in deal.windows(window):
-        gradient, state = network.gradient(ids, targets, real, state[:used])
+        state = network.gradient(ids, targets, real, state[:used], total)
         tokens += int(real.sum())
-        total += gradient
         if tokens >= whole:  # windows of few slots do not make a step of their own
             steps.apply(network.flat, total / np.float32(tokens))
             total[:], tokens = 0, 0
@@ -389,20 +401,24 @@ def _coded(docs: DataFrame, vocabulary: Vocabulary, outputs: int) -> DataFrame:
         place = {w: i for i, w in enumerate(known)}
         logs = np.r_[np.log10(counts + 0.5), 0.0]
         have = np.r_[counts > 0, False]
-        unheld = len(known)
+        unheld, kinds = len(known), (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary())
         for batch in batches:
-            columns: list[list] = [[] for _ in range(6)]
+            columns: list[list] = [[] for _ in kinds]
+            rare, times, ends = [], [], [0]
             for text in batch.column("text"):
                 found = words(text.as_py())
-                at = np.fromiter((place.get(w, unheld) for w in found), np.int64, len(found))
-                at = np.r_[at, 0]
-                rare = Counter(w for w, i in zip(found, at, strict=False) if i == unheld) if (at == unheld).any() else {}
+                at = np.fromiter(chain(map(place.get, found, repeat(unheld)), (0,)), np.int64, len(found) + 1)
+                others = Counter(compress(found, at == unheld))
+                rare += others.keys()
+                times += others.values()
+                ends.append(len(rare))
                 values = logs[at]
                 ids = np.minimum(at, min(outputs, unheld)).astype("<u2").tobytes()
-                for c, v in zip(columns, (len(at), int(have[at].sum()), values.sum(), values[at >= outputs].sum(), ids, [{"word": w, "n": n} for w, n in rare.items()]), strict=True):
+                for c, v in zip(columns, (len(at), int(have[at].sum()), values.sum(), values[at >= outputs].sum(), ids), strict=True):
                     c.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))
             made = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+            pairs = pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(times, pa.int64())], ["word", "n"])
+            made.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs))
             yield pa.record_batch([batch.column("row"), batch.column("key"), batch.column("held_out"), *made], names)
 
     return docs.mapInArrow(run, schema)
