@@ -8,8 +8,12 @@ cell look for neighbours around them.  Two cells join the same cluster if some
 core rows of theirs are near enough, which is settled on bounding boxes,
 refined only where the boxes leave it open.
 
-With more dimensions cells have too many neighbours; rows are then compared in
-bounded tiles (``operators.cells``) that emit degrees and spanning trees.
+With more dimensions cells have too many neighbours.  Rows are then parted by
+planes (``operators.planes``); a row near a plane is sent to both sides, so a
+leaf holds everything within ``eps`` of its own rows, and leaves are compared in
+bounded tiles that emit degrees and spanning trees.  On clustered rows planes
+fall between clusters and the work is far below the square; where no plane
+parts the rows, a leaf stays large and its tiles are all compared.
 """
 
 from __future__ import annotations
@@ -23,10 +27,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabweave.operators.cells import assign_cells, pick_pivots, pivot_count, radii, tile_join
 from tabweave.operators.components import connected_components
 from tabweave.operators.numbering import number_values
-from tabweave.operators.tiles import chunks, distances, feature_array, matrix
+from tabweave.operators.places import labelled, places
+from tabweave.operators.planes import grow, halo_paths, leaf_join
+from tabweave.operators.tiles import chunks, distances, matrix
 from tabweave.session import cut_lineage
 
 GRID_DIMENSIONS = 3
@@ -48,24 +53,21 @@ def dbscan(
 
     A row is a core row if at least ``min_samples`` rows, itself included, lie
     within ``eps``.  Clusters are numbered by their smallest core ``key``; a
-    border row takes the lowest-numbered cluster it touches.
+    border row takes the lowest-numbered cluster it touches.  Every row of
+    ``df`` comes back once, whatever its key; a row with a missing feature is
+    noise.
     """
     if eps <= 0:
         raise ValueError(f"eps must be positive, not {eps}")
     if min_samples < 1:
         raise ValueError(f"min_samples must be at least 1, not {min_samples}")
-    rows = df.select(F.col(key).alias("id"), feature_array(df, features).alias("x"))
     # Rows in the same place share their fate: one record each, however many.
-    places = cut_lineage(rows.groupBy("x").agg(F.count("*").alias("w"), F.min("id").alias("id")))
-    first = places.select(F.size("x").alias("d")).first()
+    at = places(df, key, features)
+    first = at.select(F.size("x").alias("d")).first()
     if first is None:
-        return df.withColumn("predicted", F.lit(None).cast("int"))
-    if first["d"] <= GRID_DIMENSIONS:
-        labels = _grid(places, first["d"], eps, min_samples)
-    else:
-        labels = _tiles(places, eps, min_samples, block_rows)
-    placed = rows.join(labels.select("x", "predicted"), "x").select(F.col("id").alias(key), "predicted")
-    return df.join(placed, key)
+        return df.withColumn("predicted", F.when(F.lit(True), -1).cast("int"))
+    labels = _grid(at, first["d"], eps, min_samples) if first["d"] <= GRID_DIMENSIONS else _leaves(at, eps, min_samples, block_rows)
+    return labelled(df, features, labels, F.lit(-1))
 
 
 def _numbered(components: DataFrame) -> DataFrame:
@@ -94,10 +96,10 @@ def _moved(cell: str, d: int) -> Column:
     return F.array(*[F.col(cell)[j] + F.col("__o")[j] for j in range(d)])
 
 
-def _grid(places: DataFrame, d: int, eps: float, min_samples: int) -> DataFrame:
+def _grid(at: DataFrame, d: int, eps: float, min_samples: int) -> DataFrame:
     side = eps / math.sqrt(d) * (1 - 1e-9)  # opposite corners stay within eps
     cell = F.array(*[F.floor(F.col("x")[j] / side).cast("bigint") for j in range(d)])
-    points = places.withColumn("cell", cell)
+    points = at.withColumn("cell", cell)
     crowd = points.groupBy("cell").agg(F.sum("w").alias("n"))
     points = cut_lineage(points.join(crowd, "cell").withColumn("dense", F.col("n") >= min_samples).drop("n"))
     near = F.sqrt(_distance2("x", "y", d)) <= eps
@@ -237,16 +239,14 @@ def _cell_edges(core: DataFrame, nodes: DataFrame, d: int, side: float, eps: flo
 
 
 # --------------------------------------------------------------------------
-# Tiles, any number of dimensions
+# Leaves between planes, any number of dimensions
 # --------------------------------------------------------------------------
 
 
-def _tiles(places: DataFrame, eps: float, min_samples: int, block_rows: int) -> DataFrame:
-    pivots = pick_pivots(places, pivot_count(places.count(), block_rows))
-    cells = assign_cells(places.select("id", "x", "w"), pivots)
-    limits = {c: r + eps for c, r in radii(cells).items()}
-    plain = cells.select("id", "x", "w")
-    id_type = places.schema["id"].dataType.simpleString()
+def _leaves(at: DataFrame, eps: float, min_samples: int, block_rows: int) -> DataFrame:
+    tree = grow(at.select("id", "x"), block_rows, reach=eps)
+    guests = halo_paths(at, tree, eps)
+    id_type = at.schema["id"].dataType.simpleString()
 
     def degrees(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
@@ -255,12 +255,11 @@ def _tiles(places: DataFrame, eps: float, min_samples: int, block_rows: int) ->
         deg = np.concatenate([(distances(xa[p], xb) <= eps) @ w for p in chunks(len(a))])
         return pd.DataFrame({"id": a["id"].to_numpy(), "deg": deg})
 
-    degree = tile_join(cells, plain, pivots, limits, degrees, f"id {id_type}, deg bigint", block_rows)
-    core_ids = degree.groupBy("id").agg(F.sum("deg").alias("deg")).where(F.col("deg") >= min_samples).select("id")
-    cells = cut_lineage(
-        cells.join(core_ids.withColumn("core", F.lit(True)), "id", "left").fillna(False, ["core"]).drop("w")
-    )
-    core = cells.where("core").select("id", "x")
+    degree = leaf_join(tree.home, guests, degrees, f"id {id_type}, deg bigint", block_rows)
+    core_ids = cut_lineage(degree.groupBy("id").agg(F.sum("deg").alias("deg")).where(F.col("deg") >= min_samples).select("id"))
+    home = tree.home.join(core_ids.withColumn("core", F.lit(True)), "id", "left").fillna(False, ["core"])
+    cells = cut_lineage(home)
+    core = guests.join(core_ids, "id", "left_semi").select("id", "x", "tree", "node")
 
     def links(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         """Tie each row of ``a`` to one core row of each group it touches.
@@ -296,12 +295,8 @@ def _tiles(places: DataFrame, eps: float, min_samples: int, block_rows: int) ->
         kind.append(np.ones(len(tied), bool))
         return pd.DataFrame({"src": np.concatenate(src), "dst": np.concatenate(dst), "core": np.concatenate(kind)})
 
-    found = cut_lineage(
-        tile_join(
-            cells, core, pivots, limits, links, f"src {id_type}, dst {id_type}, core boolean", block_rows
-        )
-    )
-    joined = connected_components(core, found.where("core").select("src", "dst"))
+    found = cut_lineage(leaf_join(cells, core, links, f"src {id_type}, dst {id_type}, core boolean", block_rows))
+    joined = connected_components(core_ids, found.where("core").select("src", "dst"))
     clusters = cut_lineage(joined.join(_numbered(joined), "component").select("id", "predicted"))
     border = (
         found.where("NOT core").join(clusters.withColumnRenamed("id", "dst"), "dst")

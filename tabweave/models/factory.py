@@ -12,7 +12,7 @@ from tabweave.models import mllib
 from tabweave.models.bayes import fit_naive_bayes
 from tabweave.models.dbscan import dbscan
 from tabweave.models.knn import fit_knn
-from tabweave.models.ward import hierarchical
+from tabweave.models.ward import BisectingTree, fit_bisecting, hierarchical
 from tabweave.operators.detect import CLASSIFICATION, CLUSTERING, FORECASTING, REGRESSION
 
 
@@ -43,6 +43,15 @@ def _keyed(fn: Callable[..., DataFrame]) -> Callable[..., Clustered]:
     return fit
 
 
+def _hierarchical(df: DataFrame, features: Sequence[str], key: str, method: str = "ward", **params: Any) -> Clustered | BisectingTree:
+    """``ward`` labels the fitted rows; ``bisecting`` grows the tree from the top and also places new rows."""
+    if method == "bisecting":
+        return fit_bisecting(df, key, features, **params)
+    if method != "ward":
+        raise ValueError(f"method must be ward or bisecting, not {method}")
+    return Clustered(hierarchical(df, key, features, **params))
+
+
 MODELS: dict[str, dict[str, Callable[..., Any]]] = {
     CLASSIFICATION: {
         "logistic_regression": mllib.logistic_regression,
@@ -63,7 +72,7 @@ MODELS: dict[str, dict[str, Callable[..., Any]]] = {
     CLUSTERING: {
         "kmeans": mllib.kmeans,
         "dbscan": _keyed(dbscan),
-        "hierarchical": _keyed(hierarchical),
+        "hierarchical": _hierarchical,
     },
     FORECASTING: {},
 }

@@ -10,7 +10,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabweave.models.factory import Clustered, fit
+from tabweave.models.factory import Clustered, clean_name, fit
 from tabweave.operators.detect import CLUSTERING
 from tabweave.operators.metrics import val_metrics
 from tabweave.sources.store import model_save
@@ -43,7 +43,7 @@ def train_classical(
     given: dict[str, Any] = {"features": list(features), **params}
     if not clustering:
         given["label"] = label
-    if name in ("knn", "dbscan", "hierarchical"):
+    if clean_name(name) in ("knn", "dbscan", "hierarchical"):
         given["key"] = key
     start = time.monotonic()
     model = fit(task, name, df.where(F.col(split) == "train"), **given)

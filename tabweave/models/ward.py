@@ -10,22 +10,26 @@ rule.  Each join is recorded with its height; cutting the tree means leaving out
 the highest joins and following the rest.  The result is exact and the first
 round, quadratic in the distinct rows, dominates the cost.  ``micro`` bounds
 that cost for very large tables by building the tree over as many weighted
-k-means centres instead.
+k-means centres instead, and ``method="bisecting"`` builds the tree from the top:
+all leaves of a level are halved in one job, in time linear in the rows, and the
+tree of centres can place new rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
+from pyspark.ml.clustering import BisectingKMeans, BisectingKMeansModel, KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabweave.operators.components import connected_components
 from tabweave.operators.numbering import number_values
+from tabweave.operators.places import complete, labelled, places
 from tabweave.operators.tiles import (
     BLOCK_ROWS,
     block_of,
@@ -84,6 +88,8 @@ def play_rounds(x: np.ndarray, weight: np.ndarray, site: np.ndarray, stop: int =
             cost[np.arange(len(cost)), part.start + np.arange(len(cost))] = np.inf
             to[part], low[part], _ = _cheapest(cost, pair_hash(site[part], site))
         kept = np.flatnonzero((to[to] == np.arange(len(at))) & (to > np.arange(len(at))))
+        if not len(kept):
+            raise ValueError("features are too large: distances are not finite")
         gone = to[kept]
         joins += [(turn, int(at[g]), int(at[k]), float(low[k])) for k, g in zip(kept, gone, strict=True)]
         total = w[kept] + w[gone]
@@ -188,10 +194,13 @@ def _cut(sites: DataFrame, n_clusters: int, block_rows: int) -> DataFrame:
     sites = sites.withColumn("site", F.xxhash64("id"))
     n, turn, joins = sites.count(), 0, None
     while n > block_rows:
+        before = n
         made, sites = _join_round(sites, n, block_rows)
         made = made.select(F.lit(turn).alias("round"), "src", "dst", "height")
         joins = made if joins is None else joins.unionByName(made)
         n, turn = sites.count(), turn + 1
+        if n == before:
+            raise ValueError("features are too large: distances are not finite")
     rest = _last_rounds(sites, turn, 1)
     joins = cut_lineage(rest if joins is None else joins.unionByName(rest))
     # Leaving out the highest joins cuts the tree; of equal ones the later lies above.
@@ -218,27 +227,93 @@ def hierarchical(
     """Add ``predicted``; clusters are numbered by their smallest ``key``.
 
     ``micro`` trades exactness for linear cost: the rows are first gathered
-    into that many k-means centres.
+    into that many k-means centres.  Every row of ``df`` comes back once,
+    whatever its key; a row with a missing feature has a null ``predicted``.
     """
     if n_clusters < 1:
         raise ValueError(f"n_clusters must be at least 1, not {n_clusters}")
     if micro is not None and micro < n_clusters:
         raise ValueError(f"micro must be at least n_clusters, not {micro}")
-    rows = df.select(F.col(key).alias("row"), feature_array(df, features).alias("x"))
-    if micro is None:
-        # Rows in the same place are one site from the start.
-        sites = cut_lineage(rows.groupBy("x").agg(F.count("*").alias("w"), F.min("row").alias("id")))
-        placed = rows.join(sites.select("x", "id"), "x")
-    else:
-        vectors = rows.withColumn("features", array_to_vector("x"))
-        model = KMeans(k=micro, maxIter=20, seed=seed, predictionCol="site").fit(vectors)
-        found = cut_lineage(model.transform(vectors).select("row", "site"))
+    # Rows in the same place are one site from the start.
+    sites = places(df, key, features)
+    none = F.lit(None).cast("int")
+    if sites.isEmpty():
+        return df.withColumn("predicted", none)
+    placed = sites.select("x", "id")
+    if micro is not None:
+        vectors = sites.withColumn("features", array_to_vector("x"))
+        model = KMeans(k=micro, maxIter=20, seed=seed, predictionCol="site", weightCol="w").fit(vectors)
+        found = cut_lineage(model.transform(vectors).select("x", "w", "id", "site"))
         centers = df.sparkSession.createDataFrame(
-            [(i, [float(v) for v in c]) for i, c in enumerate(model.clusterCenters())], "site int, x array<double>"
+            [(i, [float(v) for v in c]) for i, c in enumerate(model.clusterCenters())], "site int, c array<double>"
         )
-        counts = found.groupBy("site").agg(F.count("*").alias("w"), F.min("row").alias("id"))
-        sites = cut_lineage(counts.join(centers, "site"))
-        placed = found.join(sites.select("site", "id"), "site")
+        counts = found.groupBy("site").agg(F.sum("w").alias("w"), F.min("id").alias("id"))
+        sites = cut_lineage(counts.join(centers, "site").select("id", F.col("c").alias("x"), "w", "site"))
+        placed = found.select("x", "site").join(sites.select("site", "id"), "site")
     labels = _cut(sites.select("id", "x", "w"), n_clusters, block_rows)
-    named = placed.select("row", "id").join(labels, "id").select(F.col("row").alias(key), "predicted")
-    return df.join(named, key)
+    return labelled(df, features, placed.join(labels, "id").select("x", "predicted"), none)
+
+
+# --------------------------------------------------------------------------
+# From the top
+# --------------------------------------------------------------------------
+
+
+@dataclass
+class BisectingTree:
+    """A tree of centres: its nodes halve the rows they get; its leaves are the clusters.
+
+    ``labels`` are the fitted rows with ``predicted``; ``numbers`` names the
+    leaves in the order of their smallest key.
+    """
+
+    model: BisectingKMeansModel
+    numbers: dict[int, int]
+    features: list[str]
+    labels: DataFrame | None = None
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Add ``predicted``, the leaf that each row comes to; null where a feature is missing."""
+        at = df.withColumn("__x", feature_array(df, self.features))
+        fine = at.where(complete("__x"))
+        leaf = self.model.transform(fine.withColumn("__v", array_to_vector("__x")))
+        named = F.create_map(*[F.lit(v) for pair in self.numbers.items() for v in pair])
+        found = leaf.withColumn("predicted", named[F.col("__leaf")].cast("int")).select(*df.columns, "predicted")
+        rest = at.where(~F.coalesce(complete("__x"), F.lit(False)))
+        return found.unionByName(rest.select(*df.columns, F.lit(None).cast("int").alias("predicted")))
+
+    def save(self, path: str) -> None:
+        self.model.write().overwrite().save(f"{path}/tree")
+        spark = SparkSession.getActiveSession()
+        rows = [(self.features, list(self.numbers), list(self.numbers.values()))]
+        spark.createDataFrame(rows, _NAMES).write.mode("overwrite").json(f"{path}/names")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> BisectingTree:
+        o = spark.read.schema(_NAMES).json(f"{path}/names").first()
+        return cls(BisectingKMeansModel.load(f"{path}/tree"), dict(zip(o["leaves"], o["numbers"], strict=True)), o["features"])
+
+
+_NAMES = "features array<string>, leaves array<int>, numbers array<int>"
+
+
+def fit_bisecting(df: DataFrame, key: str, features: Sequence[str], n_clusters: int = 2, seed: int = 42, max_iter: int = 20) -> BisectingTree:
+    """Halve the largest leaves until there are ``n_clusters``, all leaves of a level in one job.
+
+    Linear in the rows per level.  Fewer clusters come back if leaves cannot be
+    split any further.
+    """
+    if n_clusters < 1:
+        raise ValueError(f"n_clusters must be at least 1, not {n_clusters}")
+    sites = places(df, key, features)
+    if sites.isEmpty():
+        raise ValueError("no row without a missing feature")
+    vectors = sites.withColumn("__v", array_to_vector("x"))
+    # A copy counts as much as any row.
+    model = BisectingKMeans(
+        k=n_clusters, maxIter=max_iter, seed=seed, featuresCol="__v", predictionCol="__leaf", weightCol="w"
+    ).fit(vectors)
+    firsts = model.transform(vectors).groupBy("__leaf").agg(F.min("id").alias("id")).orderBy("id").collect()  # one row per cluster
+    tree = BisectingTree(model, {r["__leaf"]: i for i, r in enumerate(firsts)}, list(features))
+    tree.labels = tree.transform(df)
+    return tree

@@ -48,6 +48,10 @@ DERIVED = {
         SELECT p_partkey AS id, CAST(p_size AS DOUBLE) / 5 AS x, (p_retailprice - 900) / 10 AS y,
                p_size % 3 AS cluster
         FROM {part}""",
+    "groups": """
+        SELECT p_partkey AS id, p_size % 4 AS g, CAST(p_partkey % 7 AS DOUBLE) AS y,
+               CASE p_size % 4 WHEN 0 THEN 0 WHEN 1 THEN 100 WHEN 2 THEN 10000 ELSE 10100 END + (p_retailprice - 900) / 1000 AS x
+        FROM {part}""",
     "classes": "SELECT c_custkey AS id, c_mktsegment AS label, c_acctbal AS x FROM {customer}",
 }
 

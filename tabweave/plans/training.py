@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tabweave.models import factory
@@ -81,6 +82,13 @@ def knn(spark, sf):
     return model.transform(df.select("vec_id", "embedding")).select("vec_id", "predicted")
 
 
+@query("knn_approximate")
+def knn_approximate(spark, sf):
+    df = table(spark, sf, "embeddings")
+    model = factory.fit("classification", "knn", df, features=["embedding"], label="label", key="vec_id", method="lsh")
+    return model.transform(df.select("vec_id", "embedding")).select("vec_id", "predicted")
+
+
 NORMAL = "(-0.5E0 * LN(2 * PI() * ({v})) - ({x} - ({m})) * ({x} - ({m})) / (2 * ({v})))"
 
 
@@ -198,6 +206,58 @@ def dbscan(spark, sf):
     return density(frame(spark, sf, "points"), "id", ["x", "y"], eps=0.25, min_samples=5).select("id", "predicted")
 
 
+@query(
+    "dbscan_embeddings",
+    """WITH RECURSIVE v AS (SELECT vec_id AS id, LIST_TRANSFORM(CAST(embedding AS DOUBLE[]),
+                LAMBDA x, i: x / 20 + CASE WHEN i = 6 * label + 1 THEN 3 ELSE 0 END) AS e FROM embeddings),
+        near AS (SELECT a.id AS a, b.id AS b FROM v a, v b WHERE LIST_DISTANCE(a.e, b.e) <= 0.0647E0),
+        core AS (SELECT a AS id FROM near GROUP BY a HAVING COUNT(*) >= 4),
+        links AS (SELECT a, b FROM near WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)),
+        reach AS (SELECT id AS start, id FROM core
+                  UNION SELECT r.start, l.b FROM reach r JOIN links l ON l.a = r.id),
+        comp AS (SELECT id, MIN(start) AS c FROM reach GROUP BY id),
+        numbered AS (SELECT id, DENSE_RANK() OVER (ORDER BY c) - 1 AS k FROM comp),
+        border AS (SELECT a AS id, MIN(k) AS k FROM near JOIN numbered n ON n.id = b GROUP BY a)
+        SELECT v.id, CAST(COALESCE(n.k, b.k, -1) AS INT) AS predicted
+        FROM v LEFT JOIN numbered n ON n.id = v.id LEFT JOIN border b ON b.id = v.id""",
+)
+def dbscan_embeddings(spark, sf):
+    # The given vectors have no clusters: each label gets a corner of its own.
+    corner = F.transform(
+        F.col("embedding").cast("array<double>"), lambda x, i: x / 20 + F.when(i == 6 * F.col("label"), 3.0).otherwise(0.0)
+    )
+    df = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), corner.alias("e"))
+    return density(df, "id", ["e"], eps=0.0647, min_samples=4, block_rows=128).select("id", "predicted")
+
+
+# Groups far apart: every clustering has to find them, numbered by their smallest key.
+def _groups_sql(group: str) -> str:
+    return f"""{with_("groups")}, named AS (SELECT {group} AS g, DENSE_RANK() OVER (ORDER BY MIN(id)) - 1 AS k FROM groups GROUP BY {group})
+        SELECT id, CAST(k AS INT) AS predicted FROM groups JOIN named ON named.g = {group.replace("g", "groups.g")}"""
+
+
+@query("hierarchical_groups", _groups_sql("g"))
+def hierarchical_groups(spark, sf):
+    return ward(frame(spark, sf, "groups"), "id", ["x", "y"], n_clusters=4).select("id", "predicted")
+
+
+@query("hierarchical_bisecting", _groups_sql("g"))
+def hierarchical_bisecting(spark, sf):
+    df = frame(spark, sf, "groups")
+    model = factory.fit("clustering", "hierarchical", df, features=["x", "y"], key="id", method="bisecting", n_clusters=4)
+    return model.transform(df).select("id", "predicted")
+
+
+@query("kmeans_groups", _groups_sql("g // 2"))
+def kmeans_groups(spark, sf):
+    df = frame(spark, sf, "groups")
+    found = factory.fit("clustering", "kmeans", df, features=["x", "y"], n_clusters=2).transform(df)
+    numbers = found.groupBy("predicted").agg(F.min("id").alias("first")).withColumn(
+        "k", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("first")) - 1
+    )
+    return found.join(numbers, "predicted").select("id", F.col("k").alias("predicted"))
+
+
 @query("hierarchical")
 def hierarchical(spark, sf):
     return ward(frame(spark, sf, "points"), "id", ["x", "y"], n_clusters=4).groupBy("predicted").agg(

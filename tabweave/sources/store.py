@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 OTHER_MODELS = {
     "KnnModel": "tabweave.models.knn",
     "Clustered": "tabweave.models.factory",
+    "BisectingTree": "tabweave.models.ward",
     "ImageModel": "tabweave.models.images",
 }
 
