@@ -4,6 +4,7 @@ Rows are first combined per distinct score, so heavily tied scores cost one
 record per input partition; the running counts over those scores use the
 bucketed prefix sum, never a single-task window.  Binary curves take the larger
 label as positive; several classes give one curve each, class against rest.
+Rows without a score, null or NaN, have no place on a curve and are left out.
 """
 
 from __future__ import annotations
@@ -48,6 +49,7 @@ def cumulated(scores: DataFrame) -> DataFrame:
     """
     if "cum_tp" in scores.columns:
         return scores
+    scores = scores.where(F.col("score").isNotNull() & ~F.isnan("score"))
     tied = scores.groupBy("class", "score").agg(
         F.sum("hit").alias("tp"), F.sum(F.lit(1) - F.col("hit")).alias("fp")
     )

@@ -110,9 +110,10 @@ def regression_metrics(df: DataFrame, y: str = "y_true", p: str = "y_pred") -> D
     """mae, mse, rmse and r2 from one aggregate.
 
     A constant target leaves r2 without a scale: 1 for a perfect fit, else 0.
+    Only rows with both numbers count; a missing one, null or NaN, has no error.
     """
     error = F.col(y) - F.col(p)
-    row = df.agg(
+    row = df.where(error.isNotNull() & ~F.isnan(error.cast("double"))).agg(
         F.avg(F.abs(error)).alias("mae"), F.avg(error * error).alias("mse"), F.var_pop(y).alias("__spread")
     )
     perfect = F.when(F.col("mse") == 0, F.lit(1.0)).otherwise(F.lit(0.0))

@@ -170,7 +170,8 @@ OUTCOMES = [
 
 def _file_lines(manifest: DataFrame, status: DataFrame, examples: int = 5) -> DataFrame:
     """Report lines on the files of a manifest, each with its first few paths."""
-    found = manifest.select("path").join(status.select("path", "status"), "path", "left")
+    known_status = status.select(one_spelling(F.col("path")).alias("__path"), "status")
+    found = manifest.select("path").join(known_status, one_spelling(F.col("path")) == F.col("__path"), "left")
     bad = found.select("path", F.coalesce("status", F.lit("missing")).alias("status")).where("status <> 'ok'")
     counts = bad.groupBy("status").agg(F.count("*").alias("n"))
     # A rank filter of this form is cut to a few rows per status before the shuffle.
@@ -198,7 +199,8 @@ def validate_images(
     """Classes, balance, missing and unreadable files of a manifest as one report.
 
     ``status`` is the outcome of reading each file that exists: ``(path,
-    status)`` with ``ok``, ``corrupt`` or ``unsupported``.
+    status)`` with ``ok``, ``corrupt`` or ``unsupported``; both spellings of
+    local paths are one.
     """
     counts = class_counts(manifest)
     facts = counts.agg(

@@ -8,10 +8,14 @@ from tabweave.models import factory
 from tabweave.models.bayes import fit_naive_bayes
 from tabweave.models.forecast import fit_forecast, sequence_windows
 from tabweave.operators import metrics, prep, quality
+from tabweave.operators.curves import areas, binary_scores
 from tabweave.operators.history import early_stopping
+from tabweave.operators.metrics import regression_metrics
+from tabweave.operators.quality import validate_images
 from tabweave.operators.split import split_random, split_stratified
 from tabweave.plans.derived_files import png
 from tabweave.sources import files, images
+from tabweave.sources.checkpoints import checkpoint_epoch, compact_checkpoints, read_checkpoints
 
 NAN = float("nan")
 
@@ -130,3 +134,40 @@ def test_names_and_depths(spark):
     df = spark.createDataFrame([(0.0, "a"), (1.0, "b")], "x double, y string")
     with pytest.raises(ValueError, match="max_depth"):
         factory.fit("classification", "decision_tree", df, features=["x"], label="y", max_depth=40)
+
+
+def test_metrics_and_curves_leave_out_missing_predictions(spark):
+    rows = [(1.0, 1.5), (2.0, 2.0), (3.0, 3.0), (100.0, None), (7.0, float("nan"))]
+    df = spark.createDataFrame(rows, "y_true double, y_pred double")
+    found = {r.metric: r.value for r in regression_metrics(df).collect()}
+    assert found["r2"] == pytest.approx(0.875) and found["mae"] == pytest.approx(0.5 / 3)
+    scored = spark.createDataFrame([(0, 0.1), (0, 0.4), (1, 0.35), (1, 0.8), (1, float("nan")), (0, None)], "y int, s double")
+    assert areas(binary_scores(scored, "y", "s")).first()["auc"] == pytest.approx(0.75)
+
+
+def test_an_epoch_saved_twice_is_the_later_one(spark, tmp_path):
+    path = str(tmp_path / "c")
+    for loss in (3.0, 2.0):
+        checkpoint_epoch(spark, path, "a", 0, [loss], {"loss": loss}, False)
+    checkpoint_epoch(spark, path, "a", 1, [1.0], {"loss": 1.0}, True)
+    assert [(r.epoch, r.params) for r in read_checkpoints(spark, path).orderBy("epoch").collect()] == [(0, [2.0]), (1, [1.0])]
+    compact_checkpoints(spark, path)
+    checkpoint_epoch(spark, path, "a", 0, [0.5], {"loss": 0.5}, False)
+    assert [(r.epoch, r.params) for r in read_checkpoints(spark, path).orderBy("epoch").collect()] == [(0, [0.5]), (1, [1.0])]
+    assert sorted(p.name for p in (tmp_path / "c").iterdir()) == ["v=1"]
+
+
+def test_files_do_not_pile_up(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("tabweave.sources.checkpoints.MAX_FILES", 3)
+    path = str(tmp_path / "c")
+    for epoch in range(9):
+        checkpoint_epoch(spark, path, "a", epoch, [float(epoch)], {}, False)
+    assert read_checkpoints(spark, path).count() == 9
+    assert len(list((tmp_path / "c").rglob("part-*.parquet"))) <= 4
+
+
+def test_images_are_found_under_either_spelling(spark):
+    manifest = spark.createDataFrame([("file:///d/a/1.png", "a"), ("/d/a/2.png", "a")], "path string, label string")
+    status = spark.createDataFrame([("file:/d/a/1.png", "ok"), ("file:/d/a/2.png", "ok")], "path string, status string")
+    report = validate_images(manifest, status).where("check = 'missing_files'").collect()
+    assert [r.value for r in report] == [0.0]
