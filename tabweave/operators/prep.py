@@ -136,14 +136,17 @@ class TablePrep:
 
     # -- applying ----------------------------------------------------------
 
-    def _assert_fitted(self) -> dict[str, ColumnParams]:
-        if self.params is None:
-            raise RuntimeError("fit this preprocessor before using it")
-        return self.params
+    @property
+    def learnt(self) -> dict[str, ColumnParams]:
+        """What :meth:`fit` found per column; an error before it has run."""
+        found = self.params
+        if found is not None:
+            return found
+        raise RuntimeError("fit this preprocessor before using it")
 
     def expression(self, name: str) -> str:
         """SQL for the prepared value of one fitted column."""
-        p = self._assert_fitted()[name]
+        p = self.learnt[name]
         x = f"NULLIF(CAST({quoted(name)} AS DOUBLE), CAST('NaN' AS DOUBLE))"
         if p.fill is not None:
             x = f"COALESCE({x}, {sql_double(p.fill)})"
@@ -153,7 +156,7 @@ class TablePrep:
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Prepared copy of ``df``; columns not fitted stay as they are."""
-        params = self._assert_fitted()
+        params = self.learnt
         if self.impute is None and self.scaler is None:
             return df
         return df.select(
@@ -165,7 +168,7 @@ class TablePrep:
 
     def stage(self, prefix: str = "prep_") -> tuple[SQLTransformer, list[str]]:
         """A pipeline stage adding the prepared columns, and their names."""
-        params = self._assert_fitted()
+        params = self.learnt
         named = [(self.expression(c), f"{prefix}{c}") for c in params]
         sql = ", ".join(f"{e} AS {quoted(n)}" for e, n in named)
         return SQLTransformer(statement=f"SELECT *, {sql} FROM __THIS__"), [n for _, n in named]
@@ -174,7 +177,7 @@ class TablePrep:
         """The fitted state as ``(column, stat, value)``."""
         rows = [
             (c, stat, getattr(p, stat))
-            for c, p in self._assert_fitted().items()
+            for c, p in self.learnt.items()
             for stat in ("fill", "center", "scale")
             if getattr(p, stat) is not None
         ]
@@ -261,10 +264,11 @@ def label_encode(df: DataFrame, column: str, encoder: DataFrame | None = None) -
 
 
 def label_decode(df: DataFrame, column: str, encoders: dict[str, DataFrame]) -> DataFrame:
-    """Replace codes in ``column`` by the text they stand for."""
-    if column not in encoders:
-        raise KeyError(f"No encoder for column '{column}'")
-    values = encoders[column].select(F.col("code").alias("__code"), F.col("value").alias("__value"))
+    """Replace codes in ``column`` by the text they stand for; a ``KeyError`` if it was never encoded."""
+    known = encoders.get(column)
+    if known is None:
+        raise KeyError(f"'{column}' was not encoded; there are {', '.join(sorted(encoders)) or 'none'}")
+    values = known.select(F.col("code").alias("__code"), F.col("value").alias("__value"))
     out = df.withColumn("__code", col(column).cast("bigint")).join(values, "__code", "left")
     return out.select(*[F.col("__value").alias(c) if c == column else col(c) for c in df.columns])
 
@@ -284,13 +288,18 @@ def fit_categories(df: DataFrame, columns: Sequence[str], limit: int = MAX_CATEG
 
 
 def one_hot(
-    df: DataFrame, columns: Sequence[str], drop_first: bool = False, categories: dict[str, list] | None = None
+    df: DataFrame,
+    columns: Sequence[str],
+    drop_first: bool = False,
+    categories: dict[str, list] | None = None,
+    limit: int = MAX_CATEGORIES,
 ) -> DataFrame:
     """Replace ``columns`` by one boolean column per category, at the end.
 
-    Missing and unseen values are false everywhere.
+    Missing and unseen values are false everywhere.  Without ``categories``
+    they are learnt here, at most ``limit`` per column.
     """
-    categories = fit_categories(df, columns) if categories is None else categories
+    categories = fit_categories(df, columns, limit) if categories is None else categories
     kept = [col(c) for c in df.columns if c not in set(columns)]
     flags = [
         F.coalesce(col(c) == F.lit(v), F.lit(False)).alias(f"{c}_{v}")
