@@ -11,8 +11,11 @@ the template of the site and go.
 Differencing alone cannot find everything: menus and adverts may change from
 page to page, and an article may be published twice.  So marks in the HTML
 decide where they are clear: elements that are by name, role or class no part of
-an article go at once, and where a page marks its article, that is kept whole
-and nothing else.  Lines in no such element are decided by differencing.
+an article go at once.  All other pages and lines are differenced, and marks are
+the check that follows: a line of a marked article is not deleted, and where the
+marked article is the larger part of what is left, nothing else is kept.  Where
+it is the smaller part (teasers in ``article`` elements beside the text), the
+unmarked lines are the text.
 
 Pages move as keys and hashes of lines only: pairs are found in a range-sorted
 stream, so a host with a third of all pages is spread over many tasks.  Pages at
@@ -42,6 +45,9 @@ _BLOCK = frozenset(
     "footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section "
     "summary table tbody td tfoot th thead title tr ul".split()
 )
+# Elements without an end tag that a block ends; all others end a paragraph only.
+_ENDED_BY = {"li": "p li", "dt": "p dt dd", "dd": "p dt dd", "td": "p td th", "th": "p td th", "tr": "p td th tr", "option": "option"}
+_HEADINGS = frozenset("p h1 h2 h3 h4 h5 h6".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 _OUT = frozenset(
@@ -49,15 +55,20 @@ _OUT = frozenset(
     "dialog menu xmp noembed noframes title datalist".split()
 )
 _OUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-# Class or id names of what is no article, whole or before a dash or underscore.
+# Class or id names of what is no article, alone or with up to two words for a part of a page behind them.
+_PARTS = (
+    "list|box|bar|wrap|wrapper|container|section|area|block|panel|links?|form|buttons?|icons?|items?|group|row|inner|outer|slot|unit|left|right|"
+    "top|bottom|main|primary|secondary|header|footer|menu|nav|notice|banner|modal|popup|overlay|message|thread|posts?|articles?|stories|content|"
+    "body|text|title|heading|author|meta|reply|respond|widgets?|toggle|[0-9]+"
+)
 _OUT_NAMES = re.compile(
     r"(?:site|page|top|main|global|cookie|newsletter|post|article|user|reader)?[-_]?(?:"
     r"nav|navbar|navigation|menu|submenu|breadcrumbs?|masthead|footer|sidebar|ads?|adverts?|advertisement|advertising|"
     r"banner|promo|promotion|sponsor|sponsored|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|"
     r"subscription|signup|login|share|sharing|social|comments?|commentlist|disqus|respond|replies|reply|related|recommended|"
-    r"recommendations|pagination|pager|widget|toolbar|skip-?link|copyright)(?:[-_].*)?"
+    rf"recommendations|pagination|pager|widget|toolbar|skip-?link|copyright)(?:[-_](?:{_PARTS})){{0,2}}"
 )
-_HEADER_NAMES = re.compile(r"(?:site|page|top|main|global)?[-_]?header(?:[-_].*)?")
+_HEADER_NAMES = re.compile(rf"(?:site|page|top|main|global)?[-_]?header(?:[-_](?:{_PARTS})){{0,2}}")
 _MAIN_NAMES = re.compile(r"(?:post|entry|article|story|main|page)[-_]?(?:content|body|text)")
 
 _MARKUP = re.compile(
@@ -78,8 +89,8 @@ def _attributes(source: str) -> dict[str, str]:
     return found
 
 
-def _role(tag: str, source: str, in_main: bool) -> str:
-    """``out``, ``main`` or nothing special."""
+def _role(tag: str, source: str, in_main: bool, first: bool) -> str:
+    """``out``, ``main`` or nothing special; names say nothing about the ``first`` marked article."""
     if tag in _OUT:
         return "out"
     if tag in ("article", "main"):
@@ -94,6 +105,8 @@ def _role(tag: str, source: str, in_main: bool) -> str:
     role = attributes.get("role", "").lower()
     if role in _OUT_ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true" or _HIDDEN.search(attributes.get("style", "")):
         return "out"
+    if kind and first:
+        return kind
     names = [n.lower() for n in f"{attributes.get('class', '')} {attributes.get('id', '')}".split()]
     if any(_OUT_NAMES.fullmatch(n) for n in names) or not in_main and any(_HEADER_NAMES.fullmatch(n) for n in names):
         return "out"
@@ -102,17 +115,76 @@ def _role(tag: str, source: str, in_main: bool) -> str:
     return kind
 
 
+Tag = tuple[int, int, bool, str, str]  # start, end, whether it closes, name, attributes
+
+
+def _tags(html: str) -> list[Tag]:
+    """The tags of a page; an element of raw text is one opening tag that ends where the element does."""
+    tags, at = [], 0
+    while m := _MARKUP.search(html, at):
+        at = m.end()
+        closing, tag, source = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        tag = (tag or "").lower()
+        if tag in _RAW and not closing:
+            end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(html, at)
+            at = end.end() if end else len(html)
+        tags.append((m.start(), at, bool(closing), tag, source or ""))  # no name: a comment
+    return tags
+
+
+def _stands_alone(tag: str, source: str) -> bool:
+    """Whether an opening tag is a whole element."""
+    return not tag or tag in _VOID or tag in _RAW or source.endswith("/") and tag not in _BLOCK
+
+
+def _element_ends(tags: Sequence[Tag]) -> tuple[list[int], list[bool]]:
+    """For each opening tag the tag that ends its element, and whether that is its own end tag.
+
+    An end tag also ends what is open inside its element; that of an inline
+    element does not reach past a block.  A paragraph ends at any block, list
+    items and cells at the next.  What nothing ends goes to the end of the page.
+    """
+    ends, own = [len(tags)] * len(tags), [False] * len(tags)
+    open_: list[int] = []
+    places: dict[str, list[int]] = {}  # of the open elements of a name, as positions in ``open_``
+    blocks: list[int] = []  # positions of open blocks
+
+    def end(place: int, at: int) -> None:
+        while len(open_) > place:
+            i = open_.pop()
+            ends[i] = at
+            places[tags[i][3]].pop()
+        while blocks and blocks[-1] >= place:
+            blocks.pop()
+
+    for i, (_, _, closing, tag, source) in enumerate(tags):
+        if closing:
+            if (at := places.get(tag)) and (tag in _BLOCK or not blocks or at[-1] > blocks[-1]):
+                own[open_[at[-1]]] = True
+                end(at[-1], i)
+        elif not _stands_alone(tag, source):
+            if tag in _BLOCK:
+                over = _ENDED_BY.get(tag, "p").split()
+                while blocks and tags[open_[blocks[-1]]][3] in over:
+                    end(blocks[-1], i)
+                blocks.append(len(open_))
+            places.setdefault(tag, []).append(len(open_))
+            open_.append(i)
+    return ends, own
+
+
 def page_lines(html: str) -> list[tuple[int, str]]:
     """``(OTHER or MAIN, text)`` of each block that is not marked as something else.
 
     Character references are decoded and white space, ``br`` included, becomes
-    one space.  An element that is left out ends with its end tag, or with the
-    page if there is none.
+    one space.  An element that is left out ends with its end tag.  Without one
+    it ends with the element around it, or before if an article begins; a menu, a
+    header or an element left out by its class also at a paragraph or heading.
     """
     lines: list[tuple[int, str]] = []
     chunk: list[str] = []
     main: list[str] = []  # open tags since the article began, its own first
-    kind = OTHER
+    kind, first = OTHER, True
 
     def flush() -> None:
         if chunk:
@@ -121,69 +193,47 @@ def page_lines(html: str) -> list[tuple[int, str]]:
                 lines.append((kind, text))
             chunk.clear()
 
-    at, end = 0, len(html)
-    while at < end:
-        m = _MARKUP.search(html, at)
-        if m is None:
-            chunk.append(html[at:])
-            break
-        chunk.append(html[at : m.start()])
-        at = m.end()
-        closing, tag, source = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if not tag:
-            continue
-        tag = tag.lower()
+    tags = _tags(html)
+    ends, own = _element_ends(tags)
+    at = i = 0
+    while i < len(tags):
+        start, stop, closing, tag, source = tags[i]
+        chunk.append(html[at:start])
+        at, here, i = stop, i, i + 1
         if tag == "br":
             chunk.append("\n")
             continue
+        if tag in _BLOCK:
+            flush()
         if closing:
-            if tag in _BLOCK:
-                flush()
             if main and tag == main[0]:
                 main.pop()
                 if not main:
                     flush()
                     kind = OTHER
             continue
-        role = _role(tag, source, bool(main))
-        if tag in _BLOCK:
-            flush()
-        if tag in _VOID or source.endswith("/") and tag not in _BLOCK and tag not in _RAW:
+        if _stands_alone(tag, source):
             continue
+        role = _role(tag, source, bool(main), first)
         if role == "out":
-            at = _end_of(html, tag, at)
-        elif tag in _RAW:
-            at = _end_of(html, tag, at)
+            i = ends[here]
+            if own[here]:
+                at, i = tags[i][1], i + 1
+            else:
+                stops = {"main", "article"} if tag in _OUT and tag != "nav" else {"main", "article"} | _HEADINGS
+                i = next((j for j in range(here + 1, i) if not tags[j][2] and tags[j][3] in stops), i)
+                at = tags[i][0] if i < len(tags) else len(html)
         elif main:
             if tag == main[0]:
                 main.append(tag)
         elif role == "main":
             flush()
-            main, kind = [tag], MAIN
+            main, kind, first = [tag], MAIN, False
+    chunk.append(html[at:])
     flush()
     return lines
 
 
-def _end_of(html: str, tag: str, at: int) -> int:
-    """Where the element that has just begun ends."""
-    if tag in _RAW:
-        m = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(html, at)
-        return m.end() if m else len(html)
-    depth = 1
-    while depth:
-        m = _MARKUP.search(html, at)
-        if m is None:
-            return len(html)
-        at = m.end()
-        closing, name, source = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        name = (name or "").lower()
-        if name == tag:
-            depth += -1 if closing else 0 if source.endswith("/") else 1
-        elif name in _RAW and not closing:
-            at = _end_of(html, name, at)
-    return at
-
-
 def common_lines(a: Sequence[int], b: Sequence[int]) -> list[int]:
     """Positions in ``a`` of a longest common subsequence with ``b``.
 
@@ -244,20 +294,21 @@ Page = tuple[str, str, list[int], list[int]]  # host, path, hashes of lines, kin
 
 
 def template_lines(page: Page, neighbours: Sequence[Page]) -> list[int]:
-    """Undecided lines that the page shares with its nearest neighbour on the host.
+    """Unmarked lines that the page shares with its nearest neighbour on the host.
 
-    A neighbour that would leave nothing undecided is a copy of the page and
-    says nothing about a template, nor does one that shares nothing; then the
-    other neighbour is asked.
+    A neighbour that shares all lines is a copy of the page and says nothing
+    about a template, nor does one that shares no unmarked line; then the other
+    neighbour is asked.
     """
     host, path, hashes, kinds = page
-    if MAIN in kinds or not hashes:
+    if OTHER not in kinds:
         return []
     near = [p for p in neighbours if p[0] == host]
     for other in sorted(near, key=lambda p: -common_prefix(path, p[1])):
         shared = common_lines(hashes, other[2])
-        if shared and len(shared) < len(hashes):
-            return shared
+        template = [i for i in shared if kinds[i] == OTHER]
+        if template and len(shared) < len(hashes):
+            return template
     return []
 
 
@@ -363,23 +414,22 @@ def extract_pages(df: DataFrame, key: str = "page_id", url: str = "url", html: s
     shared = paired.where("shared IS NOT NULL").select("page", "shared").unionByName(met)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The lines of each page, joined, for pages from which nothing is deleted; as a list for the others."""
+        """The lines of each page and whether they are marked."""
         for batch in batches:
-            pages, lists = [], []
+            pages, lists, marks = [], [], []
             for link, source in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-                html_ = source.as_py() or ""
-                lines = page_lines(html_)
-                marked = any(k == MAIN for k, _ in lines)
-                lists.append([t for k, t in lines if k == MAIN or not marked])
-                pages.append(_page(host_and_path(link)[0], [_hash(t) for _, t in lines], [k for k, _ in lines]))
-            columns = [batch.column(0), batch.column(1), pa.array(pages, pa.int64()), pa.array(lists, pa.list_(pa.string()))]
-            yield pa.record_batch(columns, ["key", "url", "page", "lines"])
-
-    read_rows = rows.mapInArrow(read, f"key {kind}, url string, page bigint, lines array<string>")
+                lines = page_lines(source.as_py() or "")
+                lists.append([t for _, t in lines])
+                marks.append([k for k, _ in lines])
+                pages.append(_page(host_and_path(link)[0], [_hash(t) for t in lists[-1]], marks[-1]))
+            columns = [batch.column(0), batch.column(1), pa.array(pages, pa.int64()), pa.array(lists, pa.list_(pa.string())), pa.array(marks, pa.list_(pa.int32()))]
+            yield pa.record_batch(columns, ["key", "url", "page", "lines", "marks"])
+
+    read_rows = rows.mapInArrow(read, f"key {kind}, url string, page bigint, lines array<string>, marks array<int>")
     joined = read_rows.join(shared.withColumnRenamed("page", "__page"), F.col("page") == F.col("__page"), "left")
-    # Positions refer to the undecided lines, which are all lines of such a page.
-    keep = F.when(F.col("shared").isNull(), F.col("lines")).otherwise(
-        F.filter("lines", lambda _, i: ~F.array_contains("shared", i))
-    )
-    text = F.array_join(keep, "\n\n")
+    gone = F.coalesce("shared", F.array().cast("array<int>"))
+    rest = F.filter("lines", lambda _, i: (F.get("marks", i) == OTHER) & ~F.array_contains(gone, i))
+    marked = F.filter("lines", lambda _, i: F.get("marks", i) == MAIN)
+    rest, marked = (F.array_join(c, "\n\n") for c in (rest, marked))
+    text = F.when(F.length(marked) >= F.length(rest), marked).otherwise(rest)
     return joined.select(F.col("key").alias(key), F.col("url").alias(url), text.alias("text")).withColumn("n_chars", F.length("text").cast("bigint"))

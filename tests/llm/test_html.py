@@ -42,6 +42,11 @@ def test_alignment_is_longest():
         ("<p>cut <a href='no end", ["cut"]),
         ("<style>p{}</style><title>T</title><P>Upper</P>", ["Upper"]),
         ("<body class='has-sidebar'><p>t</p>", ["t"]),
+        ("<div><div class=alert-level-high>a</div><div class=banner-image>b</div><div class=ad-slot>c</div></div>", ["a", "b"]),
+        ("<div class=share><ul><li>x</ul><p>Body</p>", ["Body"]),
+        ("<div><footer>f<div>g</div></div><p>t</p>", ["t"]),
+        ("<p>a <span class=share>s</b></span> b</p><p>c", ["a b", "c"]),
+        ("<p class=ad>buy<p>t", ["t"]),
     ],
 )
 def test_lines(html, lines):
@@ -53,13 +58,34 @@ def test_marked_article():
     assert page_lines(html) == [(OTHER, "before"), (MAIN, "T"), (MAIN, "one"), (MAIN, "two"), (OTHER, "after")]
 
 
+@pytest.mark.parametrize(
+    ("html", "marked"),
+    [
+        ("<nav><ul><li>Menu</ul><main><p>Article</p></main>", ["Article"]),
+        ("<header>H<article><p>Article</article>", ["Article"]),
+        ("<article><h1>T</h1><div class='share'>s<p>Body</article>", ["T", "Body"]),
+        ("<article class=post-comments-free><p>Body</article>", ["Body"]),
+        ("<article class=comments><p>Body</article><article class=comment>c</article>", ["Body"]),
+        ("<article><p class=alert-level-high>a<p class=banner-image>b</article>", ["a", "b"]),
+    ],
+)
+def test_article_survives_elements_without_an_end(html, marked):
+    assert page_lines(html) == [(MAIN, t) for t in marked]
+
+
+def test_unclosed_elements_take_linear_time():
+    html = "<div class=ad><i>" * 30_000 + "</b></i></span>" * 30_000 + "<p>end"
+    assert page_lines(html)[-1] == (OTHER, "end")
+
+
 def test_nearest_neighbour_decides():
     page = ("h", "/a/1", [1, 2, 3], [OTHER] * 3)
     near, far = ("h", "/a/2", [1, 9, 3], [OTHER] * 3), ("h", "/b", [2], [OTHER])
     assert template_lines(page, [far, near]) == [0, 2]
     assert template_lines(page, [("h", "/a/1", [1, 2, 3], [OTHER] * 3), far]) == [1]  # a copy says nothing
     assert template_lines(page, [("other", "/a/2", [1], [OTHER])]) == []
-    assert template_lines(("h", "/a/1", [1, 2], [OTHER, MAIN]), [near]) == []
+    assert template_lines(("h", "/a/1", [1, 2, 3, 3], [OTHER, MAIN, MAIN, OTHER]), [near]) == [0]
+    assert template_lines(("h", "/a/1", [1, 2], [MAIN, MAIN]), [near]) == []
 
 
 def site(n, host="s.example"):
@@ -96,6 +122,16 @@ def test_odd_rows(spark):
     assert extract_pages(df.limit(0)).count() == 0
 
 
+def test_marks_check_what_differencing_leaves(spark):
+    menu, card = "<div>Menu</div>", "<article class=card>teaser</article>"
+    rows = [(i, f"http://h/{i}", f"{menu}<div id=content><p>Real body of page {i}</div>{card}") for i in range(4)]
+    rows += [(i, f"http://k/{i}", f"{menu}<article><p>Article {i}<p>Shared line</article><div>x{i}</div>") for i in range(4)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r.url: r.text for r in extract_pages(df).collect()}
+    assert all(got[f"http://h/{i}"] == f"Real body of page {i}" for i in range(4))
+    assert all(got[f"http://k/{i}"] == f"Article {i}\n\nShared line" for i in range(4))
+
+
 def test_given_pages(spark):
     import html
     import re
