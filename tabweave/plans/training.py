@@ -326,7 +326,7 @@ def train_classical(spark, sf):
 def train_epochs(spark, sf):
     df = split_stratified(table(spark, sf, "embeddings"), "vec_id", "label")
     store = scratch_path(spark, "epochs")
-    run_epochs(df, "classification", "embedding", "label", learning_rate=0.05, run_id="head", store=store)
+    run_epochs(df, "classification", "embedding", "label", learning_rate=0.005, run_id="head", store=store, batch_size=32)
     return read_checkpoints(spark, store).select(
         "run_id", "epoch", F.size("params").alias("n_params"), F.round(F.col("metrics")["val_loss"], 4).alias("val_loss"), "is_best"
     )

@@ -372,11 +372,47 @@ def test_epochs_against_numpy(spark, tmp_path, task):
     assert np.allclose([r["scores"] for r in predict_scores(df, "x", got.params).collect()], a @ got.params)
 
 
+def epoch_rows(spark, parts):
+    rng = np.random.default_rng(17)
+    x = rng.normal(size=(1200, 4))
+    y = np.argmax(x @ rng.normal(size=(4, 3)), axis=1)
+    rows = [(x[i].tolist(), float(y[i]), "val" if i % 5 == 0 else "train") for i in range(len(x))]
+    return spark.createDataFrame(rows + rows[:7], "x array<double>, y double, split string").repartition(parts)
+
+
+def test_mini_batches_need_fewer_epochs(spark):
+    df = epoch_rows(spark, 3)
+    options = {"epochs": 6, "learning_rate": 0.01, "patience": 6}
+    full = train_epochs(df, "classification", "x", "y", **options)
+    small = train_epochs(df, "classification", "x", "y", batch_size=32, **options)
+    least = full.history.agg({"val_loss": "min"}).first()[0]
+    losses = [r["val_loss"] for r in small.history.orderBy("epoch").collect()]
+    assert losses[0] < least and losses == sorted(losses, reverse=True)
+    assert small.history.orderBy("epoch").collect()[-1]["val_accuracy"] > 0.9
+
+
+def test_mini_batches_do_not_depend_on_the_input_order(spark):
+    options = {"epochs": 3, "learning_rate": 0.02, "batch_size": 16, "workers": 3}
+    a, b = (train_epochs(epoch_rows(spark, p), "classification", "x", "y", **options) for p in (1, 5))
+    assert (a.params == b.params).all() and np.allclose([r[1:] for r in a.rows], [r[1:] for r in b.rows])
+
+
+def test_one_batch_of_everything_is_the_full_step(spark):
+    df = epoch_rows(spark, 2)
+    options = {"epochs": 4, "learning_rate": 0.05}
+    full = train_epochs(df, "regression", "x", "y", **options)
+    batch = train_epochs(df, "regression", "x", "y", batch_size=10_000, workers=1, **options)
+    assert np.allclose(full.params, batch.params)
+    # More tasks than rows: those without a training row have no say.
+    few = spark.createDataFrame([([1.0], 2.0, "train"), ([2.0], 4.0, "val")], "x array<double>, y double, split string")
+    assert np.isfinite(train_epochs(few, "regression", "x", "y", batch_size=1, workers=5, epochs=2).params).all()
+
+
 def test_epochs_stop_and_arguments(spark):
     df = spark.createDataFrame([([1.0], 1.0, "train"), ([1.0], -9.0, "val")], "x array<double>, y double, split string")
     r = train_epochs(df, "regression", "x", "y", epochs=20, learning_rate=0.1, patience=2)
     assert r.stopped and r.best_epoch == 0 and r.history.count() == 3
-    for bad in ({"epochs": 0}, {"patience": 0}):
+    for bad in ({"epochs": 0}, {"patience": 0}, {"batch_size": 0}):
         with pytest.raises(ValueError):
             train_epochs(df, "regression", "x", "y", **bad)
     with pytest.raises(ValueError):
