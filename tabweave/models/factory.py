@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tabweave.models import mllib
 from tabweave.models.bayes import fit_naive_bayes
 from tabweave.models.dbscan import dbscan
+from tabweave.models.deep_tree import fit_deep_tree
 from tabweave.models.knn import fit_knn
 from tabweave.models.ward import BisectingTree, fit_bisecting, hierarchical
 from tabweave.operators.detect import CLASSIFICATION, CLUSTERING, FORECASTING, REGRESSION
@@ -52,10 +53,17 @@ def _hierarchical(df: DataFrame, features: Sequence[str], key: str, method: str
     return Clustered(hierarchical(df, key, features, **params))
 
 
+def _decision_tree(df: DataFrame, features: Sequence[str], label: str, max_depth: int | None = mllib.TREE_DEPTH, **params: Any):
+    """Spark's tree up to the depth it can grow; beyond that, or with None for no limit, a :class:`DeepTree`."""
+    if max_depth is None or max_depth > mllib.TREE_DEPTH:
+        return fit_deep_tree(df, features, label, max_depth, **params)
+    return mllib.decision_tree(df, features, label, max_depth, **params)
+
+
 MODELS: dict[str, dict[str, Callable[..., Any]]] = {
     CLASSIFICATION: {
         "logistic_regression": mllib.logistic_regression,
-        "decision_tree": mllib.decision_tree,
+        "decision_tree": _decision_tree,
         "random_forest": mllib.random_forest,
         "svm": mllib.svm,
         "knn": fit_knn,

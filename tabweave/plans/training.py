@@ -53,6 +53,19 @@ def decision_tree(spark, sf):
     return _confusion(model.transform(df), "label")
 
 
+DEEP = """WITH c AS (SELECT embedding, label, COUNT(*) AS n FROM embeddings WHERE label IS NOT NULL GROUP BY embedding, label),
+    p AS (SELECT embedding, label AS predicted, ROW_NUMBER() OVER (PARTITION BY embedding ORDER BY n DESC, label) AS i FROM c)
+    SELECT e.label AS actual, p.predicted, COUNT(*) AS n FROM embeddings e LEFT JOIN p ON e.embedding = p.embedding AND p.i = 1 GROUP BY ALL"""
+
+
+@query("decision_tree_unlimited", DEEP)
+def decision_tree_unlimited(spark, sf):
+    """Grown to pure leaves, a tree gives the rows it was fitted on their own labels."""
+    df = table(spark, sf, "embeddings")
+    model = factory.fit("classification", "decision_tree", df, features=["embedding"], label="label", max_depth=None, node_rows=512)
+    return _confusion(model.transform(df), "label")
+
+
 @query("random_forest")
 def random_forest(spark, sf):
     df = table(spark, sf, "embeddings")

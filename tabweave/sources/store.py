@@ -15,6 +15,7 @@ OTHER_MODELS = {
     "KnnModel": "tabweave.models.knn",
     "Clustered": "tabweave.models.factory",
     "BisectingTree": "tabweave.models.ward",
+    "DeepTree": "tabweave.models.deep_tree",
     "ImageModel": "tabweave.models.images",
 }
 

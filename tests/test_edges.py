@@ -133,7 +133,7 @@ def test_names_and_depths(spark):
     assert "lstm" in factory.list_models("regression") and factory.resolve("regression", "RNN") is factory.resolve("regression", "forecast")
     df = spark.createDataFrame([(0.0, "a"), (1.0, "b")], "x double, y string")
     with pytest.raises(ValueError, match="max_depth"):
-        factory.fit("classification", "decision_tree", df, features=["x"], label="y", max_depth=40)
+        factory.fit("classification", "random_forest", df, features=["x"], label="y", max_depth=40)
 
 
 def test_metrics_and_curves_leave_out_missing_predictions(spark):
