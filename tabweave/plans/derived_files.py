@@ -70,3 +70,11 @@ def write_csv(spark: SparkSession, sf_dir: str, name: str = "profiled") -> str:
     root = scratch_path(spark, name) + ".csv"
     frame(spark, sf_dir, name).write.option("header", "true").option("nullValue", "NA").csv(root)
     return root
+
+
+def write_csv_quoted(spark: SparkSession, sf_dir: str) -> str:
+    """Documents as CSV, with line breaks inside quotes; returns its path."""
+    root = scratch_path(spark, "documents") + ".csv"
+    exact = {"header": "true", "nullValue": "NA", "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    table(spark, sf_dir, "documents").select("doc_id", "source", "text", "n_chars").write.options(**exact).csv(root)
+    return root

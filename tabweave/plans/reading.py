@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tabweave.models.images import fit_image_classifier, predict_images as predict_folder
 from tabweave.operators import quality
 from tabweave.operators.images import ImagePrep
-from tabweave.plans.derived_files import write_csv, write_images
+from tabweave.plans.derived_files import write_csv, write_csv_quoted, write_images
 from tabweave.plans.registry import query
 from tabweave.plans.tables import frame, sql, table, with_
 from tabweave.session import scratch_path
@@ -33,6 +33,17 @@ def scan_csv_(spark, sf):
     return df.withColumn("l_linenumber", F.col("l_linenumber").cast("int"))
 
 
+@query(
+    "scan_csv_quoted",
+    """SELECT doc_id, source, n_chars, LENGTH(text) AS length, MD5(text) AS digest, LENGTH(text) - LENGTH(REPLACE(text, CHR(10), '')) AS breaks
+        FROM documents""",
+)
+def scan_csv_quoted(spark, sf):
+    df = scan_csv(spark, write_csv_quoted(spark, sf), multi_line=True)
+    breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
+    return df.select("doc_id", "source", "n_chars", F.length("text").cast("bigint").alias("length"), F.md5("text").alias("digest"), breaks.cast("bigint").alias("breaks"))
+
+
 @query("scan_dataset", "SELECT * FROM customer")
 def scan_dataset_(spark, sf):
     return scan_dataset(spark, f"{sf}/customer.parquet")

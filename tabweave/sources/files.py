@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from tabweave.functions.missing import col, quoted
 from tabweave.session import is_folder
+from tabweave.sources.csv_blocks import csv_records
 from tabweave.sources.images import scan_image_folder
 
 # Texts that stand for a missing value.
@@ -67,6 +68,14 @@ def _charset(encoding: str) -> str:
     return SPARK_CHARSETS.get(name, name.replace("_", "-"))
 
 
+def _from_records(spark: SparkSession, path: str | Sequence[str], raw: DataFrame, settings: dict, options: dict) -> DataFrame:
+    """The rows of ``raw``, which knows the columns, from records cut by many tasks."""
+    records = csv_records(spark, path, options.get("quote", '"'), options).where("NOT first").select("record")
+    fields = ", ".join(f"{quoted(c.removesuffix(chr(13)))} string" for c in raw.columns)
+    # As a table of one row each the record is parsed once, not once per column.
+    return records.select(F.inline(F.array(F.from_csv("record", fields, settings))))
+
+
 def scan_csv(
     spark: SparkSession,
     path: str | Sequence[str],
@@ -89,8 +98,10 @@ def scan_csv(
     A line with more or fewer fields than the header is an error: a
     ``RuntimeError`` while types are inferred, else an error of the job that
     reads it (``mode="PERMISSIVE"`` pads and cuts instead).  Line breaks inside
-    quotes need ``multi_line``; a file is then read by one task, so give large
-    data as several files.
+    quotes need ``multi_line``: the files are then read once more to count
+    quotes, and large ones by many tasks (``csv_blocks``).  Only files that are
+    not UTF-8, or with a comment sign or another escape or line separator than
+    usual, are read by one task each.
     """
     settings = {"header": "true", "encoding": _charset(encoding), "escape": '"', "multiLine": str(multi_line).lower()}
     # Without pruning the reader sees all fields of a line and can count them.
@@ -104,6 +115,8 @@ def scan_csv(
         raise RuntimeError(f"cannot read {path} as CSV: {exc}") from exc
     if not raw.columns:
         raise RuntimeError(f"cannot read {path} as CSV: it is empty")
+    if multi_line and settings["encoding"] == "utf-8" and not {"comment", "escape", "lineSep", "header"} & set(options):
+        raw = _from_records(spark, path, raw, settings, options)
     text = raw.select(*[F.when(~col(c).isin(*na_texts), col(c)).alias(c) for c in raw.columns])
     if schema is not None:
         wanted = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
