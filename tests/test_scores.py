@@ -130,6 +130,24 @@ def test_silhouette_samples_brute_force(spark):
     assert np.allclose(got, want)
 
 
+def test_silhouette_of_copies(spark, monkeypatch):
+    from tabweave.operators import silhouette as module
+
+    seen = []
+    monkeypatch.setattr(module, "blocks_for", lambda n, rows: seen.append(n) or max(1, -(-n // rows)))
+    df = spark.createDataFrame(FIVE, "id int, x double, y double, c int")
+    many = df.crossJoin(spark.range(40).toDF("k")).selectExpr("id + 100 * k AS id", "x", "y", "c")
+    once = {r["id"]: r["silhouette"] for r in silhouette_samples(many, "id", ["x", "y"], "c", 2).collect()}
+    assert len(once) == 200 and seen == [5]  # five sites, not 200 rows, go into tiles
+    x, c = np.array([[r[1], r[2]] for r in FIVE] * 40, float), np.array([r[3] for r in FIVE] * 40)
+    dist = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    for i in range(200):
+        a = dist[i, c == c[i]].sum() / ((c == c[i]).sum() - 1)
+        b = min(dist[i, c == o].mean() for o in set(c) - {c[i]})
+        assert once[FIVE[i % 5][0] + 100 * (i // 5)] == pytest.approx((b - a) / max(a, b))
+    assert silhouette(many, "id", ["x", "y"], "c", 2).first()["value"] == pytest.approx(np.mean(list(once.values())))
+
+
 def walk(values, patience, delta, mode):
     best, best_epoch, counter, kept = (math.inf if mode == "min" else -math.inf), 0, 0, 0
     for i, v in enumerate(values, 1):
