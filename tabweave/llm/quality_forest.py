@@ -1,26 +1,27 @@
 """Quality rules: base rules, and an isolation forest over rule statistics.
 
 One pass measures every whole text.  For each group of related statistics a
-forest of random split trees is grown on a bounded sample of labelled rows; a
-document which few splits set apart from the rest has short paths and a high
-anomaly score.  (One forest over all statistics finds long, short or partly
+forest of random split trees is grown, each tree on its own draw from all
+labelled rows; a document which few splits set apart from the rest has short
+paths and a high anomaly score.  (One forest over all statistics finds long, short or partly
 repetitive documents as odd as junk; groups with a threshold each do not mix
-these.)  The score above which a document goes is calibrated on labelled rows:
-the one that rejects the most bad rows while it rejects at most a stated share
-of the good.  Forests and thresholds are a few numbers; scoring is a narrow
+these.)  The score above which a document goes is calibrated on all labelled
+rows: the one that rejects the most bad rows while it rejects at most a stated
+share of the good.  Forests and thresholds are a few numbers; scoring is a narrow
 pass over the statistics.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabweave.operators.ordering import running_totals
 from tabweave.session import cut_lineage
 
 #: Fixed values of the base rules.
@@ -30,10 +31,8 @@ WINDOW = 8
 SYMBOLS = "#*$%&|<>"
 _SPACES = " \t\n\r\x0b\x0c"
 
-#: Labelled rows that the forest and its threshold are fitted on, at most.
-SAMPLE = 8192
 TREES = 100
-#: Rows of one tree; the usual choice, which bounds its depth to eight.
+#: Rows of one tree, drawn from all labelled rows; the usual choice, which bounds its depth to eight.
 TREE_ROWS = 256
 #: Share of the good labelled rows that may be rejected at most.
 MAX_LOST = 0.0005
@@ -134,14 +133,19 @@ class IsolationForest:
         """Grow ``trees`` trees on ``rows`` of ``x`` each, drawn without replacement."""
         draw = np.random.default_rng(seed)
         rows = min(rows, len(x))
+        return cls.grow((x[draw.choice(len(x), rows, replace=False)] for _ in range(trees)), rows, draw)
+
+    @classmethod
+    def grow(cls, parts: Iterable[np.ndarray], rows: int, draw: np.random.Generator) -> IsolationForest:
+        """One tree on each of ``parts``, of ``rows`` rows each."""
         depth = int(np.ceil(np.log2(max(rows, 2))))
         nodes: list[tuple[int, float, int, int, float]] = []
         roots = []
-        for _ in range(trees):
+        for whole in parts:
             start = len(nodes)
             roots.append(start)
             nodes.append((0, 0.0, start, start, 0.0))
-            todo = [(start, x[draw.choice(len(x), rows, replace=False)], 0)]
+            todo = [(start, whole, 0)]
             while todo:
                 at, part, level = todo.pop()
                 low, high = part.min(0), part.max(0)
@@ -198,36 +202,82 @@ def base_failed() -> F.Column:
     return few | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
 
-def _lowest(fit: DataFrame, sample: int) -> list[tuple]:
-    """``(__good, *STATS)`` of the ``sample`` rows whose keys hash lowest.
+def _mixed(h: np.ndarray, tree: int, seed: int) -> np.ndarray:
+    """Another hash of each hash for every tree (the finalizer of SplitMix64)."""
+    x = h + np.uint64((0x9E3779B97F4A7C15 * (1 + tree + TREES * seed)) % (1 << 64))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def draw_rows(fit: DataFrame, trees: int = TREES, rows: int = TREE_ROWS, seed: int = 0) -> list[np.ndarray]:
+    """:data:`STATS` of the rows of each tree: those of all of ``fit`` that hash lowest for that tree.
 
-    Rows far above what that takes are left out beforehand, so that tasks do
-    not each send a whole sample to the driver.
+    Rows far above what that takes are left out by the tasks; ``trees`` times
+    ``rows`` rows reach the driver, whatever the size of the tables.
     """
-    h, n = F.xxhash64("key"), fit.count()
-    share = min(1.0, 2 * (sample + 100) / max(n, 1))
+    n = fit.count()
+    share = min(1.0, 2 * (rows + 100) / max(n, 1))
+    hashed = fit.select(F.xxhash64("key").alias("h"), *STATS)
+    by_tree = Window.partitionBy("tree").orderBy("at", *STATS)
+
+    def low(share: float):
+        limit = np.uint64(min((1 << 64) - 1, int(share * (1 << 64))))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                h = batch.column(0).to_numpy().view(np.uint64)
+                for tree in range(trees):
+                    at = _mixed(h, tree, seed)
+                    some = np.flatnonzero(at <= limit)
+                    if len(some):
+                        names = [pa.array(np.full(len(some), tree, np.int32)), pa.array((at[some] >> np.uint64(1)).view(np.int64))]
+                        picked = batch.take(pa.array(some))
+                        yield pa.record_batch([*names, *picked.columns[1:]], ["tree", "at", *STATS])
+
+        return run
+
     while True:
-        some = fit.where(h <= F.lit(min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))))
-        rows = some.orderBy(h, "key", *STATS).limit(sample).select("__good", *STATS).collect()
-        if len(rows) >= min(sample, n):
-            return [tuple(r) for r in rows]
+        some = hashed.mapInArrow(low(share), "tree int, at bigint, " + ", ".join(f"{c} bigint" for c in STATS))
+        ranked = some.withColumn("place", F.row_number().over(by_tree)).where(F.col("place") <= rows)
+        found = np.array([tuple(r) for r in ranked.select("tree", *STATS).collect()], np.int64).reshape(-1, 1 + len(STATS))
+        parts = [found[found[:, 0] == t, 1:] for t in range(trees)]
+        if all(len(p) >= min(rows, n) for p in parts):
+            # In an order of their own, for the same trees whatever order they arrived in.
+            return [p[np.lexsort(p.T)] for p in parts]
         share = min(1.0, 4 * share)
 
 
+def thresholds(scores: DataFrame, max_lost: float = MAX_LOST) -> dict[str, float]:
+    """As :func:`calibrate`, for each ``name`` of ``(name, score, good)``, over all rows."""
+    counted = scores.groupBy("name", "score").agg(
+        F.sum(F.col("good").cast("bigint")).alias("good"), F.sum((~F.col("good")).cast("bigint")).alias("bad")
+    )
+    counted = cut_lineage(counted)
+    steps = running_totals(counted, "score", sums=["good", "bad"], by=["name"], followers=["score"])
+    lost, caught = F.col("total_good") - F.col("cum_good"), F.col("total_bad") - F.col("cum_bad")
+    rated = steps.select("name", "score", "next_score", "total_good", lost.alias("lost"), caught.alias("caught"))
+    fair = (F.col("lost") <= max_lost * F.col("total_good")) & (F.col("lost") <= MAX_WRONG * (F.col("lost") + F.col("caught")))
+    best = rated.where(fair & (F.col("total_good") > 0) & (F.col("caught") > 0)).groupBy("name").agg(
+        F.max(F.struct("caught", (-F.col("lost")).alias("kept"), "score", "next_score")).alias("s")
+    )
+    # Half way to the next score above, so that a rounding difference decides nothing.
+    return {r["name"]: r["score"] + (r["next_score"] - r["score"]) / 2 for r in best.select("name", "s.*").collect()}
+
+
 def judge_quality(
     df: DataFrame,
     labels: DataFrame,
     key: str = "doc_id",
     text: str = "text",
     label: str = "quality",
-    sample: int = SAMPLE,
     max_lost: float = MAX_LOST,
     seed: int = 0,
 ) -> DataFrame:
     """``(key, *STATS, base_failed, score_symbols, score_words, score_repetition, kept)`` per row of ``df``.
 
-    The forests see at most ``sample`` labelled rows that pass the base rules:
-    those whose key hashes lowest, whatever the size of the tables.
+    Each tree is grown on :data:`TREE_ROWS` rows drawn by hash from all labelled
+    rows that pass the base rules; thresholds are calibrated on all of these.
 
     * A null or empty text has zeros everywhere and fails the base rules.
     * Null and repeated keys give rows of their own.  Labels whose key or value
@@ -240,30 +290,30 @@ def judge_quality(
     stats = cut_lineage(rule_statistics(df, key, text)).withColumn("base_failed", base_failed())
     known = labels.select(F.col(key).alias("__key"), F.col(label).cast("int").alias("__good"))
     known = known.where("__key IS NOT NULL AND __good IS NOT NULL").groupBy("__key").agg(F.min("__good").alias("__good"))
-    fit = stats.where(~F.col("base_failed")).join(known, F.col("key") == F.col("__key"))
-    rows = np.array(_lowest(fit.select("key", "__good", *STATS), sample), np.int64).reshape(-1, 1 + len(STATS))
-    good, forests = rows[:, 0] > 0, {}
-    for name, x in features(rows[:, 1:].T).items():
-        if len(x):
-            forest = IsolationForest.fit(x, seed=seed)
-            scores = forest.score(x)
-            forests[name] = forest, calibrate(scores[good], scores[~good], max_lost)
+    labelled = ~F.col("base_failed") & (F.col("key") == F.col("__key"))
+    parts = draw_rows(stats.join(known, labelled).select("key", *STATS), seed=seed)
+    forests = {}
+    if len(parts[0]):
+        drawn = [features(p.T) for p in parts]
+        forests = {g: IsolationForest.grow((d[g] for d in drawn), len(parts[0]), np.random.default_rng(seed)) for g in GROUPS}
     more = [f"score_{g}" for g in GROUPS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = ~batch.column("base_failed").to_numpy(zero_copy_only=False)
-            scores = []
-            for name, x in features(np.array([batch.column(c).to_numpy() for c in STATS])).items():
-                forest, threshold = forests.get(name, (None, 1.0))
-                scores.append(forest.score(x) if forest is not None else np.zeros(len(x)))
-                kept = kept & (scores[-1] <= threshold)
-            yield pa.record_batch([*batch.columns, *map(pa.array, scores), pa.array(kept)], [*batch.schema.names, *more, "kept"])
+            x = features(np.array([batch.column(c).to_numpy() for c in STATS]))
+            scores = [forests[g].score(x[g]) if forests else np.zeros(batch.num_rows) for g in GROUPS]
+            yield pa.record_batch([*batch.columns, *map(pa.array, scores)], [*batch.schema.names, *more])
 
     kind = stats.schema["key"].dataType.simpleString()
     numbers = [f"{c} bigint" for c in STATS] + ["base_failed boolean"] + [f"{c} double" for c in more]
-    schema = ", ".join([f"key {kind}", *numbers, "kept boolean"])
-    return stats.mapInArrow(run, schema).withColumnRenamed("key", key)
+    scored = cut_lineage(stats.mapInArrow(run, ", ".join([f"key {kind}", *numbers])))
+    each = F.explode(F.array(*[F.struct(F.lit(g).alias("name"), F.col(f"score_{g}").alias("score")) for g in GROUPS]))
+    rated = scored.join(known, labelled).select(each.alias("s"), (F.col("__good") > 0).alias("good"))
+    cuts = thresholds(rated.select("s.*", "good"), max_lost) if forests else {}
+    kept = ~F.col("base_failed")
+    for g in GROUPS:
+        kept = kept & (F.col(f"score_{g}") <= F.lit(cuts.get(g, 1.0)))
+    return scored.withColumn("kept", kept).withColumnRenamed("key", key)
 
 
 def drop_low_quality(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:

@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from tabweave.llm.quality_forest import IsolationForest, calibrate, drop_low_quality, judge_quality, measure
+from tabweave.llm.quality_forest import IsolationForest, calibrate, drop_low_quality, judge_quality, measure, thresholds
 
 SF = "/root/testdata/sf0.01"
 
@@ -47,6 +47,32 @@ def test_thresholds():
     assert calibrate(good, np.array([0.05]), 0.0) == 1.0
 
 
+def test_thresholds_of_all_rows(spark):
+    draw = np.random.default_rng(2)
+    good, bad = draw.normal(0.4, 0.05, 12_000).round(3), draw.normal(0.55, 0.05, 900).round(3)
+    rows = [("a", float(x), True) for x in good] + [("a", float(x), False) for x in bad] + [("b", 0.5, True)]
+    df = spark.createDataFrame(rows, "name string, score double, good boolean")
+    for lost in (0.0, 0.001, 0.01):
+        got = thresholds(df, lost)
+        assert got.get("a", 1.0) == pytest.approx(calibrate(good, bad, lost)) and "b" not in got
+
+
+def test_trees_and_thresholds_see_all_labelled_rows(spark, monkeypatch):
+    from tabweave.llm import quality_forest as module
+
+    seen = []
+    plain = module.thresholds
+    monkeypatch.setattr(module, "thresholds", lambda df, lost: seen.append(df.count()) or plain(df, lost))
+    # 12,000 rows that differ in length; more than any fixed sample of 8,192.
+    docs = spark.range(12_000).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, cast(30 + id % 400 as int)), i -> concat('w', i))) AS text")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 400 < 390 AS int) AS quality")
+    assert judge_quality(docs, labels).count() == 12_000 and seen == [36_000]
+    stats = spark.range(12_000).selectExpr("id AS key", *[f"id AS {c}" for c in module.STATS])
+    parts = module.draw_rows(stats)
+    assert len(parts) == 100 and all(len(set(p[:, 0])) == 256 for p in parts)
+    assert len(set(np.concatenate(parts)[:, 0])) > 10_000
+
+
 def test_held_out_documents(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     # Thresholds from even ids, measured on odd ones.
