@@ -53,8 +53,17 @@ def fingerprint(text: str, words: int = 3, bits: int = 64) -> int:
     for start in range(0, n, SHINGLES):
         some = parts[start : start + SHINGLES + words - 1]
         grams = map(b" ".join, zip(*(some[i:] for i in range(words)), strict=False)) if len(parts) >= words else [b" ".join(parts)]
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), "<u8")
-        votes += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        votes += bit_votes(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), "<u8"))
+    return majority(votes, n)
+
+
+def bit_votes(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit."""
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+
+
+def majority(votes: np.ndarray, n: int) -> int:
+    """The fingerprint of ``n`` hashes: a bit is set if over half of them have it."""
     return int(np.packbits(2 * votes > n, bitorder="little").view("<u8")[0])
 
 
