@@ -471,3 +471,38 @@ def test_train_classical(spark, tmp_path):
     assert knn.metrics["val_f1"] == 1.0
     again = Predictor(path=str(tmp_path / "knn")).predict(df.drop("k"), "id").orderBy("id").collect()
     assert again == knn.model.transform(df).select("id", "predicted").orderBy("id").collect()
+
+
+def test_estimates_keep_the_exact_answer():
+    from tabweave.operators.tiles import distances, nearest, within
+
+    draw = np.random.default_rng(4)
+    cases = [
+        (draw.normal(size=(90, 64)), draw.normal(size=(300, 64))),
+        (draw.integers(0, 3, (90, 3)).astype(float), draw.integers(0, 3, (300, 3)).astype(float)),  # ties
+        (1e9 + draw.normal(size=(40, 5)), 1e9 + draw.normal(size=(60, 5))),  # far from the origin
+        (draw.normal(size=(20, 2)) * 1e200, draw.normal(size=(30, 2)) * 1e200),  # squares overflow
+        (draw.normal(size=(20, 2)) * 1e-170, draw.normal(size=(30, 2)) * 1e-170),  # squares vanish
+        (np.zeros((5, 4)), np.zeros((7, 4))),
+    ]
+    for a, b in cases:
+        with np.errstate(over="ignore", under="ignore"):
+            d = distances(a, b)
+            for m in (1, 5):
+                order = np.argsort(d, axis=1, kind="stable")[:, :m]
+                col, got = nearest(a, b, m)
+                assert (col == order).all() and (got == np.take_along_axis(d, order, axis=1)).all()
+            for reach in (0.0, float(np.median(d)), float(d[0, 0]), float(d[-1, -1])):
+                assert (within(a, b, reach) == (d <= reach)).all()
+
+
+def test_a_leaf_no_plane_parts_is_few_tiles(spark, monkeypatch):
+    from tabweave.models import dbscan as module
+
+    rows = []
+    plain = module.leaf_join
+    monkeypatch.setattr(module, "leaf_join", lambda *args: rows.append(args[-1]) or plain(*args))
+    x = np.random.default_rng(0).normal(size=(300, 6)) * 1e-3
+    df = spark.createDataFrame([(i, list(map(float, r))) for i, r in enumerate(x)], "id bigint, x array<double>")
+    found = module.dbscan(df, "id", ["x"], eps=1.0, min_samples=4, block_rows=20)
+    assert [tuple(r) for r in found.groupBy("predicted").count().collect()] == [(0, 300)] and rows == [320, 320]
