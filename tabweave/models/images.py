@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
+from tabweave.functions.missing import col
 from tabweave.models import mllib
 from tabweave.operators.images import ImagePrep
 from tabweave.sources.images import scan_image_pixels
@@ -39,14 +40,24 @@ class ImageModel:
 def fit_image_classifier(
     df: DataFrame, label: str = "label", size: tuple[int, int] = (16, 16), head: str = "logistic", **params
 ) -> ImageModel:
-    """A linear or neural head on images shrunk to ``size`` and normalised."""
+    """A linear or neural head on images shrunk to ``size`` and normalised.
+
+    Images are decoded and shrunk once, whatever the passes of the solver.
+    """
     heads = {"logistic": mllib.logistic_regression, "mlp": mllib.mlp}
     if head not in heads:
         raise ValueError(f"head must be one of {sorted(heads)}, not '{head}'")
     prep = ImagePrep(size=size, augment=False)
-    return ImageModel(prep, heads[head](prep.evaluation(df), ["pixels"], label, **params))
-
-
-def predict_images(spark: SparkSession, root: str, model: ImageModel) -> DataFrame:
-    """``(path, predicted)`` for every readable image below ``root``."""
-    return model.transform(scan_image_pixels(spark, root)).select("path", "predicted")
+    # A task for a few dozen files is too small for a pass of the solver.
+    parts = 4 * df.sparkSession.sparkContext.defaultParallelism
+    ready = prep.evaluation(df).select("pixels", col(label)).coalesce(parts).persist()
+    try:
+        return ImageModel(prep, heads[head](ready, ["pixels"], label, **params))
+    finally:
+        ready.unpersist()
+
+
+def predict_images(spark: SparkSession, root: str, model: ImageModel, images: DataFrame | None = None) -> DataFrame:
+    """``(path, predicted)`` for every readable image below ``root``, or of ``images``, what was scanned there before."""
+    images = scan_image_pixels(spark, root) if images is None else images
+    return model.transform(images).select("path", "predicted")
