@@ -112,9 +112,9 @@ def near_by_planes(
     visits = probe_paths(queries.select("id", "x"), tree, trees, probes)
     kinds = [f.schema["id"].dataType.simpleString() for f in (queries, train)]
     found = leaf_join(visits, tree.home, _best(k, []), f"id {kinds[0]}, other {kinds[1]}, distance double", LEAF_ROWS * 16)
-    # A row may be met in several trees, at the same distance.
+    # A row may be met in several trees, at the same distance: it has one rank, and is cut to one row after the shuffle.
     rank = Window.partitionBy("id").orderBy("distance", "other")
-    near = found.distinct().withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
+    near = found.withColumn("rank", F.dense_rank().over(rank)).where(F.col("rank") <= k).distinct()
     place = members.where("__r = 1").select(F.col("id").alias("other"), F.col("x").alias("place"))
     rows = near.drop("rank").join(place, "other").drop("other")
     rows = rows.join(members.select(F.col("x").alias("place"), F.col("id").alias("other"), *carried), "place").drop("place")

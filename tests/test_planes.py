@@ -9,6 +9,7 @@ from tabweave.models.dbscan import dbscan
 from tabweave.models.knn import near_by_planes, nearest_neighbours
 from tabweave.models.training import train_classical
 from tabweave.models.ward import hierarchical
+from tabweave.operators import planes
 from tabweave.operators.planes import grow, halo_paths
 from tabweave.sources.store import model_load, model_save
 from tests.test_models import brute_dbscan
@@ -129,3 +130,14 @@ def test_training_takes_names_in_any_case(spark):
     rows = [(i, float(i % 2), "ab"[i % 2], "val" if i % 5 == 0 else "train") for i in range(40)]
     df = spark.createDataFrame(rows, "id bigint, x double, k string, split string")
     assert train_classical(df, "Classification", " KNN ", ["x"], "k").metrics["val_f1"] == 1.0
+
+
+def test_rows_are_not_moved_to_few_planes_and_many_give_the_same(spark, monkeypatch):
+    df = vectors(spark, clustered(3000, 8, 20))
+    queries = df.where("id % 3 = 0")
+    with monkeypatch.context() as m:
+        m.setattr(planes, "_moved", None)
+        found = near_by_planes(queries, df, 5, trees=2, leaf_rows=64).collect()
+    for held in (0, 2 * 2 * planes.PLANES * 8):  # no round, the first one only
+        monkeypatch.setattr(planes, "HELD", held)
+        assert sorted(near_by_planes(queries, df, 5, trees=2, leaf_rows=64).collect()) == sorted(found)
