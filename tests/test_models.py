@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tabweave.models import factory
+from tabweave.models import factory, mllib
 from tabweave.models.dbscan import dbscan
 from tabweave.models.epochs import predict_scores, train_epochs
 from tabweave.models.forecast import fit_forecast, fit_per_series, sequence_windows
@@ -506,3 +506,16 @@ def test_a_leaf_no_plane_parts_is_few_tiles(spark, monkeypatch):
     df = spark.createDataFrame([(i, list(map(float, r))) for i, r in enumerate(x)], "id bigint, x array<double>")
     found = module.dbscan(df, "id", ["x"], eps=1.0, min_samples=4, block_rows=20)
     assert [tuple(r) for r in found.groupBy("predicted").count().collect()] == [(0, 300)] and rows == [320, 320]
+
+
+def test_trees_are_grown_by_many_tasks(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 2))
+    df, cols = frame(spark, x, [(x[:, 0] > 0).astype(int).tolist()], ["k"])
+    narrow = df.coalesce(1)
+    assert mllib.dealt(narrow.select("k")).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    rows = [tuple(map(tuple, p)) for p in mllib.dealt(narrow).rdd.glom().collect()]
+    assert rows == [tuple(map(tuple, p)) for p in mllib.dealt(narrow).rdd.glom().collect()]
+    assert sum(map(len, rows)) == 400
+    forests = [factory.fit("classification", "random_forest", narrow, features=cols, label="k", n_estimators=5, max_depth=4) for _ in range(2)]
+    assert forests[0].stages[-2].toDebugString.split("\n")[1:] == forests[1].stages[-2].toDebugString.split("\n")[1:]
