@@ -301,11 +301,15 @@ class Deal:
         """``(first token, slots in use, inputs, targets, real)``, each (time, slots)."""
         shifted = np.zeros_like(self.ids)  # the input before the first word is an end
         shifted[:, 1:] = self.ids[:, :-1]
-        for at in range(0, self.ids.shape[1], size):
+        at, longest = 0, int(self.lengths[0])
+        while at < longest:
             used = int((self.lengths > at).sum())
-            part = slice(at, min(at + size, int(self.lengths[0])))
+            # Few slots are read further at once, as far as all of them go and in no more tokens than all slots have.
+            further = min(at + size * (len(self.lengths) // used), int(self.lengths[used - 1]))
+            part = slice(at, min(max(at + size, further), longest))
             real = np.arange(part.start, part.stop)[:, None] < self.lengths[None, :used]
             yield at, used, np.ascontiguousarray(shifted[:used, part].T), np.ascontiguousarray(self.ids[:used, part].T), real
+            at = part.stop
 
 
 def train(network: Network, steps: Steps, docs: list[np.ndarray], slots: int = SLOTS, window: int = WINDOW) -> None:

@@ -117,3 +117,18 @@ def test_held_out_documents_are_more_likely_than_by_counts(spark):
     held = first[first.held_out]
     assert (held.score - held.base_score).sum() > 0.1 * held.n_tokens.sum()
     assert (held.score > held.base_score).mean() > 0.9
+
+
+def test_few_slots_are_read_in_long_windows():
+    docs = [np.full(n, n % 7 + 1, np.uint16) for n in (20_000, 9_000, *[40] * 600)]
+    deal = Deal.of(docs, 64)
+    read = np.zeros(deal.ids.shape, int)
+    n = 0
+    for at, used, ids, targets, real in deal.windows(16):
+        assert targets.size <= 16 * 64 and targets.shape == ids.shape == real.shape
+        part = slice(at, at + len(targets))
+        assert (targets.T == deal.ids[:used, part]).all()
+        read[:used, part] += real.T
+        n += 1
+    assert (read == (np.arange(read.shape[1]) < deal.lengths[:, None])).all()  # each token once
+    assert n < 100  # 1,250 if all windows were as long as those of all slots
