@@ -21,7 +21,7 @@ import heapq
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, compress, repeat
+from itertools import chain, repeat
 from math import isqrt, log
 
 import numpy as np
@@ -47,9 +47,10 @@ TOGETHER, COUNTED = 1 << 22, 1 << 18
 END = b""
 
 
-def words(text: str | None) -> list[bytes]:
-    """The words of a text, A-Z lower-cased."""
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+def words(text: str | bytes | None) -> list[bytes]:
+    """The words of a text, A-Z lower-cased; bytes are its UTF-8."""
+    text = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text or b""
+    found = text.lower().split()
     if max(map(len, found), default=0) > MAX_WORD:
         found = [w if len(w) <= MAX_WORD else b"\xff" + hashlib.sha256(w).digest() for w in found]
     return found
@@ -118,7 +119,7 @@ class Network:
     def __init__(self, shape: Shape, flat: np.ndarray) -> None:
         self.shape, self.flat = shape, flat
         self.w = shape.views(flat)
-        self.class_of = np.repeat(np.arange(shape.classes + 1), np.r_[np.diff(shape.starts), 1]).astype(np.int32)
+        self.class_of = np.repeat(np.arange(shape.classes + 1), np.r_[np.diff(shape.starts), 1]).astype(np.uint16)  # short: sorted by digits
 
     def _states(self, ids: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
         """States after each input of ``ids`` (time, slots), and what they came from.
@@ -126,7 +127,7 @@ class Network:
         Input 0 ends a document: the state starts anew.
         """
         h, w = self.shape.hidden, self.w
-        given, on = w["table"][ids], (ids != 0)[:, :, None]
+        given, on = w["table"].take(ids, 0), (ids != 0)[:, :, None]
         old, reset, new, out = (np.empty((*ids.shape, h), given.dtype) for _ in range(4))
         gates = np.empty((*ids.shape, 2 * h), given.dtype)
         for t in range(len(ids)):
@@ -137,9 +138,9 @@ class Network:
             x += 1
             np.reciprocal(x, out=gates[t])
             np.multiply(gates[t, :, h:], old[t], out=reset[t])
-            y = reset[t] @ w["inner"]
+            y = np.matmul(reset[t], w["inner"], out=new[t])
             y += given[t, :, 2 * h :]
-            np.tanh(y, out=new[t])
+            np.tanh(y, out=y)
             state = out[t]
             np.subtract(new[t], old[t], out=state)
             state *= gates[t, :, :h]
@@ -147,9 +148,10 @@ class Network:
         return out, (on, old, gates, reset, new)
 
     def _grouped(self, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Order of targets by class, and where each class begins in it."""
-        group = self.class_of[targets]
-        return np.argsort(group, kind="stable"), np.cumsum(np.r_[0, np.bincount(group, minlength=self.shape.classes + 1)])
+        """Order of targets by class, and where each class begins in it; without those of the last, which has nothing inside."""
+        group = self.class_of.take(targets)
+        bounds = np.cumsum(np.r_[0, np.bincount(group, minlength=self.shape.classes + 1)])[:-1]
+        return np.argsort(group, kind="stable")[: bounds[-1]], bounds
 
     def log_probabilities(self, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural logarithm of each target's probability; of the last class that of the class alone."""
@@ -157,15 +159,15 @@ class Network:
         scores = states @ w["to_class"] + w["class_bias"]
         out = scores[np.arange(len(targets)), self.class_of[targets]] - _log_sum(scores)
         order, bounds = self._grouped(targets)
-        sorted_states, sorted_targets = states[order], targets[order]
-        inside = np.zeros(len(targets), np.float32)
+        sorted_states, sorted_targets = states.take(order, 0), targets.take(order)
+        inside = np.zeros(len(order), np.float32)
         for c in range(self.shape.classes):
             a, b = bounds[c], bounds[c + 1]
             low, high = self.shape.starts[c : c + 2]
             if a < b and high - low > 1:
                 s = sorted_states[a:b] @ w["to_word"][low:high].T + w["word_bias"][low:high]
                 inside[a:b] = s[np.arange(b - a), sorted_targets[a:b] - low] - _log_sum(s)
-        out[order] += inside
+        out[order] += inside  # no place twice
         return out
 
     def score(self, ids: np.ndarray, targets: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -185,8 +187,8 @@ class Network:
         g["class_bias"] += d.sum(0)
         back = d @ w["to_class"].T
         order, bounds = self._grouped(y)
-        sorted_states, sorted_y, sorted_weight = s[order], y[order], weight[order]
-        inside = np.zeros_like(s)
+        sorted_states, sorted_y, sorted_weight = s.take(order, 0), y.take(order), weight.take(order)
+        inside = np.zeros_like(sorted_states)
         for c in range(self.shape.classes):
             a, b = bounds[c], bounds[c + 1]
             low, high = self.shape.starts[c : c + 2]
@@ -225,26 +227,36 @@ class Network:
         return states[-1]
 
 
+def _lowered(x: np.ndarray) -> np.ndarray:
+    """What is taken from each row so that its exponentials neither overflow nor all vanish.
+
+    One value does for all rows unless they are far apart; sums over rows of few
+    numbers take longer than the rest.
+    """
+    top = x.max()
+    return x.max(1, keepdims=True) if top - x.min() > 60 else np.full((1, 1), top, x.dtype)
+
+
 def _log_sum(x: np.ndarray) -> np.ndarray:
-    top = x.max(1)
-    e = x - top[:, None]
-    return top + np.log(np.exp(e, out=e).sum(1))
+    top = _lowered(x)
+    e = x - top
+    return top[:, 0] + np.log(np.exp(e, out=e) @ np.ones(x.shape[1], x.dtype))
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
     """In place."""
-    x -= x.max(1, keepdims=True)
+    x -= _lowered(x)
     np.exp(x, out=x)
-    x /= x.sum(1, keepdims=True)
+    x /= (x @ np.ones(x.shape[1], x.dtype))[:, None]
     return x
 
 
 def _add_rows(table: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
     """``table[at] += rows`` with repeated places added up."""
-    order = np.argsort(at, kind="stable")
+    order = np.argsort(at.astype(np.uint16) if len(table) <= 1 << 16 else at, kind="stable")
     places = at[order]
     first = np.flatnonzero(np.r_[True, places[1:] != places[:-1]])
-    table[places[first]] += np.add.reduceat(rows[order], first, 0)
+    table[places[first]] += np.add.reduceat(rows.take(order, 0), first, 0)
 
 
 class Steps:
@@ -352,8 +364,8 @@ def _counted(texts: DataFrame) -> DataFrame:
             return pa.record_batch([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
 
         for batch in batches:
-            for text in batch.column(0):
-                held.update(words(text.as_py()))
+            for text in batch.column(0).cast(pa.binary()).to_pylist():
+                held.update(words(text))
             held[END] += len(batch)
             if len(held) >= COUNTED:
                 yield out()
@@ -409,10 +421,10 @@ def _coded(docs: DataFrame, vocabulary: Vocabulary, outputs: int) -> DataFrame:
         for batch in batches:
             columns: list[list] = [[] for _ in kinds]
             rare, times, ends = [], [], [0]
-            for text in batch.column("text"):
-                found = words(text.as_py())
+            for text in batch.column("text").cast(pa.binary()).to_pylist():
+                found = words(text)
                 at = np.fromiter(chain(map(place.get, found, repeat(unheld)), (0,)), np.int64, len(found) + 1)
-                others = Counter(compress(found, at == unheld))
+                others = Counter(map(found.__getitem__, np.flatnonzero(at == unheld).tolist()))
                 rare += others.keys()
                 times += others.values()
                 ends.append(len(rare))
@@ -523,7 +535,7 @@ def score_documents(
 
     # Rare words have their counts from a join; no word that few of the training texts hold is a hot key.
     rare = coded.select("row", F.explode("rare").alias("w")).select("row", "w.word", F.col("w.n").alias("times"))
-    found = rare.join(counts, "word", "left").groupBy("row").agg(
+    found = rare.join(counts.hint("shuffle_hash"), "word", "left").groupBy("row").agg(
         F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.5))).alias("rare_sum"),
         F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("rare_known"),
     )

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tabweave.llm.gru_lm import Deal, Network, Shape, Steps, score, score_documents, train, words
+from tabweave.llm.gru_lm import Deal, Network, Shape, Steps, _log_sum, _softmax, score, score_documents, train, words
 
 COUNTS = np.array([50, 40, 30, 20, 10, 5, 3, 2, 1], float)
 
@@ -132,3 +132,18 @@ def test_few_slots_are_read_in_long_windows():
         n += 1
     assert (read == (np.arange(read.shape[1]) < deal.lengths[:, None])).all()  # each token once
     assert n < 100  # 1,250 if all windows were as long as those of all slots
+
+
+def test_words_of_bytes():
+    text = "A É\x0bb c\n" + "x" * 65
+    assert words(text.encode()) == words(text) and words(b"") == []
+
+
+def test_rows_far_apart():
+    # One value taken from all rows would leave the first with sums of zero.
+    x = np.array([[-500, -501, -500.5], [0, 1, 2], [300, 0, -300]], np.float32)
+    want = np.log(np.exp(x.astype(float) - x.max(1, keepdims=True)).sum(1)) + x.max(1)
+    assert np.allclose(_log_sum(x), want, rtol=1e-6)
+    assert np.allclose(_softmax(x.copy()), np.exp(x - want[:, None]), atol=1e-6)
+    near = np.random.default_rng(0).normal(0, 5, (50, 7)).astype(np.float32)
+    assert np.allclose(_softmax(near.copy()).sum(1), 1, atol=1e-5)
