@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tabweave.models.images import fit_image_classifier
 from tabweave.operators import images as px
-from tabweave.plans import derived_files
+from tabweave.plans import derived_files, reading
 from tabweave.sources import images
 
 
@@ -67,3 +67,8 @@ def test_distortions_by_the_plain_formulas():
         want = np.stack([high - span * np.clip(np.minimum(k, 4 - k), 0, 1) for k in ks], 2) * 255
         assert (px.shift_hue(img, shift) == rounded(want)).all()
     assert (px._blend_level(img, 90.0, 1.17) == rounded(90.0 + (img - 90.0) * 1.17)).all()
+
+
+def test_default_transform_resizes_to_the_default_size(spark):
+    rows = reading.image_default_transform(spark, "/root/testdata/sf0.001").collect()
+    assert rows and {(r.h, r.w, r.n) for r in rows} == {(*px.ImagePrep().size, 3 * 224 * 224)}
