@@ -1,12 +1,13 @@
 """Neighbour searches hold each row a few times on disk, and a tree few counts in memory, whatever the size of the table."""
 
+import time
+from pathlib import Path
+
 import numpy as np
 import pandas as pd
-import pytest
-from pyspark.sql import functions as F
 
 from tabweave.models import factory, mllib
-from tabweave.operators import planes
+from tabweave.models.dbscan import dbscan
 from tabweave.operators.cells import assign_cells, tile_join
 from tabweave.session import stored_while
 
@@ -30,19 +31,19 @@ def test_a_row_is_dealt_to_one_tile(spark):
     assert {r.met for r in rows} == {700} and max(r.most for r in rows) <= 50
 
 
-@pytest.mark.parametrize("held", [planes.HELD, 0])
-def test_rows_go_down_planes_where_they_lie(spark, monkeypatch, held):
-    monkeypatch.setattr(planes, "HELD", held)
+def test_density_clusters_leave_no_shuffle_files(spark):
+    def files():
+        folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+        return {str(p) for f in folders for p in Path(f.getPath()).rglob("shuffle_*")}
+
     draw = np.random.default_rng(2)
-    x = draw.normal(0, 3, (8, 5))[draw.integers(0, 8, 500)] + draw.normal(0, 0.3, (500, 5))
-    df, reach = vectors(spark, x), 0.6
-    tree = planes.grow(df, 80, reach=reach)
-    assert tree.splits and len(tree.held) == (len(tree.splits) if held else 0)
-    homes = {r.id: r.node for r in tree.home.collect()}
-    assert len(homes) == 500
-    visits = {(r.id, r.node) for r in planes.halo_paths(df.withColumn("w", F.lit(1)), tree, reach).select("id", "x", "w", "tree", "node").collect()}
-    near = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) <= reach
-    assert all((int(j), homes[i]) in visits for i in homes for j in np.flatnonzero(near[i]))
+    x = draw.normal(0, 3, (8, 5))[draw.integers(0, 8, 400)] + draw.normal(0, 0.3, (400, 5))
+    before, df = files(), vectors(spark, x)
+    dbscan(df, "id", ["x"], eps=0.6, min_samples=4, block_rows=80)  # every step but the last has run
+    until = time.time() + 10
+    while (left := files() - before) and time.time() < until:  # files are removed in the background
+        time.sleep(0.2)
+    assert not left
 
 
 def test_a_tree_leaves_most_of_the_memory(spark, monkeypatch):
