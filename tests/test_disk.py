@@ -49,7 +49,7 @@ def test_density_clusters_leave_no_shuffle_files(spark):
 def test_a_tree_leaves_most_of_the_memory(spark, monkeypatch):
     seen, train = [], mllib._train
     monkeypatch.setattr(mllib, "_train", lambda stages, estimator, *rest: seen.append(estimator.getMaxMemoryInMB()) or train(stages, estimator, *rest))
-    df = spark.createDataFrame([(float(i), i % 3) for i in range(60)], "x double, label int")
+    df = spark.createDataFrame([(float(i), i // 20) for i in range(60)], "x double, label int")
     model = factory.fit("classification", "decision_tree", df, features=["x"], label="label")
     assert model.transform(df).where("predicted <> label").isEmpty()
     # Two tasks of an executor with a heap of 1,800 MB hold their counts twice.
